@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_dedup, mixing, simhash
+from . import ann, chat, decontam, langid, line_dedup, mixing, pii, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_simhash": simhash.op2_simhash,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op4_pii": pii.op4_pii,
     "op5_language_id": langid.op5_language_id,
+    "op6_chat": chat.op6_chat,
+    "op7_nearest": ann.op7_nearest,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op1_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
