@@ -25,6 +25,8 @@ from .common import slices
 
 #: Words of a seed; distinct seeds that a candidate needs; the least score of a leak.
 WIDTH, MIN_SEEDS, MIN_SCORE = 3, 2, 0.5
+#: Seeds of an item at least: short items keep all their n-grams.
+LEAST_SEEDS = 16
 #: Characters of test items that travel to the tasks at once.
 BLOCK_CHARS = 8_000_000
 #: Alignment cells computed at once in a task.
@@ -172,7 +174,7 @@ def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[Item
 
 
 def _seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts in how many documents each n-gram stands, and keeps the rarer half of each item's (two at least)."""
+    """Counts in how many documents each n-gram stands, and keeps the rarer half of each item's (LEAST_SEEDS at least)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +198,7 @@ def _seeds(docs: DataFrame, items: Items) -> Items:
     size = np.bincount(item, minlength=len(items.ids))
     rank = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
     keep = np.zeros(len(item), bool)
-    keep[order] = rank < np.maximum(2, (size[item] + 1) // 2)
+    keep[order] = rank < np.maximum(LEAST_SEEDS, (size[item] + 1) // 2)
     return items.only(keep)
 
 

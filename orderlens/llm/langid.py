@@ -14,14 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stage
+from .common import slices, small, stage
 
 UNKNOWN = "und"
-#: Labelled documents of a language to learn from at most; centroids of a language; hashed n-grams.
+#: Labelled documents of a language to learn from (about; fewer if there are fewer); centroids of a language; hashed n-grams.
 SAMPLE, CENTROIDS, BINS = 2000, 4, 1 << 14
 #: Cosine below which the pipeline rejects a document.
 REJECT = 0.02
@@ -94,11 +94,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, bins: int = BINS) -> Model:
     """Learns from labelled rows (doc_id, text, lang); null lang and texts without a letter teach nothing.
 
-    Of each language the `sample` documents of smallest hashed id are used: the choice depends on ids alone.
+    Of each language about `sample` documents are used: those whose hashed id falls in that share of its count.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = stage(rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("h").alias("last")), "sampled")
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    share = small(stage(share, "shares"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -106,7 +106,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
             at = [np.flatnonzero(n) for _, n in found]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([n[i] for (_, n), i in zip(found, at)], pa.list_(pa.float32()))], names=["lang", "at", "n"])
 
-    chosen = rows.join(last, "lang").where("h <= last").select("lang", "text")
+    chosen = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     chosen = stage(chosen.mapInArrow(vectors, "lang string, at array<int>, n array<float>"), "vectors")
     total, frequency = chosen.count(), np.zeros(bins)
     for r in chosen.select(F.explode("at").alias("at")).groupBy("at").count().toLocalIterator():

@@ -55,7 +55,10 @@ def with_parts(urls: DataFrame) -> DataFrame:
 
 def grams(text: Column, lengths: tuple[int, ...] = GRAMS) -> Column:
     """Distinct character n-grams."""
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in lengths]
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    each = [of(n) for n in lengths]
     return F.array_distinct(F.concat(*each))
 
 
