@@ -22,7 +22,7 @@ from .common import slices, small, stage
 
 UNKNOWN = "und"
 #: Labelled documents of a language to learn from (about; fewer if there are fewer); centroids of a language; hashed n-grams.
-SAMPLE, CENTROIDS, BINS = 2000, 4, 1 << 14
+SAMPLE, CENTROIDS, BINS = 2000, 4, 1 << 13
 #: Cosine below which the pipeline rejects a document.
 REJECT = 0.02
 #: Characters vectorised at once, so that a text of any length takes bounded memory.
@@ -102,9 +102,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = [(lang, n) for lang, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if (n := counts(t, bins)) is not None]
-            at = [np.flatnonzero(n) for _, n in found]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([n[i] for (_, n), i in zip(found, at)], pa.list_(pa.float32()))], names=["lang", "at", "n"])
+            langs, at, n = [], [], []
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                if (c := counts(text, bins)) is not None:
+                    langs.append(lang)
+                    at.append(np.flatnonzero(c).astype(np.int32))
+                    n.append(c[at[-1]].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "at", "n"])
 
     chosen = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     chosen = stage(chosen.mapInArrow(vectors, "lang string, at array<int>, n array<float>"), "vectors")
@@ -115,10 +119,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
 
     def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((len(rows), bins), np.float32)
-        for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
-            x[i, at] = np.sqrt(n) * idf[at]
-        order = np.lexsort(x[:, :8].T)
-        x = x[order] / np.maximum(np.linalg.norm(x[order], axis=1, keepdims=True), 1e-12)
+        order = sorted(range(len(rows)), key=lambda i: (len(rows["at"][i]), rows["at"][i].tolist()))
+        for i, j in enumerate(order):
+            at = rows["at"][j]
+            x[i, at] = np.sqrt(rows["n"][j]) * idf[at]
+            x[i] /= max(float(np.linalg.norm(x[i])), 1e-12)
         return pd.DataFrame({"lang": key[0], "centroid": list(kmeans(x, centroids))})
 
     found = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>").orderBy("lang").collect()
