@@ -21,7 +21,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def distance_or_zero(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """0 if a point is missing."""
-    return F.coalesce(haversine_km(lat1, lon1, lat2, lon2), F.lit(0.0))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, haversine_km(lat1, lon1, lat2, lon2)).otherwise(0.0)
 
 
 def pounds_to_pence(amount: Column) -> Column:

@@ -387,7 +387,7 @@ def takeovers(spark, d):
 
 E_MAX = "coalesce(max(CASE WHEN {} THEN {} END), 0.0)"
 QUERIES = {
-    "X1_X2_distances": (distances, "SELECT order_id, round(coalesce(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(50 + (user_id % 90)::DOUBLE / 30 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50 + (user_id % 90)::DOUBLE / 30)) * pow(sin(radians(-1.5 - lon) / 2), 2)))), 0.0), 4) AS km FROM o LEFT JOIN (SELECT store_id, lat, lon FROM s) USING (store_id)"),
+    "X1_X2_distances": (distances, "SELECT order_id, round(CASE WHEN lat IS NULL THEN 0.0 ELSE (2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(50 + (user_id % 90)::DOUBLE / 30 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50 + (user_id % 90)::DOUBLE / 30)) * pow(sin(radians(-1.5 - lon) / 2), 2))))) END, 4) AS km FROM o LEFT JOIN (SELECT store_id, lat, lon FROM s) USING (store_id)"),
     "X4_X6_X7_fees": (fees, """WITH f AS (SELECT order_id, total_pence, CASE WHEN order_type = 'DELIVERY' THEN greatest(250, least(499, 250 + least(249, floor((order_id % 200)::DOUBLE / 8 * 20)))) ELSE 0 END::BIGINT AS delivery, least(250, floor(total_pence % 5000 / 10))::BIGINT AS service, total_pence - 10000000 AS v FROM o)
         SELECT order_id, delivery, service, total_pence + 7 + delivery + service + 50 - 100 AS total, CASE WHEN v < 0 THEN '-' ELSE '' END || '£' || (abs(v) // 100) || '.' || lpad((abs(v) % 100)::VARCHAR, 2, '0') AS text FROM f"""),
     "X3_X13_money": (money, "SELECT p_partkey, round(p_retailprice * 1000 / 10)::BIGINT AS pence, round_even(p_size / 2, 0)::BIGINT AS even FROM part"),

@@ -76,10 +76,13 @@ def features_at(events: list[tuple], entity: str, at: int, now: tuple) -> dict:
 
 
 class Velocity(StatefulProcessor):
-    """The last day of a pair's events as state; older ones are trimmed at each call, and the state expires."""
+    """The last day of a pair's events as state; older ones are trimmed at each call, and state expires if told to."""
+
+    def __init__(self, expire: bool = False) -> None:
+        self.ttl_ms = DAY * 1000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getValueState("events", "data string")
+        self.events = handle.getValueState("events", "data string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         entity, id_ = key
@@ -96,9 +99,13 @@ class Velocity(StatefulProcessor):
         pass
 
 
-def velocity(pairs: DataFrame) -> DataFrame:
-    """The stateful operator; needs the RocksDB state store."""
-    return pairs.groupBy("entity", "id").transformWithStateInPandas(Velocity(), FEATURES, "Append", "ProcessingTime")
+def velocity(pairs: DataFrame, expire: bool = False) -> DataFrame:
+    """The stateful operator; needs the RocksDB state store.
+
+    expire: pairs that are silent for a day of processing time lose their state. For streams that run on; a trigger
+    that stops when the input is used up would go on for ever with it.
+    """
+    return pairs.groupBy("entity", "id").transformWithStateInPandas(Velocity(expire), FEATURES, "Append", "ProcessingTime" if expire else "None")
 
 
 def velocity_batch(pairs: DataFrame) -> DataFrame:
