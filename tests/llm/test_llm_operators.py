@@ -185,7 +185,7 @@ def test_pii_base_against_brute_force(spark, data):
     rng = np.random.default_rng(3)
     alphabet = list("0123456789") * 3 + list("..@@+- ()aZé%\n4111") + ["😀", "255", "4111111111111111", "+1 (234) 555-6789", "a@b.c"]
     fuzz = [(10_000 + i, "".join(rng.choice(alphabet, 60))) for i in range(300)]
-    more = [(20_000, None), (20_001, ""), (20_002, "7" * 50_000 + "@" + "x" * 50_000), (20_003, "a@b.c@d.e%x@y.z"), (20_004, "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4"), (None, "x@y.zz"), (None, "x@y.zz")]
+    more = [(20_000, None), (20_001, ""), (20_002, "7" * 3_000 + "@" + "x" * 3_000), (20_003, "a@b.c@d.e%x@y.z"), (20_004, "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4"), (None, "x@y.zz"), (None, "x@y.zz")]
     docs = table(data, "documents", spark).select("doc_id", "text").union(made(spark, fuzz + more, "doc_id long, text string"))
     got = Counter((r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.find(docs).collect())
     want = Counter()
