@@ -9,7 +9,8 @@ EARTH_KM = 6371.0
 DAY = 86_400_000_000
 POSTCODE = "^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$"
 #: Fixed values.
-DISPOSABLE = ("mailinator.com", "guerrillamail.com", "10minutemail.com", "tempmail.com", "throwaway.email")
+DISPOSABLE = ("mailinator.com", "guerrillamail.com", "tempmail.io", "throwawaymail.com", "10minutemail.com", "mailsac.com")
+BANK_HOLIDAYS = ("2026-01-01", "2026-04-03", "2026-04-06", "2026-05-04", "2026-05-25", "2026-08-31", "2026-12-25", "2026-12-28")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -121,12 +122,10 @@ def is_night(ts: Column) -> Column:
     return local_hour(ts).between(2, 5)
 
 
-def iso_country(raw: Column) -> Column:
-    """Two letters; names map, unknown ones stay null."""
-    up = F.upper(F.trim(raw))
-    names = {"UNITED KINGDOM": "GB", "UK": "GB", "GREAT BRITAIN": "GB", "ENGLAND": "GB", "IRELAND": "IE", "FRANCE": "FR", "GERMANY": "DE", "SPAIN": "ES", "UNITED STATES": "US", "USA": "US"}
-    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, up), F.when(F.length(up) == 2, up))
+def iso_country(raw: Column, names: dict[str, str] | None = None, default: str = "GB") -> Column:
+    """Two letters as they are, other names by the map; missing and unknown ones get the default."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in (names or {}).items() for x in kv]), raw) if names else F.lit(None)
+    return F.coalesce(F.when(raw.rlike("^[A-Za-z]{2}$"), F.upper(raw)), named, F.lit(default))
 
 
 def channels(device_types: Column) -> Column:
@@ -141,11 +140,9 @@ def bucket(epoch_s: Column, size: int = 600) -> Column:
 
 
 def cancelled_by(reason: Column, status: Column, order_type: Column) -> Column:
-    """X24."""
-    return (
-        F.when(status != "CANCELLED", None).when(reason.startswith("CUSTOMER"), "CUSTOMER").when(reason.startswith("STORE") | reason.startswith("ITEM"), "STORE")
-        .when(reason.startswith("DRIVER") & (order_type == "DELIVERY"), "DRIVER").otherwise("SYSTEM")
-    )
+    """Who the reason names; else the store while it prepares, and the user who never collects."""
+    named, state = F.regexp_extract(reason, "^cancelled_by=(USER|MERCHANT)$", 1), F.upper(status)
+    return F.when(named != "", named).when(state == "PREPARING", "MERCHANT").when((state == "READY") & (F.upper(order_type) == "PICKUP"), "USER")
 
 
 def json_number(value: Column) -> Column:
@@ -153,7 +150,7 @@ def json_number(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
-def is_bank_holiday(ts: Column, days: tuple[str, ...]) -> Column:
+def is_bank_holiday(ts: Column, days: tuple[str, ...] = BANK_HOLIDAYS) -> Column:
     """X26."""
     return F.to_date(F.from_utc_timestamp(ts, "Europe/London")).cast("string").isin(*days)
 

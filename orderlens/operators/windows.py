@@ -1,4 +1,4 @@
-"""Window features with the reference semantics of ties and bounds.
+"""Window features, exact about ties and bounds.
 
 Times are microseconds. Null keys would all meet in one window partition, so they are set aside before it.
 """

@@ -42,7 +42,7 @@ def emails(spark, d):
 
 def countries(spark, d):
     raw = F.when(c("user_id") % 4 == 0, " uk").when(c("user_id") % 4 == 1, "France").when(c("user_id") % 4 == 2, "de").otherwise("Atlantis")
-    return role(spark, d, "users").groupBy(x.iso_country(raw).alias("country")).agg(F.count(F.lit(1)).alias("users"))
+    return role(spark, d, "users").groupBy(x.iso_country(raw, {"France": "FR"}).alias("country")).agg(F.count(F.lit(1)).alias("users"))
 
 
 HOLIDAYS = ("1999-12-25", "2000-01-03", "2000-04-21", "2000-12-25", "2001-01-01")
@@ -57,7 +57,7 @@ def times(spark, d):
 
 
 def flags(spark, d):
-    reason = F.when(c("order_id") % 4 == 0, "CUSTOMER_CHANGED").when(c("order_id") % 8 == 1, "ITEM_GONE").when(c("order_id") % 8 == 4, "DRIVER_LOST").otherwise("OTHER")
+    reason = F.when(c("order_id") % 4 == 0, "cancelled_by=USER").when(c("order_id") % 8 == 1, "cancelled_by=ROBOT").when(c("order_id") % 8 == 5, "out of stock")
     return orders(spark, d).select("order_id", x.is_new_user_promo(c("promo_code")).alias("welcome"), x.cancelled_by(reason, c("status"), c("order_type")).alias("cancelled_by"))
 
 
@@ -392,11 +392,11 @@ QUERIES = {
         SELECT order_id, delivery, service, total_pence + 7 + delivery + service + 50 - 100 AS total, CASE WHEN v < 0 THEN '-' ELSE '' END || '£' || (abs(v) // 100) || '.' || lpad((abs(v) % 100)::VARCHAR, 2, '0') AS text FROM f"""),
     "X3_X13_money": (money, "SELECT p_partkey, round(p_retailprice * 1000 / 10)::BIGINT AS pence, round_even(p_size / 2, 0)::BIGINT AS even FROM part"),
     "X10_X11_X16_emails": (emails, """WITH e AS (SELECT user_id, city, CASE WHEN user_id % 7 = 0 THEN 'nobody' ELSE lower(name) || CASE WHEN user_id % 5 = 0 THEN '@Mailinator.com' ELSE '@example.com' END END AS email FROM u), g AS (SELECT *, CASE WHEN contains(email, '@') THEN lower(split_part(email, '@', 2)) ELSE 'unknown' END AS domain FROM e)
-        SELECT user_id, domain, domain IN ('mailinator.com', 'guerrillamail.com', '10minutemail.com', 'tempmail.com', 'throwaway.email') AS disposable, substr(email, 1, 2) || '***@' || domain AS masked, CASE WHEN user_id % 3 = 0 THEN NULL ELSE city::BIGINT END AS pence FROM g"""),
-    "X21_countries": (countries, "SELECT CASE user_id % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'FR' WHEN 2 THEN 'DE' END AS country, count(*) AS users FROM u GROUP BY 1"),
+        SELECT user_id, domain, domain IN ('mailinator.com', 'guerrillamail.com', 'tempmail.io', 'throwawaymail.com', '10minutemail.com', 'mailsac.com') AS disposable, substr(email, 1, 2) || '***@' || domain AS masked, CASE WHEN user_id % 3 = 0 THEN NULL ELSE city::BIGINT END AS pence FROM g"""),
+    "X21_countries": (countries, "SELECT CASE user_id % 4 WHEN 1 THEN 'FR' WHEN 2 THEN 'DE' ELSE 'GB' END AS country, count(*) AS users FROM u GROUP BY 1"),
     "X12_X17_X18_X23_X26_times": (times, f"""WITH f AS (SELECT *, make_timestamp(placed_us) AS ts, (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS l FROM o)
         SELECT order_id, isoyear(ts)::VARCHAR || '_' || lpad(week(ts)::VARCHAR, 2, '0') AS week, hour(l)::INT AS hour, hour(l) BETWEEN 2 AND 5 AS night, placed_us // 1000000 // 600 * 600 AS bucket, CASE WHEN terminal_us IS NULL THEN 0 ELSE greatest(0, floor(({A} - terminal_us) / {DAY}))::BIGINT END AS days, l::DATE::VARCHAR IN {HOLIDAYS} AS holiday FROM f"""),
-    "X24_X27_flags": (flags, "SELECT order_id, coalesce(starts_with(promo_code, 'WELCOME'), false) AS welcome, CASE WHEN status <> 'CANCELLED' THEN NULL WHEN order_id % 4 = 0 THEN 'CUSTOMER' WHEN order_id % 8 = 1 THEN 'STORE' WHEN order_id % 8 = 4 AND order_type = 'DELIVERY' THEN 'DRIVER' ELSE 'SYSTEM' END AS cancelled_by FROM o"),
+    "X24_X27_flags": (flags, "SELECT order_id, coalesce(starts_with(promo_code, 'WELCOME'), false) AS welcome, CASE WHEN order_id % 4 = 0 THEN 'USER' WHEN status = 'PREPARING' THEN 'MERCHANT' WHEN status = 'READY' AND order_type = 'PICKUP' THEN 'USER' END AS cancelled_by FROM o"),
     "X22_X28_store_types": (store_types, "SELECT store_id, array_to_string(list_filter([CASE WHEN accepts_delivery THEN 'DELIVERY' END, CASE WHEN accepts_pickup THEN 'PICKUP' END, CASE WHEN accepts_in_store THEN 'IN_STORE' END], lambda v: v IS NOT NULL), ',') AS kinds, store_id % 2 = 0 AS ios, store_id % 3 = 0 AS android FROM s"),
     "X19_X25_json": (json_fields, "SELECT event_type, max(cast(json_extract_string(props, '$.k') AS BIGINT)) AS k, min('{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}') AS payload, count(CASE WHEN event_id % 5 <> 0 THEN value END) AS finite FROM events GROUP BY event_type"),
     "X20_arrays": (arrays, "SELECT user_id, (count(DISTINCT status) + 1)::INT AS n, bool_or(status = 'PLACED') AS placed, array_to_string(list_append(list_sort(list(DISTINCT status)), 'NEW'), ',') AS all FROM o GROUP BY user_id".replace(" AS all", ' AS "all"')),
