@@ -9,8 +9,8 @@ DAY = 86_400_000_000
 TERMINAL = ("DELIVERED", "CANCELLED", "REFUNDED", "FAILED")
 #: The states that may follow each state.
 TRANSITIONS = (
-    ("PLACED", "ACCEPTED"), ("PLACED", "CANCELLED"), ("PLACED", "FAILED"), ("ACCEPTED", "PREPARING"), ("ACCEPTED", "CANCELLED"), ("PREPARING", "READY"), ("PREPARING", "CANCELLED"),
-    ("READY", "PICKED_UP"), ("READY", "DELIVERED"), ("PICKED_UP", "IN_TRANSIT"), ("PICKED_UP", "DELIVERED"), ("IN_TRANSIT", "DELIVERED"), ("IN_TRANSIT", "FAILED"), ("DELIVERED", "REFUNDED"),
+    ("PLACED", "ACCEPTED"), ("PLACED", "CANCELLED"), ("ACCEPTED", "PREPARING"), ("PREPARING", "READY"), ("PREPARING", "CANCELLED"), ("READY", "PICKED_UP"),
+    ("READY", "DELIVERED"), ("READY", "CANCELLED"), ("PICKED_UP", "IN_TRANSIT"), ("IN_TRANSIT", "DELIVERED"), ("IN_TRANSIT", "FAILED"),
 )
 CHAIN = ("PLACED", "ACCEPTED", "PREPARING", "READY", "PICKED_UP", "IN_TRANSIT", "DELIVERED")
 PICKUP_CHAIN = tuple(s for s in CHAIN if s not in ("PICKED_UP", "IN_TRANSIT"))

@@ -440,7 +440,7 @@ QUERIES = {
     "E7_O2_histogram": (lambda spark, d: evaluate.histogram(scored(spark, d)), "SELECT y, least(floor(score * 20), 19)::INT AS bin, count(*) AS count FROM y GROUP BY ALL"),
     "E9_calibration": (lambda spark, d: rounded(evaluate.calibration(scored(spark, d))), 'SELECT least(floor(score * 10), 9)::INT AS bin, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS mean_label, count(*) AS "rows" FROM y GROUP BY 1'),
     "E10_R4_ensemble": (ensemble, "SELECT row_id, round(0.6::DOUBLE * score + 0.4::DOUBLE * score_b, 6) AS score FROM sc"),
-    "E11_best_weights": (lambda spark, d: evaluate.best_weights(scored(spark, d)).select("wa", "wb", F.round("auprc", 6).alias("auprc"), "best"), """WITH m AS (SELECT i, wa, wb, y, round(wa * score + wb * score_b, 9) AS s FROM y, (VALUES (0, 0.5::DOUBLE, 0.5::DOUBLE), (1, 0.6::DOUBLE, 0.4::DOUBLE), (2, 0.7::DOUBLE, 0.3::DOUBLE), (3, 0.4::DOUBLE, 0.6::DOUBLE), (4, 0.3::DOUBLE, 0.7::DOUBLE)) v(i, wa, wb)),
+    "E11_best_weights": (lambda spark, d: evaluate.best_weights(scored(spark, d)).select("wa", "wb", F.round("auprc", 6).alias("auprc"), "best"), """WITH m AS (SELECT i, wa, wb, y, round(wa * score + wb * score_b, 9) AS s FROM y, (VALUES (0, 0.3::DOUBLE, 0.7::DOUBLE), (1, 0.4::DOUBLE, 0.6::DOUBLE), (2, 0.5::DOUBLE, 0.5::DOUBLE), (3, 0.6::DOUBLE, 0.4::DOUBLE), (4, 0.7::DOUBLE, 0.3::DOUBLE)) v(i, wa, wb)),
         g AS (SELECT i, wa, wb, s, sum(y) AS p, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT *, sum(p) OVER w / sum(n) OVER w AS prec, sum(p) OVER (PARTITION BY i) AS pos FROM g WINDOW w AS (PARTITION BY i ORDER BY s DESC)), ap AS (SELECT i, wa, wb, round(sum(p / pos * prec), 9) AS a FROM k GROUP BY ALL) SELECT wa, wb, round(a, 6) AS auprc, row_number() OVER (ORDER BY a DESC, i) = 1 AS best FROM ap"""),
     "E12_promotion_gate": (gate, "WITH p AS (SELECT 'recall_' || category AS metric, avg(score_b) AS production, avg(score) AS cand FROM y GROUP BY category) SELECT metric, round(production, 6) AS production, CASE WHEN metric <> 'recall_de' THEN round(cand, 6) END AS candidate, round(production * 0.9, 6) AS needed, CASE WHEN metric = 'recall_de' THEN false ELSE cand >= production * 0.9 END AS passes FROM p"),
     "E13_deltas": (deltas, "WITH f AS (SELECT avg(score) AS a, avg(score_b) AS b, max(score) AS m, max(score_b) AS n FROM y) SELECT 'auprc' AS metric, round(a, 6) AS candidate, round(b, 6) AS production, round(a - b, 6) AS delta FROM f UNION ALL SELECT 'auroc', round(m, 6), round(n, 6), round(m - n, 6) FROM f"),
