@@ -51,6 +51,17 @@ def small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike all columns of df (in any case) and the others."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """64 bits for a document row; rows equal in id and text share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small, stage
+from .common import fresh, slices, small, stage
 
 UNKNOWN = "und"
 #: Labelled documents of a language to learn from (about; fewer if there are fewer); centroids of a language; hashed n-grams.
@@ -135,27 +135,30 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; text decides alone. Null or no letter: `und` and 0. Other columns pass through."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score; text decides alone. Null or no letter: `und` and 0.
+
+    Columns called like the results (names) are replaced; others pass through. Repeated rows stay; empty in, empty out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = [shared.value.predict(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names, *names])
 
-    clean = docs.drop("lang_pred", "score")
-    return clean.mapInArrow(run, T.StructType([*clean.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    clean = docs.drop(*names)
+    return clean.mapInArrow(run, T.StructType([*clean.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def keep_known(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """The documents whose language is known: not `und`, and not farther than the rejection distance from all centroids.
 
-    An empty table, or one without labelled documents, teaches nothing; then only documents without a letter go.
+    All columns pass through, whatever they are called. An empty table, or one without labelled documents, teaches nothing; then only documents without a letter go.
     """
     model = train(docs.where(learnable()))
-    found = predict(docs, model)
-    known = F.col("score") >= reject if model.languages else F.col("text").rlike(r"\p{L}")
+    found = predict(docs, model, tuple(names := fresh(docs, "lang_pred", "score")))
+    known = F.col(names[1]) >= reject if model.languages else F.col("text").rlike(r"\p{L}")
     return found.where(known).select(*docs.columns)
 
 

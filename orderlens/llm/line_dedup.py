@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, doc_key, small, stage
+from .common import SPACE, doc_key, fresh, small, stage
 
 MIN_CHARS = 20
 #: Odd multiplier of the variants' polynomial hash, mod 2**64.
@@ -122,22 +122,31 @@ def dropped_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS) -
     return gone.groupBy("dkey").agg(F.collect_set("line_no").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with the text left after line dedup, and n_lines, n_dropped (int).
 
-    Needs doc_id and text; other columns pass through. Null texts stay null with no lines; blank and short
-    lines always stay. Rows equal in doc_id and text count as one document and get the same text; null ids
-    come last. One document's line numbers are the only thing gathered in one row. Empty in, empty out.
+    Needs doc_id and text; columns called like the results (names) are replaced, others pass through. Null texts
+    stay null with no lines; blank and short lines always stay. Rows equal in doc_id and text count as one document
+    and get the same text; null ids come last. One document's line numbers are the only thing gathered in one row.
+    Empty in, empty out.
     """
-    drops = small(stage(dropped_lines(docs, edits, min_chars), "drops"))
-    lines = F.split("text", "\n")
-    rows = docs.withColumn("_dkey", doc_key()).join(drops.select(F.col("dkey").alias("_dkey"), F.col("drop").alias("_drop")), "_dkey", "left")
+    docs = docs.drop(*names)
+    n_lines, n_dropped, key, drop, pieces = fresh(docs, *names, "_dkey", "_drop", "_lines")
+    drops = small(stage(dropped_lines(docs, edits, min_chars), "drops")).select(F.col("dkey").alias(key), F.col("drop").alias(drop))
+    rows = docs.withColumn(key, doc_key()).join(drops, key, "left")
     # No lambda over the drops for each line: set difference is linear, so long documents stay cheap.
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    rows = rows.withColumn("_lines", lines).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")))
-    rows = rows.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0))).withColumn("text", text)
-    return rows.drop("_dkey", "_drop", "_lines").select(*docs.columns, "n_lines", "n_dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(drop))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(pieces), i)), "\n"))
+    rows = rows.withColumn(pieces, F.split("text", "\n")).withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)))
+    rows = rows.withColumn(n_dropped, F.coalesce(F.size(drop), F.lit(0))).withColumn("text", text)
+    return rows.select(*docs.columns, n_lines, n_dropped)
+
+
+def left_after(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents (all columns, whatever they are called) with the text left; those that lose all their text go."""
+    names = tuple(fresh(docs, "n_lines", "n_dropped"))
+    left = dedup_lines(docs, edits, min_chars, names)
+    return left.where((F.col(names[1]) == 0) | F.col("text").rlike(f"[^{SPACE}]")).select(*docs.columns)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, word_count
+from .common import fresh, small, stage, word_count
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
@@ -45,8 +45,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     docs = docs.drop("size", "source_size", "target", "taken")
     sized = docs.withColumn("size", word_count(F.col("text")))
     sizes = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    goal = small(stage(targets(sizes, weights, share, max_epochs), "targets")).withColumnRenamed("source", "_source")
-    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    (of,) = fresh(docs, "_source")
+    goal = small(stage(targets(sizes, weights, share, max_epochs), "targets")).withColumnRenamed("source", of)
+    rows = sized.join(goal, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(times)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import fresh, small, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. As given, but possessive, and starting only where a run starts or the last match ended: the
@@ -145,13 +145,20 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span of `find` in text replaced by its kind in angle brackets; rows with a null doc_id or text pass."""
-    found = find(docs).groupBy("doc_id").agg(F.max("spans").alias("_spans"))
+    """docs with each span of `find` in text replaced by its kind in angle brackets.
+
+    Texts are looked up by their digest, so null and repeated doc_ids are masked too; equal texts are searched once.
+    Null texts stay null. Other columns pass through, whatever they are called.
+    """
+    key, spans_ = fresh(docs, "_text_key", "_spans")
+    keyed = docs.withColumn(key, F.sha2("text", 256))
+    texts = keyed.where(F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = find(texts).where("spans != ''").select(F.col("doc_id").alias(key), F.col("spans").alias(spans_))
     cut = F.expr(
-        "aggregate(transform(split(_spans, ','), x -> split(x, ':')), named_struct('at', 0, 'out', ''), (a, x) -> if(int(x[1]) < a.at, a, "
+        f"aggregate(transform(split({spans_}, ','), x -> split(x, ':')), named_struct('at', 0, 'out', ''), (a, x) -> if(int(x[1]) < a.at, a, "
         "named_struct('at', int(x[2]), 'out', concat(a.out, substr(text, a.at + 1, int(x[1]) - a.at), '<', x[0], '>'))), a -> concat(a.out, substr(text, a.at + 1)))"
     )
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.coalesce(F.col("_spans"), F.lit("")) == "", F.col("text")).otherwise(cut)).select(*docs.columns)
+    return keyed.join(found, key, "left").withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

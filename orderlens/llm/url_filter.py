@@ -91,12 +91,13 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], .
     list in the plan. Columns called like the results are replaced; others pass through, repeated rows too.
     """
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
-    pages = pages.drop("host", "path", "rule", "verdict", "probability", "grams", "features", "rawPrediction", "prediction")
-    rows = train(labelled).transform(features(pages)).withColumn("probability", vector_to_array("probability")[1])
+    pages = pages.drop("host", "path", "rule", "verdict", "probability")
+    # Packed, so that no column is taken for one of the model's.
+    rows = train(labelled).transform(features(pages.select(F.struct("*").alias("page"), "url"))).withColumn("probability", vector_to_array("probability")[1])
     rule, verdict = F.lit(None).cast("string"), F.when((F.col("host") != "") & (F.col("probability") >= BLOCK_FROM), "block").otherwise("allow")
     for what, text in reversed(ordered):
         rule, verdict = F.when(fits(text), text).otherwise(rule), F.when(fits(text), what).otherwise(verdict)
-    return rows.withColumn("rule", rule).withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "probability")
+    return rows.withColumn("rule", rule).withColumn("verdict", verdict).select("page.*", "host", "path", "rule", "verdict", "probability")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
