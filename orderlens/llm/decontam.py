@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-The words of test items (lower-cased letters and digits) give n-grams. A first pass over all documents
-counts in how many each n-gram stands; the rarer half of an item's n-grams are its seeds, so an item
-that leaked into very many documents still has seeds. A second pass finds runs of an item's seeds in a
-document and aligns the item with the words around them (match 2, mismatch -1, gap -1). The score is
-the alignment's, divided by that of a whole exact copy.
+The words of test items (lower-cased letters and digits) give n-grams, and all of them are seeds, however
+common. One map-only pass finds runs of an item's seeds in a document, drops places that hold fewer of the
+item's words than the least score needs, and aligns the item with the words around the others (match 2,
+mismatch -1, gap -1). The score is the alignment's, divided by that of a whole exact copy.
 
-Test items are a stated query set: they travel to the tasks in blocks of bounded size, and both passes
-are map-only over the documents, so no key can be hot and no pairs are shuffled.
+An item of n words with e words replaced or left out, and m intact, scores (2m - e) / 2n and keeps m - e - 1
+word pairs at least: n / 3 - 1 at a score of 0.5. So pairs lose no such copy, except of items of three words,
+which are sought by single words. Only words put in between nearly all words of a copy leave no pair.
+
+Test items are a stated query set: they travel to the tasks in blocks of bounded size, and the pass
+is map-only over the documents, so no key can be hot and no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Words of a seed; distinct seeds that a candidate needs; the least score of a leak.
-WIDTH, MIN_SEEDS, MIN_SCORE = 3, 2, 0.5
-#: Seeds of an item at least: short items keep all their n-grams.
-LEAST_SEEDS = 16
+#: Words of a seed; seeds that a candidate needs (items that can lose more to edits need one); the least score of a leak.
+WIDTH, MIN_SEEDS, MIN_SCORE = 2, 2, 0.5
 #: Characters of test items that travel to the tasks at once.
 BLOCK_CHARS = 8_000_000
 #: Alignment cells computed at once in a task.
@@ -49,23 +50,19 @@ class Items:
     codes: np.ndarray
     of: np.ndarray  # code -> its (item, place) entries: entries[of[k]:of[k + 1]]
     entries: np.ndarray
-    width: int
+    widths: list[int]  # of the seeds: an item has seeds of one width
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], width: int) -> Items:
         vocabulary: dict[str, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-        grams = [_codes(w, width) for w in words]
+        width_of = [width if len(w) > width + 1 or len(w) == width else 1 for w in words]
+        grams = [_codes(w, k) for w, k in zip(words, width_of)]
         code = np.concatenate([*grams, np.zeros(0, np.uint64)])
         place = np.array([(i, p) for i, g in enumerate(grams) for p in range(len(g))], np.int32).reshape(-1, 2)
         order = np.argsort(code, kind="stable")
         codes, first = np.unique(code[order], return_index=True)
-        return cls([r[0] for r in rows], words, vocabulary, codes, np.append(first, len(code)), place[order], width)
-
-    def only(self, keep: np.ndarray) -> Items:
-        """The entries (item, place) that stay seeds; keep: a flag for each entry."""
-        n = np.add.reduceat(np.append(keep, False).astype(np.int64), self.of[:-1]) if len(self.codes) else np.zeros(0, np.int64)
-        return Items(self.ids, self.words, self.vocabulary, self.codes[n > 0], np.concatenate(([0], np.cumsum(n[n > 0]))), self.entries[keep], self.width)
+        return cls([r[0] for r in rows], words, vocabulary, codes, np.append(first, len(code)), place[order], sorted(set(width_of)))
 
 
 def _codes(words: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +70,7 @@ def _codes(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    code, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    code, known = np.full(n, width, np.uint64), np.ones(n, bool)
     for k in range(width):
         w = words[k : k + n]
         known &= w > 0
@@ -95,11 +92,14 @@ def _numbered(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.n
 
 def _hits(numbers: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """Where n-grams of the items stand: place in numbers, index into items.codes."""
-    code = _codes(numbers, items.width)
-    at = np.flatnonzero(code)
-    k = np.searchsorted(items.codes, code[at])
-    ok = (k < len(items.codes)) & (items.codes[np.minimum(k, max(0, len(items.codes) - 1))] == code[at]) if len(items.codes) else np.zeros(len(at), bool)
-    return at[ok], k[ok]
+    found = []
+    for width in items.widths:
+        code = _codes(numbers, width)
+        at = np.flatnonzero(code)
+        k = np.searchsorted(items.codes, code[at])
+        ok = (k < len(items.codes)) & (items.codes[np.minimum(k, max(0, len(items.codes) - 1))] == code[at]) if len(items.codes) else np.zeros(len(at), bool)
+        found.append((at[ok], k[ok]))
+    return (np.concatenate([f[j] for f in found]) for j in range(2)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _align(jobs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,23 +128,39 @@ def _matches(texts: list[str | None], items: Items, min_seeds: int, min_score: f
         return []
     n = items.of[k + 1] - items.of[k]
     entry = items.entries[np.repeat(items.of[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-    at, code, item, place = np.repeat(at, n), np.repeat(k, n), entry[:, 0], entry[:, 1]
+    at, code, item = np.repeat(at, n), np.repeat(k, n), entry[:, 0]
     doc = np.searchsorted(starts, at, "right") - 1
-    order = np.lexsort((at, item, doc))
-    at, code, item, place, doc = at[order], code[order], item[order], place[order], doc[order]
     length = np.array([len(w) for w in items.words], np.int64)
-    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > length[item[1:]])) + 1
-    jobs, meta = [], []
-    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
-        i, d = int(item[s]), int(doc[s])
-        seeds = len(np.unique(code[s:e])) if e - s >= min_seeds else e - s
-        if seeds < min_seeds:
-            continue
-        slack = int(length[i]) // 4 + 2
-        lo = max(int(starts[d]), int(at[s]) - int(place[s]) - slack, int(at[s]) - int(length[i]) - slack)
-        hi = min(int(starts[d + 1]) - 1, int(at[e - 1]) + int(length[i]) - int(place[e - 1]) + slack)
-        jobs.append((items.words[i], numbers[lo:hi]))
-        meta.append((d, i, seeds, lo - int(starts[d])))
+    # The words that an alignment of the least score spans at most, and the seeds that replaced and left out words can't break.
+    span = length + np.floor(2 * (1 - min_score) * length).astype(np.int64)
+    need = np.clip(np.ceil((4 * min_score - 1) * length / 3 - 1).astype(np.int64), 1, max(1, min_seeds))
+    order = np.lexsort((at, item, doc))
+    at, code, item, doc = at[order], code[order], item[order], doc[order]
+    pair = np.cumsum(np.concatenate(([0], (np.diff(doc) != 0) | (np.diff(item) != 0)))) * (2 * len(numbers) + int(span.max()) + 1) + at
+    last = np.searchsorted(pair, pair + span[item], "right")
+    dense = np.flatnonzero(last - np.arange(len(at)) >= need[item])
+    # A hit counts if some dense window holds it.
+    cover = np.zeros(len(at) + 1, np.int64)
+    np.add.at(cover, dense, 1)
+    np.add.at(cover, last[dense], -1)
+    keep = np.cumsum(cover[:-1]) > 0
+    at, code, item, doc = at[keep], code[keep], item[keep], doc[keep]
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > span[item[1:]])) + 1
+    first, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
+    i, d = item[first], doc[first]
+    lo, hi = np.maximum(starts[d], at[first] - span[i]), np.minimum(starts[d + 1] - 1, at[end - 1] + span[i])
+    jobs, meta, stands = [], [], np.zeros(len(items.vocabulary) + 1, bool)
+    for s, e, i, d, lo, hi in zip(first.tolist(), end.tolist(), i.tolist(), d.tolist(), lo.tolist(), hi.tolist()):
+        # No alignment has more matches than the item has words that stand here.
+        known, window = items.words[i], numbers[lo:hi]
+        stands[window] = True
+        enough = stands[known].sum() >= min_score * len(known)
+        stands[window] = False
+        if enough:
+            jobs.append((known, window))
+            meta.append((d, i, len(np.unique(code[s:e])), lo - int(starts[d])))
     found: dict[tuple[int, int], tuple] = {}
     order = sorted(range(len(jobs)), key=lambda j: (len(jobs[j][0]), len(jobs[j][1])))
     while order:
@@ -173,46 +189,17 @@ def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[Item
         yield Items.build(rows, width)
 
 
-def _seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts in how many documents each n-gram stands, and keeps the rarer half of each item's (LEAST_SEEDS at least)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.codes), np.int64)
-        for part in slices(batches, "text"):
-            numbers, starts = _numbered(part.column("text").to_pylist(), items.vocabulary)
-            at, k = _hits(numbers, items)
-            doc = np.searchsorted(starts, at, "right") - 1
-            pairs = np.unique(doc * len(items.codes) + k) if len(at) else np.zeros(0, np.int64)
-            np.add.at(total, pairs % max(1, len(items.codes)), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["k", "n"])
-
-    frequency = np.zeros(len(items.codes), np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-        frequency[r["k"]] = r["n"]
-    each = np.repeat(frequency, np.diff(items.of))
-    order = np.lexsort((items.entries[:, 1], each, items.entries[:, 0]))
-    item = items.entries[order, 0]
-    size = np.bincount(item, minlength=len(items.ids))
-    rank = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-    keep = np.zeros(len(item), bool)
-    keep[order] = rank < np.maximum(LEAST_SEEDS, (size[item] + 1) // 2)
-    return items.only(keep)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per document and test item that it holds a copy of: doc_id, item_id, score (0 to 1), n_seeds, first_word, last_word.
 
     The place is the item's best one in the document, as word numbers from 0. Null and empty texts and items
-    hold nothing; items of fewer words than a seed never match; a null doc_id stays null; repeated rows and
+    hold nothing; items of one or two words match where all of them stand in order; a null doc_id stays null; repeated rows and
     repeated items repeat their rows. Other columns are not read. Empty tables give an empty table.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, n_seeds int, first_word int, last_word int"
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
     for items in _blocks(benchmark, width, block_chars):
-        shared = spark.sparkContext.broadcast(_seeds(rows, items))
+        shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
@@ -229,9 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents (all columns, any number, any names) that hold no test item, as `leaks` finds them. Map-only."""
-    text = F.col("text").cast("string").alias("text")
     for items in _blocks(benchmark, width, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(_seeds(docs.select(text), items))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):

@@ -337,6 +337,25 @@ def test_decontamination_against_plain_search(spark, data):
     assert got == want and want
 
 
+def test_decontamination_of_dense_edits_and_short_items(spark, data):
+    items = table(data, "benchmark", spark).where("length(text) > 0")
+    copies, want = [], set()
+    for i, r in enumerate(items.orderBy("item_id").collect()):
+        words = decontam.words_of(r["text"])
+        for every in range(3, 7):
+            now = ["zzz" if j % every == every - 1 else w for j, w in enumerate(words)]
+            if brute_align(words, now) >= len(words):
+                copies.append((100 * i + every, f"aside {' '.join(now)} after"))
+                want.add((100 * i + every, r["item_id"]))
+    beside = items.selectExpr("-1 - item_id as doc_id", "text").crossJoin(spark.range(20)).drop("id")
+    edited = made(spark, copies, "doc_id long, text string")
+    for docs in (edited, edited.unionByName(beside)):
+        assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items).collect()}
+    short = made(spark, [(1, "one two three"), (2, "ha ha ha ha"), (3, "single"), (4, "two words")], "item_id long, text string")
+    docs = made(spark, [(1, "x one two three y"), (2, "x ha ha ha ha"), (3, "a single y"), (4, "see two words"), (5, "two other words"), (6, "one zzz three")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, short).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1)}
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 
