@@ -5,8 +5,8 @@ file: for each pivot the vectors that have it among their nearest, with its rank
 distances over the postings of its own nearest pivots (a pivot that is missing counts as the rank after the
 last), and the closest part of each shard by that distance is ranked again by exact Euclidean distance.
 
-Shards are dealt by hash of the id and hold a bounded number of rows, so copies of one vector spread over
-all shards; queries go to every shard in blocks. Only each block's best k of each shard are shuffled on.
+Equal vectors are one row of the index with the ids that can be asked for, so copies take no places from others.
+Shards are dealt by hash of the vector and hold a bounded number of rows; queries go to every shard in blocks. Only each block's best k of each shard are shuffled on.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Pivots, their number in a representation, rows of a shard, queries of a block, share of a shard that is ranked again.
-PIVOTS, PREFIX, SHARD_ROWS, BLOCK, SHARE = 128, 32, 16_384, 4_096, 0.15
-#: Rows of a shard that are ranked again at least.
-LEAST = 500
+PIVOTS, PREFIX, SHARD_ROWS, BLOCK, SHARE = 128, 32, 16_384, 4_096, 0.35
+#: Rows of a shard that are ranked again besides the share, for each neighbour asked for: tiny tables have k answers.
+SPARE = 10
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -56,20 +56,33 @@ def search(perms: np.ndarray, queries: np.ndarray, n_pivots: int) -> Iterator[np
         yield prefix * (prefix + 1) - saved
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids): each vector once, with those of its ids, smallest first, that can be among k answers to any query.
+
+    At most k rows of an id can be, and 2 k rows in all: k besides those of the query's own id. Both limits
+    are applied before rows are shuffled too, so a vector of very many rows is no hot key.
+    """
+    limited = rows
+    for keys, order, most in ((("v", "vec_id"), "vec_id", k), (("v",), "vec_id", 2 * k)):
+        limited = limited.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("n") <= most).drop("n")
+    return limited.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
 def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, shard_rows: int = SHARD_ROWS, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds, itself left out.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Pivots are the `pivots`
-    rows of smallest hashed id (a bounded sample); every usable row is indexed. Rows that repeat an id are
+    vectors of smallest hash (a bounded sample); every usable vector is indexed, equal ones once. Rows that repeat an id are
     candidates each, but a query's own id never is; it is asked once, with its smallest vector. Null ids take no part. Empty in, empty out.
     """
     spark = vectors.sparkSession
     rows = stage(usable(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
+    vectors = stage(distinct(rows, k), "distinct")
+    n = vectors.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    chosen = np.array([r["v"] for r in rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(pivots).collect()])
+    chosen = np.array([r["v"] for r in vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(pivots).collect()])
     prefix = min(prefix, len(chosen))
     shared = spark.sparkContext.broadcast(chosen)
 
@@ -78,31 +91,36 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
             v = batch.column("v")
             x = v.flatten().to_numpy().reshape(len(v), -1)
             p = permutations(x, shared.value, prefix)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), v, pa.ListArray.from_arrays(np.arange(0, p.size + 1, prefix, dtype=np.int32), pa.array(p.ravel()))], names=["vec_id", "v", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.ListArray.from_arrays(np.arange(0, p.size + 1, prefix, dtype=np.int32), pa.array(p.ravel()))], names=[batch.schema.names[0], "v", "p"])
 
-    index = stage(rows.mapInArrow(represent, "vec_id long, v array<double>, p array<short>"), "index")
-    queries = index.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "p")).alias("one")).select("vec_id", "one.*")
+    index = stage(vectors.select("ids", "v").mapInArrow(represent, "ids array<long>, v array<double>, p array<short>"), "index")
+    asked = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = stage(asked.mapInArrow(represent, "vec_id long, v array<double>, p array<short>"), "queries")
     shards, blocks = -(-n // shard_rows), max(1, -(-queries.count() // BLOCK))
-    deal = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
+    deal = lambda col, count, seed: F.pmod(F.xxhash64(col, F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = index.withColumn("shard", deal(shards, 1)).withColumn("block", every(blocks))
-    right = queries.withColumn("block", deal(blocks, 2)).withColumn("shard", every(shards))
+    left = index.withColumn("shard", deal("v", shards, 1)).withColumn("block", every(blocks))
+    right = queries.withColumn("block", deal("vec_id", blocks, 2)).withColumn("shard", every(shards))
 
     def look(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(ask):
-            data = data.sort_values("vec_id", kind="stable")
-            ids, x, perms = data["vec_id"].to_numpy(), np.stack(data["v"].to_numpy()), np.stack(data["p"].to_numpy())
-            top = min(len(ids), max(LEAST, int(share * len(ids))))
+            data = data.assign(first=data["ids"].str[0]).sort_values("first", kind="stable")
+            of, x, perms = data["ids"].to_numpy(), np.stack(data["v"].to_numpy()), np.stack(data["p"].to_numpy())
+            top = min(len(x), int(share * len(x)) + SPARE * k)
             for me, q, footrule in zip(ask["vec_id"], ask["v"], search(perms, np.stack(ask["p"].to_numpy()), len(shared.value))):
                 # Ties at the edge go to the smaller id: rows are in that order, so the stable order decides.
                 edge = np.partition(footrule, top - 1)[top - 1]
                 at = np.flatnonzero(footrule < edge)
                 at = np.concatenate((at, np.flatnonzero(footrule == edge)[: top - len(at)]))
-                at = at[ids[at] != me]
                 d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
-                best = np.lexsort((ids[at], d))[:k]
-                out += zip([me] * len(best), ids[at[best]].tolist(), d[best].tolist())
+                # One vector may have no id but the query's own; all others have one at least.
+                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                ids = np.concatenate([of[j] for j in at[near]])
+                d = np.repeat(d[near], [len(of[j]) for j in at[near]])
+                ids, d = ids[ids != me], d[ids != me]
+                best = np.lexsort((ids, d))[:k]
+                out += zip([me] * len(best), ids[best].tolist(), d[best].tolist())
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")

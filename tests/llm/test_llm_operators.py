@@ -278,6 +278,26 @@ def test_nearest_recall_and_scores(spark):
     assert hits / (10 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [0, 2000])
+def test_nearest_recall_beside_copies(spark, copies):
+    real = np.array([r["embedding"] for r in table("/root/testdata/sf0.1", "embeddings", spark).collect()], np.float64)
+    x = np.random.default_rng(3).multivariate_normal(real.mean(axis=0), np.cov(real.T), 4000)
+    x = np.concatenate((x, np.repeat(x[:1], copies, axis=0)))
+    rows = made(spark, [(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = [*range(1, 4000, 80), *[0, 4000, 5999][: copies and 3]]
+    found = defaultdict(list)
+    for r in ann.neighbours(rows, lambda v: v.isin(asked)).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(len(x)), d)).tolist() if i != q][:10]
+        assert len(found[q]) == 10 and (not copies or 0 < q < 4000 or [v for v, _ in found[q]] == want)
+        hits += len(set(want) & {v for v, _ in found[q]})
+    print("recall", copies, hits / (10 * len(asked)))
+    assert hits / (10 * len(asked)) >= 0.9
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 2.0]), (100, [0.0, 1.0])]
     got = ann.neighbours(made(spark, rows, "vec_id long, embedding array<float>"), lambda v: v % 100 == 0).orderBy("query_id", "rank").collect()
