@@ -101,3 +101,23 @@ def test_masking_goes_by_text(spark):
     assert got.columns == ["doc_id", "text", "_spans"]
     assert sorted(map(str, (r["text"] for r in got.collect()))) == sorted(["mail <email> now", "nothing here", "ip <ip>", "mail <email> now", "None", ""])
     assert simhash.dedup(got).columns == got.columns
+
+
+def test_near_copies_stage_verifies_and_finds_random_edits(spark):
+    rng, rows, near = np.random.default_rng(5), [], set()
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    jaccard = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(100, 1000)))]
+        for kind, share in enumerate((0, 0.005, 0.01, 0.02, 0.1)):
+            now = [f"e{rng.integers(0, 10**6)}" if rng.random() < share else w for w in words]
+            rows.append((1000 * kind + i, " ".join(now), None, "s", 0))
+            if kind and jaccard(words, now) >= 0.8:
+                near.add(1000 * kind + i)
+    rows += [(9000, "x y z " * 200 + "end", None, "s", 0), (9001, "X y  z " * 200 + "end", None, "s", 0), (9002, "a b", None, "s", 0), (9003, "a c", None, "s", 0), (None, "a b", None, "s", 0)]
+    by = {r[0]: r[1].split() for r in rows}
+    left = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    gone = set(by) - left
+    print("near copies gone", len(near & gone), "of", len(near))
+    assert len(near & gone) >= 0.99 * len(near) and {9001} <= gone and {9000, 9002, 9003, None} <= left
+    assert all(any(jaccard(by[d], by[d % 1000 + 1000 * k]) >= 0.8 for k in range(d // 1000)) for d in gone - {9001})
