@@ -2,8 +2,8 @@
 
 Texts become unit vectors of hashed 1- to 3-gram counts (square roots) times inverse document frequency.
 Each language is described by several centroids, found by spherical k-means over a bounded sample of its
-labelled documents; a text takes the language of the centroid of greatest cosine. A text whose greatest
-cosine is under `reject` is as far from everything learned as noise is, and is rejected.
+labelled documents; a text takes the language of the centroid of greatest cosine. A text is rejected if
+that cosine is well under those that the language's own documents have to centroids learned without them.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .common import fresh, slices, small, stage
 UNKNOWN = "und"
 #: Labelled documents of a language to learn from (about; fewer if there are fewer); centroids of a language; hashed n-grams.
 SAMPLE, CENTROIDS, BINS = 2000, 4, 1 << 13
-#: Cosine below which the pipeline rejects a document.
+#: Cosine below which the pipeline rejects a document of any language, however little was learned.
 REJECT = 0.02
+#: A language's own rejection cosine: this quantile of its documents' cosines, times the margin; documents needed for it.
+LOW, MARGIN, ENOUGH = 0.005, 0.7, 20
 #: Characters vectorised at once, so that a text of any length takes bounded memory.
 CHUNK = 1 << 20
 
@@ -60,11 +62,12 @@ def counts(text: str | None, bins: int) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Languages of the centroids (rows, unit length) and the inverse document frequencies."""
+    """Languages of the centroids (rows, unit length), the inverse document frequencies, and each language's rejection cosine."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
+    floors: dict[str, float]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         n = counts(text, len(self.idf))
@@ -91,6 +94,14 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def floor(x: np.ndarray, k: int) -> float:
+    """The rejection cosine of a language with these unit rows: each half's cosines to centroids of the other half. Few rows: 0."""
+    if len(x) < ENOUGH:
+        return 0.0
+    cosines = [(x[i::2] @ kmeans(x[1 - i :: 2], k).T).max(axis=1) for i in range(2)]
+    return MARGIN * float(np.quantile(np.concatenate(cosines), LOW))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, bins: int = BINS) -> Model:
     """Learns from labelled rows (doc_id, text, lang); null lang and texts without a letter teach nothing.
 
@@ -124,10 +135,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
             at = rows["at"][j]
             x[i, at] = np.sqrt(rows["n"][j]) * idf[at]
             x[i] /= max(float(np.linalg.norm(x[i])), 1e-12)
-        return pd.DataFrame({"lang": key[0], "centroid": list(kmeans(x, centroids))})
+        return pd.DataFrame({"lang": key[0], "centroid": list(kmeans(x, centroids)), "floor": floor(x, centroids)})
 
-    found = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>").orderBy("lang").collect()
-    return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, bins), idf)
+    found = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, floor double").orderBy("lang").collect()
+    return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, bins), idf, {r["lang"]: r["floor"] for r in found})
 
 
 def learnable(doc_id: str = "doc_id") -> Column:
@@ -152,13 +163,16 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
 
 
 def keep_known(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The documents whose language is known: not `und`, and not farther than the rejection distance from all centroids.
+    """The documents whose language is known: not `und`, and not farther than its rejection distance from the nearest centroid.
+
+    That distance is learned (see `floor`); a cosine under `reject` goes in any case.
 
     All columns pass through, whatever they are called. An empty table, or one without labelled documents, teaches nothing; then only documents without a letter go.
     """
     model = train(docs.where(learnable()))
     found = predict(docs, model, tuple(names := fresh(docs, "lang_pred", "score")))
-    known = F.col(names[1]) >= reject if model.languages else F.col("text").rlike(r"\p{L}")
+    least = F.coalesce(*[F.when(F.col(names[0]) == lang, F.lit(max(reject, low))) for lang, low in model.floors.items()], F.lit(reject))
+    known = F.col(names[1]) >= least if model.languages else F.col("text").rlike(r"\p{L}")
     return found.where(known).select(*docs.columns)
 
 

@@ -227,6 +227,25 @@ def test_language_id_edges(spark):
     assert langid.keep_known(docs).count() == 1 and langid.keep_known(docs.limit(0)).count() == 0
 
 
+def test_unlearned_languages_and_junk_go(spark):
+    docs = table("/root/testdata/sf0.01", "documents", spark)
+    strange = [
+        "日本語のテキストです。これは学習していない言語。" * 5,
+        "Правительство объявило о новых мерах поддержки семей и предприятий во время кризиса.",
+        "Η κυβέρνηση ανακοίνωσε νέα μέτρα για τη στήριξη των οικογενειών και των επιχειρήσεων.",
+        "asdf jkl; qwer zxcv uiop hjkl asdfgh qwerty zxcvbn poiu lkjh mnbv fghj rtyu",
+        "Rząd ogłosił nowe środki wspierające rodziny i przedsiębiorstwa w trudnej sytuacji gospodarczej.",
+        "Hükümet, ekonomik kriz sırasında aileleri ve şirketleri desteklemek için yeni önlemler açıkladı.",
+        "Hallitus ilmoitti uusista toimista, joilla tuetaan perheitä ja yrityksiä talouskriisin aikana.",
+        "Il governo ha annunciato nuove misure per sostenere le famiglie e le imprese in difficoltà.",
+    ]
+    added = made(spark, [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(strange)], DOCS)
+    left = {r["doc_id"] for r in langid.keep_known(docs.unionByName(added)).collect()}
+    clean = [r["doc_id"] for r in docs.where(~langid.learnable() & (F.col("text").rlike(r"\p{L}"))).collect()]
+    print("unlearned left", [strange[-1 - i][:20] for i in left if i < 0], "held out left", sum(i in left for i in clean), "of", len(clean))
+    assert not any(i < 0 for i in left) and sum(i in left for i in clean) >= 0.99 * len(clean)
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------
 
 
