@@ -5,7 +5,8 @@ Every source asks for its weight's share of the mix; one that would repeat its t
 In closed form: sort sources by cap over weight, and find the first prefix of clamped ones after which
 the level (what is left over the weights that are left) fits under the next cap.
 
-A document is taken floor(target / size of its source) times whole, and a seeded fraction of its words once more.
+A document is taken floor(target / size of its source) times whole, and a fraction of its words once more: a run that
+starts at a seeded word and goes on at the document's start when it meets its end, so every word is as likely.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small, stage, word_count
+from .common import SPACE, WORD, fresh, small, stage, word_count
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
@@ -54,14 +55,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return rows.withColumn("taken", (whole * F.col("size") + F.least(F.floor((times - whole) * F.col("size") + draw), F.col("size"))).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
-def repetitions(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row per whole repetition and one for the fraction, with its text, from the rows of `mix`."""
-    words = rf"[^\x20\x09-\x0D]+"
+def repetitions(mixed: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself: a row per whole repetition and one for the fraction, with its text, from the rows of `mix`.
+
+    The fraction starts at a word drawn by seed, id and text. White space within it stays; where it goes on at the start, a line break parts the two.
+    """
     rest = F.when(F.col("size") > 0, F.pmod(F.col("taken"), F.col("size"))).otherwise(0)
     whole = F.when(F.col("size") > 0, (F.col("taken") - rest) / F.col("size")).otherwise(0).cast("int")
     parts = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     rows = mixed.withColumn("n_words", F.explode(parts))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(words), F.lit(0)), F.lit(1), F.col("n_words").cast("int")), " ")
+    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
+    size, n = F.col("size").cast("int"), F.col("n_words").cast("int")
+    start = F.pmod(F.xxhash64(F.lit(f"{seed}:start"), F.col("doc_id").cast("string"), "text"), F.col("size")).cast("int")
+    run = lambda at, many: F.regexp_replace(F.array_join(F.slice(words, at, many), ""), rf"^[{SPACE}]+", "")
+    over = start + n - size
+    cut = F.when(over > 0, F.concat_ws("\n", run(start + 1, size - start), run(F.lit(1), over))).otherwise(run(start + 1, n))
     return rows.withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut))
 
 

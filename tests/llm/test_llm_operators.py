@@ -433,6 +433,15 @@ def test_mixing_against_water_filling(spark, data):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_fractions_reach_all_words(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(50)), "s", 50, 20) for i in range(200)]
+    mixed = made(spark, rows, "doc_id long, text string, source string, size long, taken long")
+    runs = {seed: {r["doc_id"]: r["text"].split() for r in mixing.repetitions(mixed, seed).collect()} for seed in ("a", "b")}
+    n = Counter(w for words in runs["a"].values() for w in words)
+    assert len(n) == 50 and min(n.values()) > 40 and all(len(w) == len(set(w)) == 20 for w in runs["a"].values())
+    assert sum(runs["a"][i] != runs["b"][i] for i in range(200)) > 150
+
+
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
 
