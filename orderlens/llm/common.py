@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,17 +19,20 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-#: Rows up to which `small()` lets a side be broadcast; callers pass narrow rows (about 100 bytes).
-BROADCAST_ROWS = 300_000
+#: Rows, and bytes (as JSON), up to which `small()` lets a side be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. If that is unset, a temporary one on a local master (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         made = tempfile.mkdtemp(prefix="orderlens-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -43,12 +48,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and lost executors cost no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def unstage(staged: DataFrame | None) -> None:
+    """Deletes what `stage` wrote, once nothing reads it any more. What results read stays until their owner clears the shared folder."""
+    if staged is not None and (path := _paths.pop(staged, None)):
+        jvm, sc = staged.sparkSession._jvm, staged.sparkSession.sparkContext
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(staged: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a staged table for broadcast if its rows and bytes are within the limits; else the join shuffles."""
+    one = F.octet_length(F.to_json(F.struct("*"))) if staged.columns else F.lit(0)
+    got = staged.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(one), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(staged) if got["n"] <= rows and got["bytes"] <= size else staged
 
 
-def small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a staged table for broadcast if its row count is under the limit; else the join shuffles."""
-    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
+def spread(staged: DataFrame, weight: Column, of_task: int) -> DataFrame:
+    """The rows dealt out so that a task has about of_task of the weight (a column): for steps that make many rows of one."""
+    total = staged.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    least = staged.sparkSession.sparkContext.defaultParallelism
+    return staged.repartition(max(least, -(-int(total) // of_task)))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

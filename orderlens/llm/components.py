@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         starred = large.withColumn("m", least_of).select(
             F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")
         )
-        links = stage(starred.select("e.hi", "e.lo").where("hi != lo").distinct(), "links")
+        before, links = links, stage(starred.select("e.hi", "e.lo").where("hi != lo").distinct(), "links")
+        unstage(before)
