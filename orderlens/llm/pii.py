@@ -6,12 +6,13 @@ trusted, given enough different ones, and an instance as its patterns together (
 thus discover identifiers of looser shapes (no top-level domain, spelled-out at and dot, phone numbers without
 a plus, IPv6, cards with other separators); those of enough trust become spans unless a base span overlaps.
 
-All of it is DataFrame and SQL functions. Texts are scanned once; the graph is aggregated from mentions alone.
+All of it is DataFrame and SQL functions. Texts are scanned once, in time linear in their length; matches become rows,
+running sums of what lies between them give their places, and the graph is aggregated from them alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, small, stage
@@ -37,9 +38,9 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LOOSE_NEEDS = {"email": r"@|[\(\[]at[\)\]]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[./_][0-9]{4}", "phone": r"[0-9][\x20./-][0-9]{3}"}
 #: Rounds; different trusted instances that a pattern needs; trust from which patterns and instances count.
 ROUNDS, SUPPORT, TRUST = 3, 5, 0.8
-#: Characters before a mention in which its words are looked for.
-REACH = 40
-SPAN = "array<struct<kind:string,s:int,e:int,inst:string>>"
+#: Spans that are cut from one stretch of a text.
+PIECES = 500
+MARK = "array<struct<kind:string,base:boolean,gap:int,size:int,ok:boolean,inst:string,ctx:array<string>>>"
 
 
 def digits(text: str) -> str:
@@ -63,39 +64,19 @@ def valid(kind: str, text: str) -> str:
     return "true"
 
 
-def spans(kind: str, pattern: str, test: str, check: str) -> Column:
-    """The valid matches of a pattern in t: kind, start and end in code points, text. What is between matches gives the places."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    step = (
-        "(a, x) -> named_struct('at', a.at + length(x.g) + coalesce(length(x.m), 0), 'out', if(x.m is not null and " + check + ", "
-        f"concat(a.out, array(named_struct('kind', '{kind}', 's', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 'inst', x.m))), a.out))"
-    )
-    found = f"aggregate(zip_with(split(t, '{p}', -1), regexp_extract_all(t, '{p}', 0), (g, m) -> named_struct('g', g, 'm', m)), named_struct('at', 0, 'out', cast(array() as {SPAN})), {step}, a -> a.out)"
-    return F.expr(f"if({test}, {found}, cast(array() as {SPAN}))")
-
+def contexts(gap: str) -> str:
+    """SQL: the lexical patterns of a mention: the one and two words before it on its line and after any mention of its kind; the last must have a letter."""
+    last = f"trim(regexp_replace(translate(lower(substring_index({gap}, '\\n', -1)), '\\t', ' '), ' +', ' '))"
+    two = "substring_index(w, ' ', -2)"
+    return f"flatten(transform(array({last}), w -> filter(array(concat('1:', substring_index(w, ' ', -1)), if(contains({two}, ' '), concat('2:', {two}), null)), y -> y is not null and y rlike '\\\\p{{L}}')))"
 
-def contexts(a: str = "x") -> str:
-    """SQL: the lexical patterns of a mention, from the words before it on its line; at least one must be a word of letters."""
-    before = f"lower(regexp_extract(substr(t, greatest(1, {a}.s - {REACH - 1}), least({REACH}, {a}.s)), '([^\\\\n]*)$', 1))"
-    words = f"filter(split({before}, '[\\\\x20\\\\t]+'), w -> w != '')"
-    return f"flatten(transform(array({words}), w -> filter(array(element_at_or(w, 1), element_at_or(w, 2)), y -> y is not null and y rlike '\\\\p{{L}}')))".replace(
-        "element_at_or(w, 1)", "if(size(w) >= 1, concat('1:', w[size(w) - 1]), null)"
-    ).replace("element_at_or(w, 2)", "if(size(w) >= 2, concat('2:', w[size(w) - 2], ' ', w[size(w) - 1]), null)")
 
-
-def mentions(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, base, loose): spans of each document row, with instance and contexts; rid numbers the staged rows."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    no_digits = "t rlike '[0-9]'"
-    for kind in KINDS:
-        need = NEEDS[kind]
-        rows = rows.withColumn(f"b_{kind}", spans(kind, BASE[kind], f"contains(t, '{need}')" if need else no_digits, valid(kind, "x.m")))
-        need = LOOSE_NEEDS[kind].replace("\\", "\\\\")
-        rows = rows.withColumn(f"l_{kind}", spans(kind, LOOSE[kind], f"t rlike '{need}'", valid(kind, "x.m") if kind in ("card", "phone") else "true"))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(f"b_{k}") for k in KINDS]), _in_order))
-    rows = rows.withColumn("loose", F.expr("filter(concat(" + ", ".join(f"l_{k}" for k in KINDS) + "), x -> not exists(base, y -> x.s < y.e and y.s < x.e))"))
-    told = lambda name: F.expr(f"transform({name}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'inst', lower(x.inst), 'ctx', {contexts()}))")
-    return stage(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", told("base").alias("base"), told("loose").alias("loose")), "mentions")
+def marks(kind: str, base: bool, pattern: str, test: str, check: str) -> Column:
+    """The matches of a pattern in t in order: what is between them (characters), their own, whether they are valid, text and contexts."""
+    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    one = f"named_struct('kind', '{kind}', 'base', {str(base).lower()}, 'gap', length(g), 'size', length(m), 'ok', m is not null and ({check.replace('x.m', 'm')}), 'inst', m, 'ctx', if(m is null, array(), {contexts('g')}))"
+    found = f"filter(zip_with(split(t, '{p}', -1), regexp_extract_all(t, '{p}', 0), (g, m) -> {one}), x -> x.inst is not null)"
+    return F.expr(f"cast(if({test}, {found}, array()) as {MARK})")
 
 
 def _in_order(x: Column, y: Column) -> Column:
@@ -105,10 +86,30 @@ def _in_order(x: Column, y: Column) -> Column:
     return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
+def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The staged rows (rid, doc_id), and their mentions (rid, kind, s, e, base, inst, ctx): base ones, and loose ones that no base one overlaps."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    found = []
+    for kind in KINDS:
+        need = NEEDS[kind]
+        found.append(marks(kind, True, BASE[kind], f"contains(t, '{need}')" if need else "t rlike '[0-9]'", valid(kind, "x.m")))
+        need = LOOSE_NEEDS[kind].replace("\\", "\\\\")
+        found.append(marks(kind, False, LOOSE[kind], f"t rlike '{need}'", valid(kind, "x.m") if kind in ("card", "phone") else "true"))
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.concat(*found).alias("marks")), "marks")
+    every = rows.select("rid", F.posexplode("marks").alias("i", "m")).select("rid", "i", "m.*")
+    placed = every.withColumn("e", F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("rid", "kind", "base").orderBy("i")).cast("int"))
+    placed = placed.where("ok").select("rid", "kind", "base", (F.col("e") - F.col("size")).alias("s"), "e", F.lower("inst").alias("inst"), "ctx")
+    up, down = (Window.partitionBy("rid").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("s"), F.desc("s")))
+    before, after = F.max(F.when(F.col("base"), F.col("e"))).over(up), F.min(F.when(F.col("base"), F.col("s"))).over(down)
+    free = F.coalesce(before <= F.col("s"), F.lit(True)) & F.coalesce(after >= F.col("e"), F.lit(True))
+    kept = placed.withColumn("free", free).where("base or free").drop("free")
+    return rows.select("rid", "doc_id"), stage(kept, "mentions")
+
+
 def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """(kind, inst): loose instances that trusted patterns vouch for, from the graph of patterns and instances."""
-    graph = lambda name, seed: found.select(F.explode(name).alias("m")).select("m.kind", "m.inst", F.explode("m.ctx").alias("ctx")).distinct().withColumn("seed", F.lit(seed))
-    edges = stage(graph("base", 1).unionByName(graph("loose", 0)), "pattern-graph")
+    edges = found.select("kind", "inst", F.explode("ctx").alias("ctx"), F.col("base").cast("int").alias("seed")).distinct()
+    edges = stage(edges, "pattern-graph")
     loose = edges.where("seed = 0")
     seeds = edges.groupBy("kind", "ctx").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"))
     seeds = stage(seeds.where(F.col("n") >= support), "patterns")
@@ -132,33 +133,41 @@ def _written(spans_: str) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """A row per document row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and discovered).
 
-    Null and empty texts have no spans. Null and repeated doc_ids keep a row each. Other columns are not read.
+    Null and empty texts have no spans. Null and repeated doc_ids keep a row each. Other columns are not read. Empty in, empty out.
     """
-    found = mentions(docs)
-    new = found.select("rid", F.explode("loose").alias("m")).select("rid", "m.kind", "m.s", "m.e", "m.inst")
-    new = new.join(small(stage(discovered(found), "discovered")), ["kind", "inst"], "left_semi").groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("more"))
-    plain = F.expr("transform(base, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))")
-    rows = found.select("rid", "doc_id", plain.alias("base")).join(new, "rid", "left")
-    rows = rows.withColumn("every", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,s:int,e:int>>"))), _in_order))
+    rows, found = mentions(docs)
+    new = found.where("not base").join(small(stage(discovered(found), "discovered")), ["kind", "inst"], "left_semi")
+    parts = found.where("base").unionByName(new).groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e", "base")).alias("every"))
+    rows = rows.join(parts, "rid", "left").withColumn("every", F.array_sort(F.coalesce("every", F.array().cast("array<struct<kind:string,s:int,e:int,base:boolean>>")), _in_order))
+    rows = rows.withColumn("base", F.filter("every", lambda x: x["base"]))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("every").alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span of `find` in text replaced by its kind in angle brackets.
+    """docs with what the spans of `find` cover in text replaced by the kind in angle brackets; spans that overlap are one, of the first's kind.
 
     Texts are looked up by their digest, so null and repeated doc_ids are masked too; equal texts are searched once.
-    Null texts stay null. Other columns pass through, whatever they are called.
+    Null texts stay null. Other columns pass through, whatever they are called. Empty in, empty out.
     """
-    key, spans_ = fresh(docs, "_text_key", "_spans")
+    key, cuts = fresh(docs, "_text_key", "_cuts")
     keyed = docs.withColumn(key, F.sha2("text", 256))
     texts = keyed.where(F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    found = find(texts).where("spans != ''").select(F.col("doc_id").alias(key), F.col("spans").alias(spans_))
-    cut = F.expr(
-        f"aggregate(transform(split({spans_}, ','), x -> split(x, ':')), named_struct('at', 0, 'out', ''), (a, x) -> if(int(x[1]) < a.at, a, "
-        "named_struct('at', int(x[2]), 'out', concat(a.out, substr(text, a.at + 1, int(x[1]) - a.at), '<', x[0], '>'))), a -> concat(a.out, substr(text, a.at + 1)))"
-    )
-    return keyed.join(found, key, "left").withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    parts = find(texts).where("spans != ''").select(F.col("doc_id").alias("k"), F.explode(F.split("spans", ",")).alias("x")).select("k", F.split("x", ":").alias("x"))
+    rows = parts.select("k", F.col("x")[0].alias("kind"), F.col("x")[1].cast("int").alias("s"), F.col("x")[2].cast("int").alias("e"))
+    order = Window.partitionBy("k").orderBy("s", "e", "kind")
+    ended = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.coalesce(ended <= F.col("s"), F.lit(True)), 1).otherwise(0))
+    rows = rows.withColumn("i", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.groupBy("k", "i").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("kind", F.struct("s", "e", "kind")).alias("kind"))
+    whole = whole.withColumn("at", F.coalesce(F.lag("e").over(Window.partitionBy("k").orderBy("i")), F.lit(0)))
+    found = whole.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "s", "e", "kind"))).alias(cuts)).withColumnRenamed("k", key)
+    # Pieces are taken from stretches of the text of PIECES spans each, so that a text of very many spans isn't walked from its start for each.
+    piece = "concat(substr(y.part, x.at - y.at + 1, x.s - x.at), '<', x.kind, '>')"
+    stretch = f"transform(sequence(0, size({cuts}) - 1, {PIECES}), i -> struct(slice({cuts}, i + 1, {PIECES}) as c))"
+    stretch = f"transform({stretch}, y -> struct(y.c as c, y.c[0].at as at, substr(text, y.c[0].at + 1, element_at(y.c, -1).e - y.c[0].at) as part))"
+    masked = F.expr(f"concat(array_join(transform({stretch}, y -> array_join(transform(y.c, x -> {piece}), '')), ''), substr(text, element_at({cuts}, -1).e + 1))")
+    return keyed.join(found, key, "left").withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
