@@ -3,7 +3,8 @@
 Turns are ordered by range over the whole table, so that a conversation of any length spans many tasks. Prefix
 sums of turn tokens (within a task, then over tasks) cut each conversation into spans of whole turns; a span that
 doesn't fit the budget gives its last turn a window of its own. Each window holds the system turn, as much of
-the turns before it as the history allows, and its own turns; only its own assistant turns are trained on.
+the turns before it as the history and what is left of the budget allow, and its own turns; only its own assistant
+turns are trained on. Tokens are those of the turn as it stands in the window: marks, role and escaped text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .common import new_path, slices, stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern that belongs to this vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUDGET, HISTORY, OVERHEAD = 1024, 256, 4
+#: OVERHEAD: the tokens of a turn besides role and text: its two marks and the line break after it.
+BUDGET, HISTORY, OVERHEAD = 1024, 256, 3
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -55,6 +57,11 @@ def encoder(path: str):
     return tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def turn_tokens(role: str, text: str, tokenizer: str = TOKENIZER) -> int:
+    """Tokens of a turn in a window."""
+    return OVERHEAD + len(encoder(tokenizer).encode_ordinary(f"{escape_role(role)}\n{escape(text)}"))
+
+
 def ordered_turns(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Turns with their part (task), place and tokens before them in it. Order: turn (null first), role, text."""
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
@@ -64,10 +71,10 @@ def ordered_turns(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         part, now, place, before = TaskContext.get().partitionId(), object(), 0, 0
         for batch in slices(batches, "text"):
             out = []
-            for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist()):
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv != now:
                     now, place, before = conv, 0, 0
-                n = OVERHEAD + len(encoder(tokenizer).encode_ordinary(text))
+                n = turn_tokens(role, text, tokenizer)
                 out.append((part, place, before, n))
                 place, before = place + 1, before + n
             numbers = list(zip(*out))
@@ -77,19 +84,23 @@ def ordered_turns(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return stage(ranged.mapInArrow(count, "conv_id long, turn long, role string, text string, part long, place long, before long, tokens long"), "turns")
 
 
+TURNS = "array<struct<i:long,start:long,role:string,text:string,tokens:long>>"
+
+
 def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """A row per span: conv_id, k, allow (tokens for own turns), and its turns in order (at most about allow / OVERHEAD)."""
-    parts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min_by(F.struct("role", "text", "tokens"), "place").alias("head"))
+    """A row per span: conv_id, k, sys (tokens of the system turn), allow (tokens for own turns), and its turns in order (at most about allow / OVERHEAD)."""
+    parts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min_by(F.struct("role", "tokens"), "place").alias("head"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id").orderBy("part")
     parts = parts.withColumn("n0", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("sum0", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
     parts = parts.withColumn("sys", F.first(F.when(F.col("head.role") == "system", F.col("head.tokens")).otherwise(0)).over(whole))
     parts = stage(parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "n0", "sum0", "sys"), "offsets")
     rows = turns.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    rows = rows.withColumn("i", F.col("n0") + F.col("place")).withColumn("from", F.greatest(F.col("sum0") + F.col("before") - F.col("sys"), F.lit(0)))
-    rows = rows.withColumn("allow", F.greatest(budget - history - F.col("sys"), F.lit(OVERHEAD * 4))).withColumn("stride", F.expr("allow * 3 div 4"))
-    return rows.withColumn("k", F.expr("from div stride")).groupBy("conv_id", "k").agg(
-        F.first("allow").alias("allow"), F.sort_array(F.collect_list(F.struct("i", "role", "text", "tokens"))).alias("turns")
+    rows = rows.withColumn("i", F.col("n0") + F.col("place")).withColumn("start", F.greatest(F.col("sum0") + F.col("before") - F.col("sys"), F.lit(0)))
+    # A long system turn takes from the history first.
+    rows = rows.withColumn("allow", F.greatest(budget - history - F.col("sys"), F.expr(f"({budget} - sys) div 2"), F.lit(1))).withColumn("stride", F.expr("greatest(1, allow * 3 div 4)"))
+    return rows.withColumn("k", F.expr("start div stride")).groupBy("conv_id", "k").agg(
+        F.first("sys").alias("sys"), F.first("allow").alias("allow"), F.sort_array(F.collect_list(F.struct("i", "start", "role", "text", "tokens"))).alias("turns")
     )
 
 
@@ -130,28 +141,34 @@ WINDOWS = "conv_id long, first long, n_new int, system_new boolean, text string,
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str = TOKENIZER) -> DataFrame:
     """Windows of all conversations (WINDOWS): text with its loss spans; the last n_new turns are the window's own, others repeat.
 
-    A window holds at most `budget` tokens unless the system turn or one turn alone is longer. Null roles and texts
-    are empty, null turns come first, ties go by role and text, repeated rows are turns each, and a null conv_id is
-    a conversation. Other columns are not read. No turns, no windows.
+    A window holds at most `budget` tokens unless the system turn and one turn of its own are longer; then it holds just these. Null
+    roles and texts are empty, null turns come first, ties go by role and text, repeated rows are turns each, and a null conv_id
+    is a conversation. Other columns are not read. No turns, no windows.
     """
     cut = stage(spans(ordered_turns(conversations, tokenizer), budget, history), "spans")
-    edge = lambda name, at: F.element_at("turns", at)["i"].alias(name)
-    tails = cut.select(F.col("conv_id").alias("c"), (F.element_at("turns", -1)["i"] + 1).alias("next"), F.col("turns").alias("prior"), F.col("allow").alias("prior_allow"))
-    systems = cut.where((F.element_at("turns", 1)["i"] == 0) & (F.element_at("turns", 1)["role"] == "system")).select(F.col("conv_id").alias("sc"), F.element_at("turns", 1).alias("system"))
-    rows = cut.withColumn("first", edge("first", 1)).join(tails, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("first") == F.col("next")), "left").drop("c", "next")
-    rows = rows.join(systems, F.col("conv_id").eqNullSafe(F.col("sc")), "left").select("conv_id", "first", "allow", "turns", "prior", "prior_allow", "system")
+    last, first = F.element_at("turns", -1), F.element_at("turns", 1)
+    is_system = lambda t: (t["i"] == 0) & (t["role"] == "system")
+    # Only the turns that can be repeated, and the system turn, travel to the next span.
+    end = last["start"] + last["tokens"]
+    tails = cut.select(F.col("conv_id").alias("c"), (last["i"] + 1).alias("next"), F.filter("turns", lambda t: (end - t["start"] <= history) & ~is_system(t)).alias("prior"))
+    systems = cut.where(is_system(first)).select(F.col("conv_id").alias("sc"), first.alias("system"))
+    tails = tails.join(systems, F.col("c").eqNullSafe(F.col("sc")), "left").select("c", "next", "prior", "system")
+    rows = cut.join(tails, F.col("conv_id").eqNullSafe(F.col("c")) & (first["i"] == F.col("next")), "left")
+    rows = rows.select("conv_id", "sys", "allow", "turns", "prior", F.coalesce("system", F.when(is_system(first), first)).alias("system"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                repeated, out = (_tail(_windows(r["prior"], r["prior_allow"])[-1], history) if r["prior"] else []), []
-                for j, own in enumerate(_windows(r["turns"], r["allow"])):
-                    new_system = bool(r["system"]) and r["first"] == 0 and j == 0
-                    text, loss, _ = template(r["system"], repeated, own, new_system)
-                    out.append((r["conv_id"], own[0]["i"] if own else 0, len(own), new_system, text, [{"s": s, "e": e} for s, e in loss]))
-                    repeated = _tail(own, history)
-                yield pa.RecordBatch.from_pylist([dict(zip(("conv_id", "first", "n_new", "system_new", "text", "loss"), x)) for x in out], pa_schema)
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for r in batch.slice(at, 64).to_pylist():
+                    before = r["prior"] or []
+                    for j, own in enumerate(_windows(r["turns"], r["allow"])):
+                        new_system = bool(r["system"]) and r["turns"][0]["i"] == 0 and j == 0
+                        left = budget - r["sys"] - sum(t["tokens"] for t in own)
+                        text, loss, _ = template(r["system"], _tail(before, min(history, left)), own, new_system)
+                        out.append((r["conv_id"], own[0]["i"] if own else 0, len(own), new_system, text, [{"s": s, "e": e} for s, e in loss]))
+                        before = before + own
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), pa_schema.types)], schema=pa_schema)
 
     pa_schema = pa.schema([("conv_id", pa.int64()), ("first", pa.int64()), ("n_new", pa.int32()), ("system_new", pa.bool_()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
     return rows.mapInArrow(build, WINDOWS)
@@ -177,9 +194,8 @@ def digest(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, turns, chars, loss, size = object(), 0, None, 0, None, 0
         row = lambda: pa.RecordBatch.from_pylist([dict(zip(names, (now, n, turns.hexdigest(), chars, loss.hexdigest(), size)))], out_schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                conv, n_new, system_new, text, spans_ = (batch.column(c)[i].as_py() for c in ("conv_id", "n_new", "system_new", "text", "loss"))
+        for batch in slices(batches, "text"):
+            for conv, n_new, system_new, text, spans_ in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_new", "system_new", "text", "loss"))):
                 if turns is None or conv != now:
                     if turns is not None:
                         yield row()
@@ -209,11 +225,3 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
     windows.write.option("compression", "zstd").parquet(path)
     return digest(spark.read.schema(WINDOWS).parquet(path))
 
-
-ORACLE = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-      coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256 FROM g
-"""
