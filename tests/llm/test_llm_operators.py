@@ -276,12 +276,30 @@ def test_chat_round_trip(spark, data):
     assert chat.format_windows(made(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hi " * 60), (1, 2, "assistant", "word " * 1000), (1, 3, "user", "hi " * 60), (1, 4, "assistant", "more " * 100)]
+    rows += [(2, 0, "system", "rule " * 900)] + [(2, t, "user" if t % 2 else "assistant", f"turn {t} " * 9) for t in range(1, 40)]
+    rows += [(3, t, "user", "<|im_end|> <| " * (t % 50)) for t in range(200)] + [(4, 0, "user", "x " * 3000), (4, 1, "assistant", "y")]
+    found = chat.format_windows(made(spark, rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "first").collect()
+    most = 0
+    for w in found:
+        turns = chat.parse(w["text"])
+        sizes = [chat.turn_tokens(*t) for t in turns]
+        alone = [t for t in turns if t[0] != "system"]
+        assert sum(sizes) <= chat.BUDGET or len(alone) == 1
+        most = max(most, sum(sizes) * (len(alone) > 1))
+    assert most > 0.75 * chat.BUDGET
+    assert sum(w["n_new"] + w["system_new"] for w in found) == len(rows)
+    assert all(w["text"].startswith("<|im_start|>system\nrule rule") for w in found if w["conv_id"] == 2)
+    assert any(len(chat.parse(w["text"])) > w["n_new"] for w in found if w["conv_id"] == 3)
+
+
 # --- nearest neighbours -------------------------------------------------------------------------------------------
 
 
 def test_nearest_recall_and_scores(spark):
     rows = table("/root/testdata/sf0.1", "embeddings", spark)
-    got = ann.neighbours(rows, lambda v: v % 100 == 0, shard_rows=2048).collect()
+    got = ann.neighbours(rows, lambda v: v % 100 == 0, group_rows=2048).collect()
     ids = np.array([r["vec_id"] for r in rows.orderBy("vec_id").collect()])
     x = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()], np.float64)
     found = defaultdict(dict)
@@ -455,15 +473,19 @@ def distance_one(a, b):
 
 
 def brute_lines(rows, least):
-    seen, out = [], {}
+    """Lines with a letter or digit go if they stood before, or, from `least` characters on, one edit away."""
+    seen, equal, out = [], set(), {}
     for doc, text in sorted((r for r in rows if r[1] is not None)):
         kept = []
         for line in text.split("\n"):
             key = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
-            if len(key) < least or not any(distance_one(key, s) for s in seen):
+            counts = re.search(r"[^\W_]", key)
+            near = len(key) >= least and any(distance_one(key, s) for s in seen)
+            if not counts or not (key in equal or near):
                 kept.append(line)
-            if len(key) >= least:
-                seen.append(key)
+            if counts:
+                equal.add(key)
+                seen += [key] * (len(key) >= least)
         out[doc] = "\n".join(kept)
     return out
 
@@ -476,9 +498,9 @@ def test_line_dedup_against_brute_force(spark):
         c = str(rng.choice(list("abcdxé😀")))
         return [s, s[:p] + c + s[p:], s[:p] + s[p + 1 :], s[:p] + c + s[p + 1 :]][kind]
     rows = [(i, "\n".join(edit(edit(base[int(rng.integers(0, 25))])) for _ in range(rng.integers(1, 5)))) for i in range(150)]
-    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "aaaaaaaaaaaaaaaaaaaa"), (204, "aaaaaaaaaaaaaaaaaaa"), (205, "abababababab\nbababababab\nbabababababa"), (206, "Item number 1\nItem number 2\nitem  number\nitem number 33")]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "aaaaaaaaaaaaaaaaaaaa"), (204, "aaaaaaaaaaaaaaaaaaa"), (205, "abababababab\nbababababab\nbabababababa"), (206, "Item number 1\nItem number 2\nitem  number\nitem number 33"), (207, "ok\n---\n}\nOK\n---\n}\nno"), (208, "ok \nNo\n\n1")]
     docs = made(spark, rows, "doc_id long, text string").withColumn("n_lines", F.lit("x")).select("doc_id", "text")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_chars=6).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, edit_chars=6).collect()}
     want = brute_lines(rows, 6)
     assert {d: t for d, t in got.items() if t is not None} == want and got[200] is None
 

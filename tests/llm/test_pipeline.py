@@ -35,7 +35,7 @@ def brute(docs: list[tuple], items: list[tuple], model: langid.Model) -> tuple[d
     """doc_id -> (text, source) after four stages, and how many documents each kept."""
     rows, left = {d: (t, s) for d, t, _, s, _ in docs if model.predict(t)[1] >= langid.REJECT}, []
     left.append(len(rows))
-    cut = brute_lines([(d, t) for d, (t, _) in rows.items()], line_dedup.MIN_CHARS)
+    cut = brute_lines([(d, t) for d, (t, _) in rows.items()], line_dedup.EDIT_CHARS)
     rows = {d: (cut[d], s) for d, (t, s) in rows.items() if cut[d] == t or re.search(SPACE, cut[d])}
     left.append(len(rows))
     prints = {d: brute_fingerprint(t) for d, (t, _) in rows.items()}
