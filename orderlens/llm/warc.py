@@ -20,13 +20,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, small, stage
 
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records in a frame, and of compressed frames in a bundle, from which a new one begins.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 16 << 20
-SALTS = 16
+#: Rows of a payload that meet in one task.
+GROUP_ROWS = 4_096
 INDEX = "page_id long, bundle string, frame int, frame_at long, frame_bytes int, record_at int, record_bytes int, digest string"
 
 
@@ -109,19 +110,26 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
 def judge(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the smallest page_id with an equal payload of at least `least` bytes, if another.
 
-    A hot payload's rows are spread by a salt over SALTS tasks; its smallest id is copied to each. Null html is
+    A payload of very many rows is salted by their number; its smallest id is copied to each salt. Null html is
     empty. Rows with a null page_id are revisits if another row has the payload's smallest id. Rows that repeat
-    the smallest id are responses each.
+    the smallest id are responses each. Other columns are not read. Empty in, empty out.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    pages = pages.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     first = pages.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stage(first.select("sha", "first"), "firsts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.join(first, ["sha", "salt"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = stage(first.withColumn("salts", F.ceil(F.col("n") / GROUP_ROWS).cast("int")).select("sha", "first", "salts"), "firsts")
+    # At most a row in GROUP_ROWS; beyond the limits of a broadcast this join shuffles hashes of hot payloads only.
+    hot = small(first.where("salts > 1").select("sha", F.col("salts").alias("of")))
+    dealt = pages.join(hot, "sha", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("of", F.lit(1))).cast("int")).drop("of")
+    first = small(first).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return dealt.join(first, ["sha", "salt"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
-    """Writes bundles to path/bundles and the index to path/index, and returns the index (INDEX)."""
+    """Writes bundles to path/bundles and the index to path/index, and returns the index (INDEX).
+
+    A record per row, repeated rows too, as `judge` says for nulls; a null url is empty, line breaks in one are blanks. No rows: no bundles, an empty index.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(f"{path}/bundles")
         store.create_dir(root, recursive=True)
@@ -154,7 +162,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
 
 
 def read(index: DataFrame, path: str) -> DataFrame:
-    """All records of the bundles in the index, frame by frame: page_id, url, type, refers_to, digest, length, body."""
+    """All records of the bundles in the index, frame by frame: page_id, url, type, refers_to, digest, length, body. A task a bundle; an empty index gives none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(f"{path}/bundles")
         number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
@@ -181,11 +189,11 @@ def read(index: DataFrame, path: str) -> DataFrame:
                         )
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, "page_id long, url string, type string, refers_to long, digest string, length long, body binary")
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, "page_id long, url string, type string, refers_to long, digest string, length long, body binary")
 
 
 def fetch(index: DataFrame, path: str) -> DataFrame:
-    """(page_id, data): the single records of the index rows given, by one seek each, without reading whole bundles."""
+    """(page_id, data): the single records of the index rows given (repeated ones again), by one seek each, without reading whole bundles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(f"{path}/bundles")
         for batch in batches:
