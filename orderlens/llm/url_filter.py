@@ -86,7 +86,7 @@ def train(labelled: DataFrame, bins: int = BINS) -> PipelineModel:
     """Fits on a small table (url, label 0 or 1); rows with a null in either teach nothing."""
     rows = features(labelled.select("url", F.col("label").cast("double").alias("label")).where("url is not null and label is not null"))
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(GOOD_WEIGHT))
-    stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=bins, binary=True), LogisticRegression(regParam=0.0005, maxIter=40, standardization=False, weightCol="weight")]
+    stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=bins, binary=True), LogisticRegression(regParam=0.003, maxIter=40, standardization=False, weightCol="weight")]
     return Pipeline(stages=stages).fit(rows)
 
 
