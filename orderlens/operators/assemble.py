@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: entity -> key column, batch fields, stream fields. All integers but those that end in `rate` or `avg_order`.
-CATALOG = {
-    "user": ("user_id", ("orders", "spend", "avg_order", "chargebacks", "refunds", "cb_rate", "devices", "payments", "addresses", "cities", "account_age_days", "days_since_last"),
-             ("orders_1h", "orders_24h", "spend_1h", "spend_24h", "stores_24h", "payments_24h", "last_order_age")),
-    "device": ("device_id", ("orders", "cb_rate", "users", "payments", "first_seen_days_ago"), ("orders_1h", "orders_24h", "users_24h", "payments_24h")),
-    "payment": ("payment_id", ("orders", "chargebacks", "cb_rate", "users", "addresses"), ("orders_1h", "orders_24h", "users_24h", "decline_count_24h")),
-    "ip": ("ip", ("orders", "users", "cb_rate", "first_seen_days_ago"), ("orders_1h", "orders_24h", "users_24h", "devices_24h")),
-    "store": ("store_id", ("avg_order", "cb_rate", "orders_30d", "cards_30d"), ("orders_1h", "orders_24h", "users_24h", "cards_1h")),
-    "merchant": ("merchant_id", ("cb_rate", "stores"), ()),
-    "domain": ("domain", ("cb_rate", "orders"), ()),
-    "address": ("address_id", (), ("orders_24h", "users_24h")),
-}
+from .contract import KEYS, OWN_NAMES, RELATIONS, STREAM_NAMES
 
 
 def typed(value: Column, is_float: bool = False) -> Column:
@@ -25,49 +14,42 @@ def typed(value: Column, is_float: bool = False) -> Column:
     return F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")).try_cast(kind), F.lit(0).cast(kind))
 
 
-def parts() -> list[tuple[str, str, str, tuple[str, ...]]]:
-    """(entity, kind, key column, fields) of the 13 feature relations, in fixed order."""
-    return [(e, kind, key, fields) for e, (key, *both) in CATALOG.items() for kind, fields in zip(("batch", "stream"), both) if fields]
-
-
 def contract() -> list[str]:
     """Output fields in order."""
-    return [f"{e}_{f}" for e, kind, _, fields in parts() for f in (fields if kind == "batch" else [f"stream_{x}" for x in fields])]
+    return [f"{entity}_{field}" for entity, _, fields in RELATIONS for field in fields]
+
+
+def named(table: DataFrame, entity: str, kind: str) -> DataFrame:
+    """One of this library's feature tables under the contract's field names."""
+    return table.withColumnsRenamed(STREAM_NAMES if kind == "stream" else OWN_NAMES[entity, kind])
 
 
 def assemble(orders: DataFrame, features: dict[tuple[str, str], DataFrame]) -> DataFrame:
-    """Left joins on the entity keys; absent relations count as empty.
+    """Left joins on the entity keys; absent relations count as empty. Counts are longs, rates doubles.
 
     missing_features lists `fs:entity:id:kind` for rows that aren't there (null ids aren't reported) and
     `fs:entity:id:kind:field` for fields that a present row lacks.
     """
-    missing: list[Column] = []
-    out = orders
-    for entity, kind, key, fields in parts():
-        table = features.get((entity, kind))
-        tag, name = f"_{entity}_{kind}", (lambda f, e=entity, k=kind: f"{e}_{f}" if k == "batch" else f"{e}_stream_{f}")
+    rows, values, no_row, no_field = orders, [], [], []
+    for entity, kind, fields in RELATIONS:
+        table, key, tag = features.get((entity, kind)), KEYS[entity], f"_{entity}_{kind}"
+        have = dict(table.dtypes) if table is not None else {}
+        if table is not None:
+            rows = rows.join(table.select(key, F.struct(F.lit(True).alias("_there"), *[f for f in fields if f in have]).alias(tag)), key, "left")
+        known, there = F.col(key).isNotNull(), F.col(tag).isNotNull() if have else F.lit(False)
         path = F.concat(F.lit(f"fs:{entity}:"), F.col(key).cast("string"), F.lit(f":{kind}"))
-        if table is None:
-            present = F.lit(False)
-            for f in fields:
-                out = out.withColumn(name(f), F.lit(None).cast("string"))
-        else:
-            cols = [(F.col(f).cast("string") if f in table.columns else F.lit(None).cast("string")).alias(name(f)) for f in fields]
-            out = out.join(table.select(key, F.lit(True).alias(tag), *cols), key, "left")
-            present = F.coalesce(F.col(tag), F.lit(False))
-        missing.append(F.array(F.when(F.col(key).isNotNull() & ~present, path)))
-        missing.append(F.array(*[F.when(F.col(key).isNotNull() & present & F.coalesce(F.trim(F.col(name(f))) == "", F.lit(True)), F.concat(path, F.lit(f":{f}"))) for f in fields]))
-    # Level one first, then fields.
-    listed = F.filter(F.concat(*missing[0::2], *missing[1::2]), lambda x: x.isNotNull())
-    out = out.withColumn("missing_features", listed)
-    for entity, kind, _, fields in parts():
-        for f in fields:
-            n = f"{entity}_{f}" if kind == "batch" else f"{entity}_stream_{f}"
-            out = out.withColumn(n, typed(F.col(n), f.endswith("rate")))
-    return out.select(*orders.columns, *contract(), "missing_features")
+        no_row.append(F.when(known & ~there, path))
+        for field in fields:
+            value, is_float = F.col(f"{tag}.{field}") if field in have else F.lit(None), field.endswith("rate")
+            text = have.get(field, "string") == "string"
+            absent = F.coalesce(F.trim(value.cast("string")) == "", F.lit(True)) if text else value.isNull()
+            number = typed(value, is_float) if text else F.coalesce(value.cast("double" if is_float else "long"), F.lit(0))
+            values.append(number.cast("double" if is_float else "long").alias(f"{entity}_{field}"))
+            no_field.append(F.when(known & there & absent, F.concat(path, F.lit(f":{field}"))))
+    missing = F.array_compact(F.array(*no_row, *no_field))
+    return rows.select(*orders.columns, *values, missing.alias("missing_features"))
 
 
 def narrow(vector: DataFrame, entity: str) -> DataFrame:
     """One entity's fields."""
-    key = CATALOG[entity][0]
-    return vector.select(key, *[c for c in contract() if c.startswith(f"{entity}_")])
+    return vector.select(KEYS[entity], *[f"{e}_{field}" for e, _, fields in RELATIONS if e == entity for field in fields])

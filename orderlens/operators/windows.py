@@ -1,55 +1,106 @@
-"""Window features, exact about ties and bounds.
+"""Window features, exact about ties and bounds, as running sums of events.
 
-Times are microseconds. Null keys would all meet in one window partition, so they are set aside before it.
+Times are microseconds. An order adds to a sum when it happens and, where the window trails, is taken off again
+when it leaves; so no window frame slides and no set is rebuilt for each row. Sums are two-level: within slots of
+time, and over the totals of the slots before; so a hot key is spread over as many tasks as it has slots. Rows
+with a null key are keys of their own, which spreads them too; their features are 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
+_past = Window.unboundedPreceding
+
+
+def running(events: DataFrame, keys: list[str | Column], when: str, values: list[str], slot: int = DAY) -> DataFrame:
+    """events with before_v and upto_v for each of the values: its sum over the same keys at earlier times, and up to the row's time."""
+    cut = events.withColumn("_k", F.struct(*keys)).withColumn("_slot", F.floor(F.col(when) / F.lit(slot)))
+    totals = cut.groupBy("_k", "_slot").agg(*[F.sum(v).alias(v) for v in values])
+    past = Window.partitionBy("_k").orderBy("_slot").rowsBetween(_past, -1)
+    offsets = totals.select("_k", "_slot", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"_o_{v}") for v in values])
+    within = Window.partitionBy("_k", "_slot").orderBy(when)
+    frames = {"before": within.rangeBetween(_past, -1), "upto": within.rangeBetween(_past, 0)}
+    sums = [(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(f"{name}_{v}") for name, w in frames.items() for v in values]
+    return cut.join(offsets, ["_k", "_slot"]).select(*events.columns, *sums)
+
+
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with _lone: what keeps rows of a null key apart."""
+    return rows.withColumn("_lone", F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)))
+
+
+def _events(rows: DataFrame, key: str, when: str, changes: list[tuple[int, dict[str, Column]]], values: list[str]) -> DataFrame:
+    """A row per change: _at (the row's time and an offset) and values (0 if a change doesn't name them); _own marks the rows themselves."""
+    one = lambda i, offset, change: F.struct((F.col(when) + offset).alias("_at"), F.lit(i == 0).alias("_own"), *[change.get(v, F.lit(0)).cast("long").alias(v) for v in values])
+    each = F.array(*[one(i, *change) for i, change in enumerate(changes)])
+    return _keyed(rows, key).select("*", F.inline(F.when(F.col(key).isNull(), F.slice(each, 1, 1)).otherwise(each)))
+
+
+def _feature(value: Column, key: str) -> Column:
+    return F.when(F.col(key).isNull(), 0).otherwise(value).cast("long")
+
 
 def velocity(rows: DataFrame, key: str, when: str, spend: str | None, ties: str = "peers") -> DataFrame:
     """Orders of the trailing hour and day, and spend of the day, at each row; lower bound inclusive.
 
     ties='peers': rows of the same time count, the row itself doesn't. ties='strict': only earlier rows.
-    Null keys get 0. One shuffle and one sort for all frames.
+    Null keys get 0.
     """
-    top, own = (0, 1) if ties == "peers" else (-1, 0)
-    known = rows.where(F.col(key).isNotNull())
-    frame = lambda span: Window.partitionBy(key).orderBy(when).rangeBetween(-span, top)
-    out = known.withColumn("orders_1h", F.count(F.lit(1)).over(frame(HOUR)) - own).withColumn("orders_24h", F.count(F.lit(1)).over(frame(DAY)) - own)
-    if spend:
-        out = out.withColumn("spend_24h", F.coalesce(F.sum(spend).over(frame(DAY)) - own * F.coalesce(F.col(spend), F.lit(0)), F.lit(0)))
-    rest = rows.where(F.col(key).isNull())
-    for c in out.columns[len(rows.columns) :]:
-        rest = rest.withColumn(c, F.lit(0).cast("long"))
-    return out.unionByName(rest)
+    one, pence = F.lit(1), F.coalesce(F.col(spend), F.lit(0)) if spend else F.lit(0)
+    changes = [(0, {"_h": one, "_d": one, "_s": pence}), (HOUR + 1, {"_h": -one}), (DAY + 1, {"_d": -one, "_s": -pence})]
+    out = running(_events(rows, key, when, changes, ["_h", "_d", "_s"]), [key, "_lone"], "_at", ["_h", "_d", "_s"]).where("_own")
+    at = (lambda v, own: F.col(f"upto_{v}") - own) if ties == "peers" else (lambda v, own: F.col(f"before_{v}"))
+    features = [_feature(at("_h", one), key).alias("orders_1h"), _feature(at("_d", one), key).alias("orders_24h")]
+    return out.select(*rows.columns, *features, *([_feature(at("_s", pence), key).alias("spend_24h")] if spend else []))
 
 
 def lifetime_count(rows: DataFrame, key: str, when: str, name: str) -> DataFrame:
     """Orders so far, the row itself left out, peers counted; null key: 0."""
-    w = Window.partitionBy(key).orderBy(when).rangeBetween(Window.unboundedPreceding, 0)
-    known = rows.where(F.col(key).isNotNull()).withColumn(name, F.count(F.lit(1)).over(w) - 1)
-    return known.unionByName(rows.where(F.col(key).isNull()).withColumn(name, F.lit(0).cast("long")))
+    out = running(_keyed(rows, key).withColumn("_n", F.lit(1)), [key, "_lone"], when, ["_n"])
+    return out.select(*rows.columns, _feature(F.col("upto__n") - 1, key).alias(name))
+
+
+def distinct_before(rows: DataFrame, key: str, member: str, when: str, name: str) -> DataFrame:
+    """Distinct members strictly before, lifetime: first appearances are events, found by one aggregation."""
+    first = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull()).groupBy(key, member).agg(F.min(when).alias(when)).select(key, when, F.lit(1).alias("_n"))
+    asked = _keyed(rows, key).withColumn("_n", F.lit(0)).withColumn("_own", F.lit(True))
+    out = running(asked.unionByName(first, allowMissingColumns=True), [key, "_lone"], when, ["_n"]).where("_own")
+    return out.select(*rows.columns, _feature(F.col("before__n"), key).alias(name))
+
 
+def linked(rows: DataFrame, keys: list[str], when: str, slot: int = DAY, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _previous and _next: the time of the row before and after with the same keys (of one time: in order of `ties`), two-level as `running`."""
+    cut = rows.withColumn("_k", F.struct(*keys)).withColumn("_slot", F.floor(F.col(when) / F.lit(slot)))
+    ends = cut.groupBy("_k", "_slot").agg(F.min(when).alias("_low"), F.max(when).alias("_high"))
+    over = Window.partitionBy("_k").orderBy("_slot")
+    ends = ends.select("_k", "_slot", F.lag("_high").over(over).alias("_from"), F.lead("_low").over(over).alias("_to"))
+    within = Window.partitionBy("_k", "_slot").orderBy(when, *ties)
+    found = [F.coalesce(F.lag(when).over(within), F.col("_from")).alias("_previous"), F.coalesce(F.lead(when).over(within), F.col("_to")).alias("_next")]
+    return cut.join(ends, ["_k", "_slot"]).select(*rows.columns, *found)
 
-def distinct_before(rows: DataFrame, key: str, member: str, when: str, tie: str, name: str) -> DataFrame:
-    """Distinct members strictly before, lifetime: a running sum of first appearances instead of a theta join."""
-    known = rows.where(F.col(key).isNotNull())
-    first = F.row_number().over(Window.partitionBy(key, member).orderBy(when, tie)) == 1
-    w = Window.partitionBy(key).orderBy(when).rangeBetween(Window.unboundedPreceding, -1)
-    out = known.withColumn("_first", F.when(first & F.col(member).isNotNull(), 1).otherwise(0)).withColumn(name, F.coalesce(F.sum("_first").over(w), F.lit(0))).drop("_first")
-    return out.unionByName(rows.where(F.col(key).isNull()).withColumn(name, F.lit(0).cast("long")))
+
+def presence(when: str, span: int | Column, left: int = 0) -> tuple[Column, Column]:
+    """For `linked` rows of a (key, member): whether the member comes in at the row, and when it leaves, if it does before it is seen again.
+
+    It is in for `span` from each row on; overlapping stays are one. `left` is added to the time it leaves.
+    """
+    t = F.col(when)
+    return F.col("_previous").isNull() | (F.col("_previous") < t - span), F.when(F.col("_next").isNull() | (F.col("_next") > t + span), t + span + left)
 
 
 def distinct_within(rows: DataFrame, key: str, member: str, when: str, name: str, span: int = DAY) -> DataFrame:
     """Distinct members of the trailing span, strictly before, lower bound inclusive."""
-    w = Window.partitionBy(key).orderBy(when).rangeBetween(-span, -1)
-    known = rows.where(F.col(key).isNotNull()).withColumn(name, F.size(F.collect_set(member).over(w)).cast("long"))
-    return known.unionByName(rows.where(F.col(key).isNull()).withColumn(name, F.lit(0).cast("long")))
+    known = F.col(key).isNotNull() & F.col(member).isNotNull()
+    comes, leaves = presence(when, span)
+    seen = linked(rows.where(known).select(key, member, when), [key, member], when)
+    stays = seen.select(key, F.inline(F.array(F.struct(F.col(when).alias("_at"), comes.cast("int").alias("_n")), F.struct(leaves.alias("_at"), F.lit(-1).alias("_n")))))
+    asked = _keyed(rows, key).withColumn("_at", F.col(when)).withColumn("_n", F.lit(0)).withColumn("_own", F.lit(True))
+    out = running(asked.unionByName(stays.where("_at is not null and _n != 0"), allowMissingColumns=True), [key, "_lone"], "_at", ["_n"]).where("_own")
+    return out.select(*rows.columns, _feature(F.col("before__n"), key).alias(name))
 
 
 def asof_rate(counts: DataFrame, orders: DataFrame, key: str, when: str, name: str) -> DataFrame:
@@ -57,9 +108,9 @@ def asof_rate(counts: DataFrame, orders: DataFrame, key: str, when: str, name: s
 
     Running sums over the aggregated times; orders pick theirs up by equality, since each order time is one of them.
     """
-    w = Window.partitionBy(key).orderBy("at_us").rowsBetween(Window.unboundedPreceding, -1)
-    running = counts.select(key, F.col("at_us").alias(when), F.sum("orders").over(w).alias("_o"), F.sum("chargebacks").over(w).alias("_c"))
-    return orders.join(running, [key, when], "left").withColumn(name, F.when(F.col("_o") > 0, F.coalesce("_c", F.lit(0)) / F.col("_o")).otherwise(0.0)).drop("_o", "_c")
+    known = running(counts.select(key, F.col("at_us").alias(when), "orders", "chargebacks"), [key], when, ["orders", "chargebacks"])
+    out = orders.join(known.select(key, when, F.col("before_orders").alias("_o"), F.col("before_chargebacks").alias("_c")), [key, when], "left")
+    return out.withColumn(name, F.when(F.col("_o") > 0, F.col("_c") / F.col("_o")).otherwise(0.0)).drop("_o", "_c")
 
 
 def previous_gap(rows: DataFrame, key: str, when: str, tie: str) -> DataFrame:
@@ -70,12 +121,15 @@ def previous_gap(rows: DataFrame, key: str, when: str, tie: str) -> DataFrame:
 
 def user_snapshot(rows: DataFrame) -> DataFrame:
     """What was known of the user strictly before the order, and whether its payment and address are new."""
-    past = lambda *k: Window.partitionBy(*k).orderBy("placed_us").rangeBetween(Window.unboundedPreceding, -1)
-    month = Window.partitionBy("user_id").orderBy("placed_us").rangeBetween(-30 * DAY, -1)
-    unseen = lambda k: F.when(F.col(k).isNull(), False).otherwise(F.count(F.lit(1)).over(past("user_id", k)) == 0)
-    out = rows.withColumn("lifetime_orders", F.count(F.lit(1)).over(past("user_id"))).withColumn("orders_30d", F.count(F.lit(1)).over(month))
-    out = out.withColumn("lifetime_spend", F.coalesce(F.sum("total_pence").over(past("user_id")), F.lit(0))).withColumn("is_first", F.col("lifetime_orders") == 0)
-    return out.withColumn("new_payment", unseen("payment_id")).withColumn("new_address", unseen("address_id"))
+    one = F.lit(1)
+    changes = [(0, {"_n": one, "_m": one, "_s": F.col("total_pence")}), (30 * DAY, {"_m": -one})]
+    out = running(_events(rows, "user_id", "placed_us", changes, ["_n", "_m", "_s"]), ["user_id", "_lone"], "_at", ["_n", "_m", "_s"]).where("_own")
+    sums = {"lifetime_orders": "_n", "orders_30d": "_m", "lifetime_spend": "_s"}
+    out = out.select(*rows.columns, *[_feature(F.col(f"before_{v}"), "user_id").alias(name) for name, v in sums.items()]).withColumn("is_first", F.col("lifetime_orders") == 0)
+    for key, name in (("payment_id", "new_payment"), ("address_id", "new_address")):
+        first = rows.where(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.min("placed_us").alias("_first"))
+        out = out.join(first, ["user_id", key], "left").withColumn(name, F.coalesce(F.col("placed_us") == F.col("_first"), F.lit(False))).drop("_first")
+    return out
 
 
 def top_per_parent(rows: DataFrame, parent: str, order: list, n: int) -> DataFrame:

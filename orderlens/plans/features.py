@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import batch, enrich, labels, training, windows
+from ..operators.contract import HASHED, REQUIRED, VOCABULARY
 from ..sources.tables import AS_OF, DAY, base, chargebacks, hot_and_cold, latest_per_key, refunds, role
 
 c = F.col
@@ -212,7 +213,7 @@ def event_velocity(spark, d):
 
 def device_history(spark, d):
     rows = windows.lifetime_count(orders(spark, d), "device_id", "placed_us", "lifetime")
-    return windows.distinct_before(rows, "device_id", "user_id", "placed_us", "order_id", "users").select("order_id", "lifetime", "users")
+    return windows.distinct_before(rows, "device_id", "user_id", "placed_us", "users").select("order_id", "lifetime", "users")
 
 
 def ip_users(spark, d):
@@ -247,10 +248,44 @@ def latest(spark, d):
     return latest_per_key(role(spark, d, "chargeback_rows"), "order_id", "received_us", "chargeback_id").select("order_id", "received_us", "category")
 
 
+def training_orders(spark, d):
+    """Orders with their context and the age of the account, as the training set takes them."""
+    from ..functions.columns import whole_days
+
+    users = role(spark, d, "users").select("user_id", "created_us")
+    rows = orders(spark, d).join(role(spark, d, "contexts").drop("lat", "lon"), "order_id").join(users, "user_id", "left")
+    return rows.withColumn("user_account_age_days", whole_days(c("placed_us"), c("created_us"))).drop("created_us")
+
+
 def training_rows(spark, d):
-    rows = training.training_set(orders(spark, d), chargebacks(spark, d), role(spark, d, "truth"), AS_OF - 1500 * DAY, AS_OF - 100 * DAY, AS_OF)
-    rates = [x for x in training.REQUIRED if x.endswith("cb_rate")]
-    return rows.select("order_id", "user_orders_24h", "user_spend_24h", "device_lifetime_orders", "device_users", "ip_users_24h", *rates, "is_fraud", "fraud_category")
+    rows = training.training_set(training_orders(spark, d), chargebacks(spark, d), role(spark, d, "truth"), AS_OF - 1500 * DAY, AS_OF - 100 * DAY, AS_OF)
+    return rows.select("order_id", *REQUIRED, "fraud_category")
+
+
+def training_sql():
+    """The whole training set from windows and correlated counts over the plain tables."""
+    past = "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    back = lambda span: f"(PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN {span} PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"
+    rates = {"payment_id": "payment_lifetime_chargeback_rate", "store_id": "store_chargeback_rate", "merchant_id": "merchant_chargeback_rate", "domain": "email_domain_chargeback_rate"}
+    history = {
+        "user_orders_1h_at_order_time": "h.n1", "user_orders_24h_at_order_time": "h.n24", "user_spend_24h_pence": "h.s24", "user_lifetime_order_count": "h.n",
+        "user_lifetime_chargeback_rate": "coalesce(r_user.b, 0)::DOUBLE / (h.n + 1)::DOUBLE", "device_lifetime_order_count": "h.dn", "device_unique_users_lifetime": "h.du", "ip_unique_users_24h": "h.iu",
+        "is_first_order_for_user": "h.n = 0", "is_new_payment_method": "h.np", "is_new_delivery_address": "h.na", "is_fraud": "coalesce(t.is_fraud, false)", "total_pence": "h.total_pence", "order_type": "h.order_type",
+        "user_account_age_days": f"coalesce(greatest(floor((h.placed_us - u.created_us) / {DAY}), 0), 0)::BIGINT", **{v: f"r_{k}.cb_rate" for k, v in rates.items()},
+    }
+    default = lambda x: "false" if x.startswith(("is_", "ip_is_")) else "'UNKNOWN'" if x in (*VOCABULARY, *HASHED) else "0"
+    columns = ", ".join(f"{history[x]} AS {x}" if x in history else f"coalesce(cx.{x}, {default(x)}) AS {x}" for x in REQUIRED)
+    fresh = lambda k: f"CASE WHEN {k} IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, {k} ORDER BY placed_us {past}) = 0 END"
+    user = asof_sql("user_id").replace("CASE WHEN r.n > 0 THEN coalesce(r.b, 0)::DOUBLE / r.n::DOUBLE ELSE 0.0::DOUBLE END AS cb_rate", "r.b")
+    return f"""WITH r_user AS ({user}), {", ".join(f"r_{k} AS ({asof_sql(k)})" for k in rates)},
+    h AS (SELECT order_id, user_id, placed_us, total_pence, order_type, count(*) OVER h1 AS n1, count(*) OVER h24 AS n24, coalesce(sum(total_pence) OVER h24, 0)::BIGINT AS s24,
+        count(*) OVER (PARTITION BY user_id ORDER BY placed_us {past}) AS n, {fresh("payment_id")} AS np, {fresh("address_id")} AS na,
+        CASE WHEN device_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY a.device_id ORDER BY a.placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) END AS dn,
+        CASE WHEN device_id IS NULL THEN 0 ELSE (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.device_id = a.device_id AND b.placed_us < a.placed_us) END AS du,
+        (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.ip = a.ip AND b.placed_us < a.placed_us AND b.placed_us >= a.placed_us - {DAY}) AS iu
+        FROM o a WINDOW h1 AS {back(3_600_000_000)}, h24 AS {back(DAY)})
+    SELECT h.order_id, {columns}, coalesce(t.category, 'LEGIT') AS fraud_category FROM h JOIN cx USING (order_id) LEFT JOIN u ON u.user_id = h.user_id JOIN r_user USING (order_id)
+    {" ".join(f"JOIN r_{k} USING (order_id)" for k in rates)} LEFT JOIN t USING (order_id) WHERE placed_us >= {AS_OF - 1500 * DAY} AND placed_us < {AS_OF - 100 * DAY}"""
 
 
 def t_orders(spark, d):
@@ -331,13 +366,7 @@ QUERIES = {
     "W10_A9_user_snapshot": (user_snapshots, f"""SELECT order_id, count(*) OVER p AS lifetime_orders, count(*) OVER (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN {30 * DAY} PRECEDING AND 1 PRECEDING) AS orders_30d, coalesce(sum(total_pence) OVER p, 0)::BIGINT AS lifetime_spend, count(*) OVER p = 0 AS is_first,
         CASE WHEN payment_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, payment_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_payment,
         CASE WHEN address_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_address FROM o WINDOW p AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
-    "J9_T1_training_set": (training_rows, f"""WITH {', '.join(f"r_{k} AS ({asof_sql(k).replace('WITH e AS', 'WITH e AS')})" for k in ('payment_id', 'store_id', 'merchant_id', 'domain'))},
-        h AS (SELECT order_id, placed_us, count(*) OVER dd AS user_orders_24h, coalesce(sum(total_pence) OVER dd, 0)::BIGINT AS user_spend_24h, CASE WHEN device_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY device_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) END AS device_lifetime_orders,
-        CASE WHEN device_id IS NULL THEN 0 ELSE (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.device_id = a.device_id AND b.placed_us < a.placed_us) END AS device_users, (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.ip = a.ip AND b.placed_us < a.placed_us AND b.placed_us >= a.placed_us - {DAY}) AS ip_users_24h
-        FROM o a WINDOW dd AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW))
-        SELECT h.order_id, user_orders_24h, user_spend_24h, device_lifetime_orders, device_users, ip_users_24h, r_payment_id.cb_rate AS payment_id_cb_rate, r_store_id.cb_rate AS store_id_cb_rate, r_merchant_id.cb_rate AS merchant_id_cb_rate, r_domain.cb_rate AS domain_cb_rate,
-        coalesce(is_fraud, false) AS is_fraud, coalesce(category, 'LEGIT') AS fraud_category FROM h JOIN r_payment_id USING (order_id) JOIN r_store_id USING (order_id) JOIN r_merchant_id USING (order_id) JOIN r_domain USING (order_id) LEFT JOIN t USING (order_id)
-        WHERE placed_us >= {A - 1500 * DAY} AND placed_us < {A - 100 * DAY}"""),
+    "J9_T1_training_set": (training_rows, training_sql()),
     "T4_recent": (t_orders, "SELECT order_id, terminal_us FROM o ORDER BY terminal_us DESC NULLS LAST, order_id LIMIT 1000"),
     "T7_weighted_pick": (weighted_pick, None),
     "U3_union_users": (union_users, "SELECT user_id FROM o WHERE promo_code = 'SAVE5' UNION SELECT user_id FROM u WHERE account_status = 'SUSPENDED'"),

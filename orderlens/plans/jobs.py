@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as x
-from ..operators import assemble, batch, detect, evaluate, labels, monitor, prep, quality, score, windows
+from ..operators import assemble, batch, contract, detect, evaluate, labels, monitor, prep, quality, score, windows
 from ..sources.tables import AS_OF, DAY, base, chargebacks, refunds, role
 from ..streaming import velocity as stream
+from . import features
 from .features import orders, user_batch, with_outcomes
 
 c, A = F.col, AS_OF
@@ -97,8 +98,7 @@ def stream_velocity(entity):
 
     def run(spark, d):
         rows = stream.velocity_batch(pairs(spark, d).where(c("entity") == entity))
-        more = [F.get_json_object("members", f"$.{n}").cast("long").alias(n) for n in names]
-        return rows.select("id", c("order_id").cast("long").alias("order_id"), "orders_1h", "orders_24h", "spend_24h", "last_order_age", "decline_count_24h", *more)
+        return rows.select("id", c("order_id").cast("long").alias("order_id"), "orders_1h", "orders_24h", "spend_24h", "last_order_age", "decline_count_24h", *names)
 
     key = {"user": "user_id::VARCHAR", "store": "store", "device": "device_id::VARCHAR", "payment": "(pence % 50)::VARCHAR", "address": "CASE WHEN event_id % 9 <> 0 THEN (user_id % 40)::VARCHAR END", "ip": "(event_id % 60)::VARCHAR"}
     col = {"user_id": "user_id::VARCHAR", "store_id": "store", "device_id": "device_id::VARCHAR", "payment_id": "(pence % 50)::VARCHAR"}
@@ -133,24 +133,57 @@ def sliding(spark, d):
 # --- assembly -----------------------------------------------------------------------------------------------------
 
 
-def vectors(spark, d):
-    rows = orders(spark, d).where("order_id % 3 = 0").withColumnRenamed("address_id", "address_id").select("order_id", "user_id", "device_id", "payment_id", "ip", "store_id", "merchant_id", "domain", "address_id")
-    users = user_batch(spark, d).where("user_id % 10 <> 0")
-    devices = batch.device_features(with_outcomes(spark, d), batch.device_first_seen(orders(spark, d)), A).drop("payments")
-    out = assemble.assemble(rows, {("user", "batch"): users, ("device", "batch"): devices})
-    return out.select("order_id", "user_orders", "user_spend", F.round("user_cb_rate", 6).alias("user_cb_rate"), "device_users", "device_payments", "store_avg_order", F.array_join("missing_features", ",").alias("missing"))
+def order_pairs(spark, d):
+    rows = orders(spark, d).select("order_id", *set(stream.KEYS.values()), c("total_pence").alias("pence"), "status", us("placed_us").alias("ts"))
+    return stream.fan_out(rows)
 
 
-_MISSING = "CASE WHEN {id} IS NOT NULL AND {absent} THEN 'fs:{e}:' || {id} || ':{k}' END"
+def all_features(spark, d):
+    """The 13 relations of all entities, from all orders; stream ones as of AS_OF, where those silent for a day have expired."""
+    rows = with_outcomes(spark, d)
+    tables = {
+        "user": user_batch(spark, d), "device": batch.device_features(rows, batch.device_first_seen(orders(spark, d)), A), "payment": batch.payment_features(rows), "ip": batch.ip_features(rows, A),
+        "store": batch.store_features(rows, A), "merchant": batch.merchant_features(rows), "email_domain": batch.domain_features(rows, A),
+    }
+    now = assemble.named(stream.current(order_pairs(spark, d), A // 1_000_000), "", "stream")
+    return {(e, "batch"): assemble.named(t, e, "batch") for e, t in tables.items()} | stream.relations(now)
 
 
-def _missing_sql():
-    out = []
-    for e, k, key, _ in assemble.parts():
-        absent = {("user", "batch"): "f.user_id IS NULL", ("device", "batch"): "g.device_id IS NULL"}.get((e, k), "true")
-        out.append(_MISSING.format(id=f"o.{key}", absent=absent, e=e, k=k))
-    out.append("CASE WHEN g.device_id IS NOT NULL THEN 'fs:device:' || o.device_id || ':batch:payments' END")
-    return "array_to_string(list_filter([" + ", ".join(out) + "], lambda v: v IS NOT NULL), ',')"
+def vectors(spark, d):
+    rows = orders(spark, d).select("order_id", *contract.KEYS.values())
+    out = assemble.assemble(rows, all_features(spark, d))
+    return out.select("order_id", *assemble.contract(), F.array_join("missing_features", ",").alias("missing"))
+
+
+def vectors_sql():
+    at, day = A // 1_000_000, A // 1_000_000 - 86400
+    ones = {"user": {"unique_stores_24h": "store_id", "unique_payment_methods_24h": "payment_id"}, "device": {"unique_users_24h": "user_id", "unique_payment_methods_24h": "payment_id"}, "payment": {"unique_users_24h": "user_id"}, "ip": {"unique_users_24h": "user_id", "unique_devices_24h": "device_id"}, "store": {"unique_users_24h": "user_id"}, "address": {"unique_users_24h": "user_id"}}
+    hour = f"s >= {at - 3600}"
+    plain = {
+        "orders_1h": f"count(CASE WHEN {hour} THEN 1 END)", "orders_24h": "count(*)", "spend_1h_pence": f"coalesce(sum(CASE WHEN {hour} THEN total_pence END), 0)", "spend_24h_pence": "sum(total_pence)",
+        "last_order_age_minutes": "(max(s) - list_reverse_sort(list(s))[2]) // 60", "decline_count_24h": "count(CASE WHEN status = 'DECLINED' THEN 1 END)", "unique_cards_1h": f"count(DISTINCT CASE WHEN {hour} THEN payment_id END)",
+    }
+    batches = {"user": "A1_user_batch", "device": "A2_device_batch", "payment": "A3_payment_batch", "ip": "A4_ip_batch", "store": "A5_store_batch", "merchant": "A6_J4_merchant_batch", "email_domain": "A7_F5_domain_batch"}
+    tables, joins, values, rows, fields_ = ["od AS (SELECT *, placed_us // 1000000 AS s FROM o)"], [], [], [], []
+    for e, kind, fields in contract.RELATIONS:
+        key, t = contract.KEYS[e], f"{e}_{kind}"
+        if kind == "batch":
+            own = {v: k for k, v in contract.OWN_NAMES[e, kind].items()}
+            body = features.QUERIES[batches[e]][1]
+            if body.startswith("WITH g AS"):
+                body = body.replace("WITH g AS", "WITH gm AS").replace("JOIN g ", "JOIN gm ").replace("g.merchant_id", "gm.merchant_id")
+            tables.append(f"{t} AS ({body})")
+        else:
+            own = {}
+            cols = ", ".join(f"{plain[f] if f in plain else f'count(DISTINCT {ones[e][f]})'} AS {f}" for f in fields)
+            tables.append(f"{t} AS (SELECT {key}, {cols} FROM od WHERE {key} IS NOT NULL AND s BETWEEN {day} AND {at} GROUP BY {key})")
+        joins.append(f"LEFT JOIN {t} ON {t}.{key} = o.{key}")
+        values += [f"coalesce({t}.{own.get(f, f)}, 0)::{'DOUBLE' if f.endswith('rate') else 'BIGINT'} AS {e}_{f}" for f in fields]
+        path = f"'fs:{e}:' || o.{key} || ':{kind}'"
+        rows.append(f"CASE WHEN o.{key} IS NOT NULL AND {t}.{key} IS NULL THEN {path} END")
+        fields_ += [f"CASE WHEN {t}.{key} IS NOT NULL AND {t}.{own.get(f, f)} IS NULL THEN {path} || ':{f}' END" for f in fields]
+    missing = f"array_to_string(list_filter([{', '.join(rows + fields_)}], lambda v: v IS NOT NULL), ',')"
+    return f"WITH {', '.join(tables)} SELECT o.order_id, {', '.join(values)}, {missing} AS missing FROM o {' '.join(joins)}"
 
 
 # --- labels -------------------------------------------------------------------------------------------------------
@@ -405,8 +438,7 @@ QUERIES = {
     "V13_quarantine": (quarantine, "SELECT event_id % 50 = 0 OR event_id % 70 = 0 OR event_id % 30 = 0 AS bad, count(*) AS n FROM ev GROUP BY 1"),
     "V14_tumbling": (tumbling, "SELECT ts_us // 300000000 * 300000000 AS start_us, store, count(*) AS count FROM ev GROUP BY ALL"),
     "V15_sliding": (sliding, "SELECT (ts_us // 1200000000 - k) * 1200000000 AS start_us, count(*) AS \"rows\", quantile_disc(pence, 0.99) AS p99 FROM ev, (VALUES (0), (1), (2)) v(k) GROUP BY 1"),
-    "J14_G1_G5_vectors": (vectors, f"""WITH f AS (SELECT user_id, count(*) AS n, sum(total_pence)::BIGINT AS spend, round(sum(is_chargeback)::DOUBLE / count(*)::DOUBLE, 6) AS r FROM ox JOIN u USING (user_id) WHERE user_id % 10 <> 0 GROUP BY user_id), g AS (SELECT device_id, count(DISTINCT user_id) AS users FROM ox WHERE device_id IS NOT NULL GROUP BY device_id)
-        SELECT o.order_id, coalesce(f.n, 0) AS user_orders, coalesce(f.spend, 0) AS user_spend, coalesce(f.r, 0.0) AS user_cb_rate, coalesce(g.users, 0) AS device_users, 0::BIGINT AS device_payments, 0::BIGINT AS store_avg_order, {_missing_sql()} AS missing FROM o LEFT JOIN f ON f.user_id = o.user_id LEFT JOIN g ON g.device_id = o.device_id WHERE o.order_id % 3 = 0"""),
+    "J14_G1_G5_vectors": (vectors, vectors_sql()),
     "L1_L2_L6_outcomes": (outcome_labels, f"""WITH f AS (SELECT o.*, CASE WHEN cb.category = 'FRAUD' THEN 'FRAUD' WHEN cb.category IS NOT NULL THEN 'OTHER' END AS category, CASE WHEN cb.category = 'FRAUD' THEN 'CHARGEBACK' WHEN cb.category IS NOT NULL THEN 'LEGIT' END AS oc, rf.order_id IS NOT NULL AS rfd FROM o LEFT JOIN cb USING (order_id) LEFT JOIN rf USING (order_id)),
         g AS (SELECT order_id, category, CASE WHEN status = 'DELIVERED' AND terminal_us < {A - 60 * DAY} AND oc IS NULL THEN CASE WHEN rfd THEN 'REFUND_ABUSE' ELSE 'LEGIT' END ELSE oc END AS outcome FROM f) SELECT *, coalesce(category = 'FRAUD', false) OR coalesce(outcome IN ('FRAUD', 'CHARGEBACK', 'REFUND_ABUSE', 'PROMO_ABUSE'), false) AS is_bad FROM g"""),
     "L4_candidates": (lambda spark, d: labels.chargeback_candidates(orders(spark, d), chargebacks(spark, d), A, 365).select("order_id"), f"SELECT order_id FROM o WHERE status = 'DELIVERED' AND terminal_us >= {A - 365 * DAY} AND order_id NOT IN (SELECT order_id FROM cb)"),

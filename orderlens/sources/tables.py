@@ -1,8 +1,8 @@
 """The star-schema tables in the roles of the order model.
 
-Each role is one SELECT over a base table. It is written once with three tokens that dialects spell differently
-(`US(x)`: microseconds of a timestamp, `KEY(x)`: the number k of a JSON string, `LETTER(x)`: the first character's
-code), so that the same text also serves a SQL oracle.
+Each role is one SELECT over a base table. It is written once with two tokens that dialects spell differently
+(`US(x)`: microseconds of a timestamp, `KEY(x)`: the number k of a JSON string), so that the same text also serves a
+SQL oracle.
 """
 
 from __future__ import annotations
@@ -34,6 +34,26 @@ ROLES = {
         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE US(o_orderdate) + o_orderkey % 96 * 900000000 + 2700000000 END AS terminal_us
         FROM {orders}""",
     ),
+    "contexts": (
+        "orders",
+        """SELECT o_orderkey AS order_id, CAST(floor(o_totalprice * 90) AS BIGINT) AS subtotal_pence, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE o_orderkey % 12 + 1 END AS item_count,
+        CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE CAST(o_orderkey % 150 AS DOUBLE) / 10 END AS delivery_distance_km,
+        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 5000 AS DOUBLE) / 10 END AS ip_to_delivery_distance_km,
+        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 1200 AS DOUBLE) / 10 END AS billing_to_delivery_distance_km,
+        20 + o_orderkey % 1780 AS time_to_checkout_seconds, CASE o_orderkey % 3 WHEN 0 THEN 'APP' WHEN 1 THEN 'WEB' ELSE 'PHONE' END AS order_channel,
+        CASE o_orderkey % 4 WHEN 0 THEN 'CREDIT_CARD' WHEN 1 THEN 'DEBIT_CARD' WHEN 2 THEN 'WALLET' ELSE NULL END AS payment_type,
+        CASE o_orderkey % 5 WHEN 0 THEN 'VISA' WHEN 1 THEN 'MASTERCARD' WHEN 2 THEN 'AMEX' ELSE 'OTHER' END AS card_brand,
+        CASE o_orderkey % 7 WHEN 0 THEN 'PREPAID' WHEN 1 THEN 'CREDIT' ELSE 'DEBIT' END AS card_funding_type,
+        CASE o_orderkey % 2 WHEN 0 THEN 'MOBILE' ELSE 'DESKTOP' END AS device_type, CASE o_orderkey % 6 WHEN 0 THEN 'IOS' WHEN 2 THEN 'ANDROID' ELSE 'WEB' END AS platform, 'UNKNOWN' AS merchant_category,
+        CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'HOTEL' WHEN 2 THEN 'COMMERCIAL' WHEN 3 THEN NULL ELSE 'RESIDENTIAL' END AS delivery_address_type,
+        CASE o_orderkey % 8 WHEN 0 THEN 'cancelled_by=USER' WHEN 1 THEN '' ELSE NULL END AS cancellation_reason,
+        CAST(453970 + o_orderkey % 20 AS STRING) AS card_bin, 'UNKNOWN' AS card_issuer_bank,
+        CASE o_orderkey % 11 WHEN 0 THEN 'FR' WHEN 1 THEN NULL ELSE 'GB' END AS ip_country, CASE o_orderkey % 13 WHEN 0 THEN 'US' WHEN 1 THEN 'FR' ELSE 'GB' END AS card_issuer_country,
+        concat('City ', CAST(o_orderkey % 97 % 25 AS STRING)) AS store_city, CASE o_orderkey % 4 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Safari' ELSE 'Firefox' END AS browser_name,
+        lower(substr(o_orderpriority, 3)) AS user_email_domain, o_orderkey % 10 = 0 AS is_guest_checkout, o_orderkey % 14 = 0 AS is_digital_native_bank, o_orderkey % 15 = 0 AS ip_is_proxy,
+        o_orderkey % 16 = 0 AS ip_is_vpn, o_orderkey % 21 = 0 AS ip_is_tor, o_orderkey % 22 = 0 AS ip_is_hosting,
+        CASE WHEN o_orderkey % 2 = 0 THEN 50.5 + CAST(o_orderkey % 40 AS DOUBLE) / 20 ELSE NULL END AS lat, CAST(o_orderkey % 60 AS DOUBLE) / 20 - 2.5 AS lon FROM {orders}""",
+    ),
     "chargeback_rows": (
         "lineitem",
         """SELECT l_orderkey AS order_id, l_orderkey * 8 + l_linenumber AS chargeback_id, US(l_shipdate) AS received_us,
@@ -81,7 +101,7 @@ ROLES = {
 }
 
 #: As Spark writes the tokens; the oracle's spelling is in the plans.
-SPARK = (("US", r"unix_micros(cast(\1 as timestamp))"), ("KEY", r"cast(get_json_object(\1, '$.k') as bigint)"), ("LETTER", r"ascii(\1)"))
+SPARK = (("US", r"unix_micros(cast(\1 as timestamp))"), ("KEY", r"cast(get_json_object(\1, '$.k') as bigint)"))
 
 
 def spelled(sql: str, tokens: tuple[tuple[str, str], ...]) -> str:

@@ -29,7 +29,7 @@ def test_asof_features(spark):
     rows = [("p0", "user-a", "2026-01-01 10:00", True), ("p1", "user-b", "2026-01-01 11:00", False), ("p2", "user-c", "2026-01-01 11:00", True), ("p3", "user-d", "2026-01-02 12:30", False)]
     orders = spark.createDataFrame([(i, u, "d", "ip", "pay", us(t)) for i, u, t, _ in rows], "order_id string, user_id string, device_id string, ip string, payment_id string, placed_us long")
     back = spark.createDataFrame([(i, us(t)) for i, _, t, c in rows if c], "order_id string, received_us long")
-    out = windows.distinct_before(orders, "device_id", "user_id", "placed_us", "order_id", "users")
+    out = windows.distinct_before(orders, "device_id", "user_id", "placed_us", "users")
     out = windows.distinct_within(out, "ip", "user_id", "placed_us", "ip_users")
     out = windows.asof_rate(batch.event_counts(orders, back, "payment_id"), out, "payment_id", "placed_us", "rate")
     got = {r["order_id"]: (r["users"], r["ip_users"], round(r["rate"], 6)) for r in out.collect()}
@@ -66,13 +66,16 @@ def test_archive_keeps_every_row(spark, tmp_path):
 def test_assembly_of_absent_features(spark):
     order = spark.createDataFrame([(1, 5, None, None, 3, 4, 2, "d", None)], "order_id long, user_id long, device_id long, payment_id long, ip long, store_id long, merchant_id long, domain string, address_id long")
     got = assemble.assemble(order, {}).first()
-    assert got["missing_features"] == ["fs:user:5:batch", "fs:user:5:stream", "fs:ip:3:batch", "fs:ip:3:stream", "fs:store:4:batch", "fs:store:4:stream", "fs:merchant:2:batch", "fs:domain:d:batch"]
-    assert all(got[c] == 0 for c in assemble.contract())
+    assert got["missing_features"] == ["fs:user:5:stream", "fs:user:5:batch", "fs:ip:3:stream", "fs:ip:3:batch", "fs:store:4:stream", "fs:store:4:batch", "fs:merchant:2:batch", "fs:email_domain:d:batch"]
+    assert len(assemble.contract()) == 59 and all(got[c] == 0 for c in assemble.contract())
     users = spark.createDataFrame([(5, "12", " ", "x")], "user_id long, orders string, spend string, cb_rate string")
-    got = assemble.assemble(order, {("user", "batch"): users}).first()
-    assert got["user_orders"] == 12 and got["user_spend"] == 0 and got["user_cb_rate"] == 0.0
-    assert "fs:user:5:batch:spend" in got["missing_features"] and "fs:user:5:batch" not in got["missing_features"]
-    assert assemble.narrow(assemble.assemble(order, {}), "ip").columns[0] == "ip"
+    got = assemble.assemble(order, {("user", "batch"): assemble.named(users, "user", "batch")}).first()
+    assert got["user_lifetime_order_count"] == 12 and got["user_lifetime_spend_pence"] == 0 and got["user_lifetime_chargeback_rate"] == 0.0
+    assert "fs:user:5:batch:lifetime_spend_pence" in got["missing_features"] and "fs:user:5:batch" not in got["missing_features"]
+    typed = spark.createDataFrame([(5, 12, None, 0.25)], "user_id long, orders long, spend long, cb_rate double")
+    got = assemble.assemble(order, {("user", "batch"): assemble.named(typed, "user", "batch")}).first()
+    assert (got["user_lifetime_order_count"], got["user_lifetime_spend_pence"], got["user_lifetime_chargeback_rate"]) == (12, 0, 0.25) and "fs:user:5:batch:lifetime_spend_pence" in got["missing_features"]
+    assert assemble.narrow(assemble.assemble(order, {}), "ip").columns == ["ip", "ip_orders_1h", "ip_orders_24h", "ip_unique_users_24h", "ip_unique_devices_24h", "ip_lifetime_order_count", "ip_unique_users_lifetime", "ip_chargeback_rate", "ip_first_seen_days_ago"]
 
 
 def test_scan_findings(spark):
