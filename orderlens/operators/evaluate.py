@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import cumulative
+
+# The thresholds of confusion tables, and the weight pairs that are tried.
 THRESHOLDS = (0.3, 0.5, 0.7, 0.85)
 GRID = ((0.3, 0.7), (0.4, 0.6), (0.5, 0.5), (0.6, 0.4), (0.7, 0.3))
 
@@ -12,9 +15,7 @@ GRID = ((0.3, 0.7), (0.4, 0.6), (0.5, 0.5), (0.6, 0.4), (0.7, 0.3))
 def ranking(rows: DataFrame, score: str = "score", label: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """A row per distinct score, highest first, with cumulative counts and the points of both curves."""
     counts = rows.groupBy(*by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    out = counts.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("n").over(whole))
+    out = cumulative(counts, score, ["p", "n"], by, descending=True).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp", "whole_p": "pos", "whole_n": "neg"})
     return out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.col("tp") / F.col("pos")).withColumn("fpr", F.col("fp") / F.col("neg"))
 
 

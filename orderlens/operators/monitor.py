@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import cumulative, percentiles
+
 DAY = 86_400_000_000
 
 
@@ -22,9 +24,8 @@ def ks(rows: DataFrame, value: str, group: str, by: tuple[str, ...] = ()) -> Dat
     Values are aggregated first; the running shares are over distinct values of each feature.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.when(F.col(group) == 0, 1)).alias("a"), F.count(F.when(F.col(group) == 1, 1)).alias("b"))
-    up, whole = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    share = lambda c: F.sum(c).over(up) / F.sum(c).over(whole)
-    gaps = counts.withColumn("gap", F.abs(share("a") - share("b")))
+    running = cumulative(counts, value, ["a", "b"], by)
+    gaps = running.withColumn("gap", F.abs(F.col("upto_a") / F.col("whole_a") - F.col("upto_b") / F.col("whole_b")))
     out = gaps.groupBy(*by).agg(F.max("gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     en = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     t = (en + 0.12 + 0.11 / en) * F.col("ks")
@@ -65,4 +66,5 @@ def resolve_reviews(decisions: DataFrame, truth: DataFrame, as_of: int, when: st
 
 def latency(rows: DataFrame, value: str, when: str, span: int) -> DataFrame:
     """Exact percentiles by period."""
-    return rows.groupBy(F.floor(F.col(when) / span).alias("period")).agg(*[F.percentile(value, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    periods = rows.withColumn("period", F.floor(F.col(when) / span))
+    return percentiles(periods, value, {f"p{int(p * 100)}": p for p in (0.5, 0.95, 0.99)}, ("period",)).drop("n")

@@ -16,18 +16,49 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000
 _past = Window.unboundedPreceding
 
 
-def running(events: DataFrame, keys: list[str | Column], when: str, values: list[str], slot: int = DAY) -> DataFrame:
-    """events with before_v and upto_v for each of the values: its sum over the same keys at earlier times, and up to the row's time."""
-    cut = events.withColumn("_k", F.struct(*keys)).withColumn("_slot", F.floor(F.col(when) / F.lit(slot)))
+def running(events: DataFrame, keys: list[str | Column], when: str, values: list[str], slot: int | Column = DAY, descending: bool = False) -> DataFrame:
+    """events with before_v and upto_v for each of the values: its sum over the same keys at earlier times, and up to the row's time.
+
+    slot: how long the slots are, or a column that numbers them in order (of descending `when`, if told to; then there is no before_v).
+    """
+    cut = events.withColumn("_k", F.struct(*keys)).withColumn("_slot", slot if isinstance(slot, Column) else F.floor(F.col(when) / F.lit(slot)))
     totals = cut.groupBy("_k", "_slot").agg(*[F.sum(v).alias(v) for v in values])
     past = Window.partitionBy("_k").orderBy("_slot").rowsBetween(_past, -1)
     offsets = totals.select("_k", "_slot", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"_o_{v}") for v in values])
-    within = Window.partitionBy("_k", "_slot").orderBy(when)
-    frames = {"before": within.rangeBetween(_past, -1), "upto": within.rangeBetween(_past, 0)}
+    within = Window.partitionBy("_k", "_slot").orderBy(F.desc(when) if descending else F.asc(when))
+    frames = {"upto": within.rangeBetween(_past, 0)} | ({} if descending else {"before": within.rangeBetween(_past, -1)})
     sums = [(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(f"{name}_{v}") for name, w in frames.items() for v in values]
     return cut.join(offsets, ["_k", "_slot"]).select(*events.columns, *sums)
 
 
+def cumulative(counts: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (), descending: bool = False, parts: int = 64) -> DataFrame:
+    """counts (a row a value of `order` and group) with upto_v, the sum of v up to the row, and whole_v, the group's sum.
+
+    The order is cut into `parts` ranges at approximate quantiles, so that no task meets a whole group; the sums are exact.
+    """
+    wide = counts.groupBy(*by).agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("_cuts"), *[F.sum(v).alias(f"whole_{v}") for v in values])
+    rows = counts.join(wide, list(by)) if by else counts.join(F.broadcast(wide))
+    at = F.size(F.filter("_cuts", lambda x: x < F.col(order)))
+    return running(rows.withColumn("_at", -at if descending else at), list(by) or [F.lit(0).alias("all")], order, values, F.col("_at"), descending).drop("_cuts", "_at")
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """Exact interpolated percentiles, named as in `shares`, and the number n of values, for each group; nulls don't count. A group without values has none.
+
+    Values are counted first (a row counts `weight` times), then running counts over ranges of them find the ranks: no task holds a group's values.
+    """
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")).where("_v is not null")
+    ranked = cumulative(counts, "_v", ["_n"], by)
+    found = {}
+    for name, share in shares.items():
+        rank = F.lit(share) * (F.col("whole__n") - 1)
+        holds = lambda k: (F.col("upto__n") - F.col("_n") <= k) & (k < F.col("upto__n"))
+        found |= {f"_lo_{name}": F.max(F.when(holds(F.floor(rank)), F.col("_v"))), f"_hi_{name}": F.max(F.when(holds(F.ceil(rank)), F.col("_v")))}
+    one = ranked.groupBy(*by).agg(F.max("whole__n").alias("n"), *[c.alias(k) for k, c in found.items()])
+    between = lambda name, rank: F.when(F.floor(rank) == F.ceil(rank), F.col(f"_lo_{name}")).otherwise((F.ceil(rank) - rank) * F.col(f"_lo_{name}") + (rank - F.floor(rank)) * F.col(f"_hi_{name}"))
+    return one.select(*by, "n", *[between(name, F.lit(share) * (F.col("n") - 1)).alias(name) for name, share in shares.items()])
+
+
 def _keyed(rows: DataFrame, key: str) -> DataFrame:
     """rows with _lone: what keeps rows of a null key apart."""
     return rows.withColumn("_lone", F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)))

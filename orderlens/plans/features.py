@@ -193,7 +193,7 @@ def ring_members(spark, d):
 
 
 def percentiles(spark, d):
-    return orders(spark, d).groupBy("status").agg(F.percentile("total_pence", 0.5).alias("p50"), F.percentile("total_pence", 0.95).alias("p95"))
+    return windows.percentiles(orders(spark, d), "total_pence", {"p50": 0.5, "p95": 0.95}, ("status",)).drop("n")
 
 
 def demand(spark, d):
