@@ -42,6 +42,11 @@ def vat(pence: Column, is_hot: Column) -> Column:
     return F.when(is_hot, F.round(pence.cast("decimal(20,2)") * F.lit(0.2).cast("decimal(3,2)"), 0).cast("long")).otherwise(0)
 
 
+def vat_with_fees(items_vat: Column, delivery: Column, service: Column) -> Column:
+    """VAT of an order's items, and of its delivery and service fees as two more hot lines."""
+    return F.coalesce(items_vat, F.lit(0)) + vat(delivery, F.lit(True)) + vat(service, F.lit(True))
+
+
 def order_total(subtotal: Column, vat_: Column, delivery: Column, service: Column, tip: Column, discount: Column) -> Column:
     """X6."""
     return subtotal + vat_ + delivery + service + tip - discount

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import haversine_km
+
 DAY = 86_400_000_000
 c = F.col
 
@@ -25,10 +27,23 @@ def takeover(orders: DataFrame, least: int = 10) -> DataFrame:
     return out.withColumn("flag", (c("earlier") >= least) & c("new_device_id") & c("new_ip") & c("new_address_id"))
 
 
-def promo_rings(orders: DataFrame, least: int = 5) -> DataFrame:
-    """D3: a device with which many users redeem the same code."""
-    rows = orders.where("promo_code is not null and device_id is not null").groupBy("device_id", "promo_code")
-    out = rows.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("ip").alias("ips"), F.count_distinct("payment_id").alias("payments"), F.count(F.lit(1)).alias("orders"))
+def promo_rings(orders: DataFrame, least: int = 5, metres: float = 500.0) -> DataFrame:
+    """D3: a device with which many users redeem the same code; evidence: addresses and /24 networks, the radius of the deliveries, and prepaid cards that users share.
+
+    Columns network (of the ip), lat and lon (of the delivery), prepaid and payment_id are evidence where orders have them.
+    """
+    keys, have = ["device_id", "promo_code"], set(orders.columns)
+    rows = orders.where("promo_code is not null and device_id is not null")
+    more = [F.count_distinct("network").alias("networks")] if "network" in have else []
+    out = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("ip").alias("ips"), F.count_distinct("payment_id").alias("payments"), F.count(F.lit(1)).alias("orders"), *more)
+    if {"lat", "lon"} <= have:
+        placed = rows.where("lat is not null and lon is not null")
+        centre = placed.groupBy(*keys).agg(F.avg("lat").alias("_lat"), F.avg("lon").alias("_lon"))
+        radius = placed.join(centre, keys).groupBy(*keys).agg(F.round(F.max(haversine_km(c("lat"), c("lon"), c("_lat"), c("_lon"))) * 1000, 1).alias("radius_m"))
+        out = out.join(radius, keys, "left").withColumn("close", F.coalesce(c("radius_m") <= metres, F.lit(False)))
+    if "prepaid" in have:
+        pooled = rows.where("prepaid").groupBy(*keys, "payment_id").agg(F.count_distinct("user_id").alias("u")).groupBy(*keys).agg(F.count(F.when(c("u") > 1, 1)).alias("pooled_cards"))
+        out = out.join(pooled, keys, "left").fillna(0, ["pooled_cards"])
     return out.withColumn("flag", c("users") >= least)
 
 
@@ -42,11 +57,20 @@ def refund_abuse(orders: DataFrame, refunds: DataFrame, least: int = 3) -> DataF
 
 
 def collusive_stores(orders: DataFrame, z: float = 2.0) -> DataFrame:
-    """Stores whose cards per order stand out from the stores of their city."""
-    store = orders.groupBy("city", "store_id").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("payment_id").alias("cards")).withColumn("share", c("cards") / c("orders"))
-    city = Window.partitionBy("city")
-    out = store.withColumn("mean", F.avg("share").over(city)).withColumn("deviation", F.stddev_pop("share").over(city))
-    return out.withColumn("z", F.when(c("deviation") > 0, F.round((c("share") - c("mean")) / c("deviation"), 6)).otherwise(0.0)).withColumn("flag", c("z") >= z).drop("mean", "deviation")
+    """Stores that stand out from the stores of their city by cards per order, or by the shares of new, foreign and prepaid cards or cards an hour, where orders have the columns."""
+    signs = [x for x in ("new_card", "foreign", "prepaid") if x in orders.columns]
+    store = orders.groupBy("city", "store_id").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("payment_id").alias("cards"), *[F.avg(c(x).cast("double")).alias(x) for x in signs])
+    store = store.withColumn("share", c("cards") / c("orders"))
+    measures = ["share", *signs]
+    if signs:
+        hourly = orders.groupBy("city", "store_id", F.floor(c("placed_us") / 3_600_000_000).alias("h")).agg(F.count_distinct("payment_id").alias("n")).groupBy("city", "store_id").agg(F.avg("n").alias("cards_per_hour"))
+        store, measures = store.join(hourly, ["city", "store_id"]), [*measures, "cards_per_hour"]
+    base = store.groupBy("city").agg(*[x for m in measures for x in (F.avg(m).alias(f"_m_{m}"), F.stddev_pop(m).alias(f"_d_{m}"))])
+    out, scores = store.join(base, "city"), {m: "z" if m == "share" else f"z_{m}" for m in measures}
+    for m, name in scores.items():
+        out = out.withColumn(name, F.when(c(f"_d_{m}") > 1e-12, F.round((c(m) - c(f"_m_{m}")) / c(f"_d_{m}"), 6)).otherwise(0.0))
+    flag = F.greatest(*[c(x) for x in scores.values()], F.lit(-1e9)) >= z
+    return out.withColumn("flag", flag).drop(*[f"_{k}_{m}" for m in measures for k in "md"])
 
 
 def triangulation(orders: DataFrame, least: int = 3, ratio: float = 0.9) -> DataFrame:

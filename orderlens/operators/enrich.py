@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
 
-#: Defaults of columns refilled from a missing dimension row.
+# Defaults of columns refilled from a missing dimension row.
 DEFAULTS = {"email": "unknown@unknown.invalid", "payment_type": "CREDIT_CARD", "address_type": "RESIDENTIAL_NEW", "lifetime_orders": 0}
 
 
@@ -56,9 +56,21 @@ def eligible_promos(orders: DataFrame, promos: DataFrame, redemptions: DataFrame
     return rows.where((F.col("total_pence") >= F.col("min_pence")) & cap & ((F.col("kind") != "NEW_USER") | F.col("is_first")))
 
 
-def is_open(seconds: Column, open_s: Column, close_s: Column) -> Column:
-    """bounds inclusive; closing before opening spans midnight."""
-    return F.when(close_s >= open_s, seconds.between(open_s, close_s)).otherwise((seconds >= open_s) | (seconds <= close_s))
+def open_intervals(hours: DataFrame) -> DataFrame:
+    """(store_id, weekday, from_s, to_s) of (store_id, weekday, open_s, close_s): hours over midnight go on at the next weekday's start. Bounds are inclusive."""
+    late = F.col("close_s") < F.col("open_s")
+    part = lambda day, low, high: F.struct(day.cast("int").alias("weekday"), low.cast("long").alias("from_s"), high.cast("long").alias("to_s"))
+    own = part(F.col("weekday"), F.col("open_s"), F.when(late, 86_400).otherwise(F.col("close_s")))
+    return hours.select("store_id", F.inline(F.array_compact(F.array(own, F.when(late, part((F.col("weekday") + 1) % 7, F.lit(0), F.col("close_s")))))))
+
+
+def while_open(rows: DataFrame, hours: DataFrame, when: str, zone: str = "Europe/London") -> DataFrame:
+    """the rows (store_id, time in microseconds) whose store was open then, by its local hours of that weekday or of the night before."""
+    local = F.from_utc_timestamp(F.timestamp_micros(when), zone)
+    placed = rows.withColumns({"_day": weekday(local), "_s": F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)})
+    times = open_intervals(hours).withColumnsRenamed({"store_id": "_store", "weekday": "_weekday"})
+    met = (F.col("store_id") == F.col("_store")) & (F.col("_day") == F.col("_weekday")) & F.col("_s").between(F.col("from_s"), F.col("to_s"))
+    return placed.join(times, met, "left_semi").drop("_day", "_s")
 
 
 def weekday(ts: Column) -> Column:
@@ -67,10 +79,30 @@ def weekday(ts: Column) -> Column:
 
 
 def one_of_many(rows: DataFrame, key: str, weight: str, seed: int = 7) -> DataFrame:
-    """One row of each key, weighted and seeded: the smallest -ln(u) / (w + 1), u from a hash of the row."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    w = Window.partitionBy(key).orderBy(-F.log(u) / (F.col(weight) + 1))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One row of each key, weighted and seeded: the smallest -ln(u) / (w + 1), u from a digest of the row."""
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *rows.columns)), 1, 8)
+    u = (F.conv(digest, 16, 10).cast("double") + 1) / 4294967297.0
+    first = F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(-F.log(u) / (F.col(weight) + 1), digest))
+    return rows.groupBy(key).agg(first.alias("r")).select(key, "r.*")
+
+
+# Card issuers with their number ranges, whether they are digital natives, and their share.
+ISSUERS = (
+    ("Barclays", ("492181", "492182", "492183", "492184", "492185"), False, 0.15), ("HSBC UK", ("453978", "453979", "465859", "465860"), False, 0.12),
+    ("Lloyds Bank", ("454313", "454314", "454742", "454743"), False, 0.10), ("NatWest", ("465902", "465903", "465904", "465905"), False, 0.08),
+    ("Santander UK", ("491880", "491881", "511234"), False, 0.07), ("Halifax", ("454742", "465925"), False, 0.05), ("Nationwide", ("492930", "492931"), False, 0.05),
+    ("Monzo Bank", ("535522", "535523", "539923"), True, 0.10), ("Revolut", ("516842", "535410", "537956"), True, 0.08), ("Starling Bank", ("548175", "548176"), True, 0.05),
+    ("Chase UK", ("483138",), True, 0.03), ("American Express UK", ("374622", "374623", "378282"), False, 0.05), ("Foreign EU", ("435060", "424519"), False, 0.04),
+    ("Foreign US", ("414709", "424519"), False, 0.03),
+)
+
+
+def with_issuer(rows: DataFrame, bin_: str = "card_bin") -> DataFrame:
+    """Issuer and is_digital_native of each card number range; one that two issuers share goes to one of them by weight; unknown: null and false."""
+    spark = rows.sparkSession
+    bins = spark.createDataFrame([(b, name, digital, share) for name, ranges, digital, share in ISSUERS for b in ranges], f"{bin_} string, issuer string, is_digital_native boolean, share double")
+    one = one_of_many(bins, bin_, "share").drop("share")
+    return rows.join(F.broadcast(one), bin_, "left").withColumn("is_digital_native", F.coalesce("is_digital_native", F.lit(False)))
 
 
 def recent(rows: DataFrame, by: str, n: int = 100_000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import cumulative
+
 DAY = 86_400_000_000
 TERMINAL = ("DELIVERED", "CANCELLED", "REFUNDED", "FAILED")
 #: The states that may follow each state.
@@ -12,6 +14,7 @@ TRANSITIONS = (
     ("PLACED", "ACCEPTED"), ("PLACED", "CANCELLED"), ("ACCEPTED", "PREPARING"), ("PREPARING", "READY"), ("PREPARING", "CANCELLED"), ("READY", "PICKED_UP"),
     ("READY", "DELIVERED"), ("READY", "CANCELLED"), ("PICKED_UP", "IN_TRANSIT"), ("IN_TRANSIT", "DELIVERED"), ("IN_TRANSIT", "FAILED"),
 )
+# The chain of states of a delivered order.
 CHAIN = ("PLACED", "ACCEPTED", "PREPARING", "READY", "PICKED_UP", "IN_TRANSIT", "DELIVERED")
 PICKUP_CHAIN = tuple(s for s in CHAIN if s not in ("PICKED_UP", "IN_TRANSIT"))
 
@@ -52,6 +55,15 @@ def archive(spark, orders: DataFrame, children: dict[str, DataFrame], cold_root:
     return spark.createDataFrame(moved, "table string, moved long")
 
 
+def archive_passes(orders: DataFrame, as_of: int, batch: int = 10_000, passes: int = 500) -> DataFrame:
+    """What throttled archive passes move: archivable orders with their pass, oldest first, until none is left or the passes are over."""
+    gone = orders.where(is_archivable(as_of))
+    times = cumulative(gone.groupBy("terminal_us").agg(F.count(F.lit(1)).alias("n")), "terminal_us", ["n"]).select("terminal_us", (F.col("upto_n") - F.col("n")).alias("_before"))
+    tie = F.row_number().over(Window.partitionBy("terminal_us").orderBy("order_id")) - 1
+    numbered = gone.withColumn("_tie", tie).join(times, "terminal_us").withColumn("pass", F.floor((F.col("_before") + F.col("_tie")) / batch))
+    return numbered.where(F.col("pass") < passes).drop("_before", "_tie")
+
+
 def outcomes(orders: DataFrame, chargebacks: DataFrame) -> DataFrame:
     """L1: chargebacks turn into outcome columns."""
     cb = chargebacks.select("order_id", F.col("category").alias("cb_category"), F.col("received_us").alias("cb_received_us"), F.col("amount_pence").alias("cb_pence"))
@@ -68,8 +80,9 @@ def finalise(labelled: DataFrame, refunds: DataFrame, as_of: int, days: int = 60
 
 
 def chargeback_candidates(orders: DataFrame, chargebacks: DataFrame, as_of: int, days: int = 90) -> DataFrame:
-    """L4: delivered lately and not charged back."""
+    """L4: delivered lately, without an outcome (a column `outcome`, where there is one) and not charged back."""
     fresh = orders.where((F.col("status") == "DELIVERED") & (F.col("terminal_us") >= as_of - days * DAY))
+    fresh = fresh.where("outcome is null") if "outcome" in orders.columns else fresh
     return fresh.join(chargebacks.select("order_id"), "order_id", "left_anti")
 
 
@@ -101,9 +114,10 @@ def status_times(log: DataFrame) -> DataFrame:
     return log.groupBy("order_id").agg(*first, F.min(F.when(F.col("event_type").isin(*TERMINAL), F.col("at_us"))).alias("terminal_us"))
 
 
-def current_state(log: DataFrame, as_of: int) -> DataFrame:
-    """Last state of each order and minutes in it."""
-    last = log.groupBy("order_id").agg(F.max(F.struct("at_us", "event_type")).alias("l"))
+def current_state(log: DataFrame, as_of: int, days: int | None = None) -> DataFrame:
+    """Last state of each order and minutes in it; days: only events of so many days before as_of."""
+    recent = log if days is None else log.where((F.col("at_us") >= as_of - days * DAY) & (F.col("at_us") <= as_of))
+    last = recent.groupBy("order_id").agg(F.max(F.struct("at_us", "event_type")).alias("l"))
     return last.select("order_id", F.col("l.event_type").alias("state"), F.floor((F.lit(as_of) - F.col("l.at_us")) / 60_000_000).alias("minutes"))
 
 
@@ -133,6 +147,16 @@ def prune_window(tables: dict[str, DataFrame], start: int, end: int) -> dict[str
     return {k: v.join(gone, "order_id", "left_anti") for k, v in tables.items()}
 
 
+def overwrite_window(tables: dict[str, DataFrame], fresh: dict[str, DataFrame], start: int, end: int, payments: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables with the window's orders, and what hangs on them, replaced by fresh ones; payments that no order has any more go."""
+    if fresh["orders"].where(~F.col("placed_us").between(start, end - 1)).limit(1).count():
+        raise ValueError("fresh orders outside the window")
+    out = {k: v.unionByName(fresh[k]) if k in fresh else v for k, v in prune_window(tables, start, end).items()}
+    if payments is not None:
+        out["payments"] = payments.join(out["orders"].select("payment_id"), "payment_id", "left_semi")
+    return out
+
+
 def orphans(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Children without a parent."""
     return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti")

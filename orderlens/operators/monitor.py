@@ -18,6 +18,31 @@ def live_metrics(decisions: DataFrame, truth: DataFrame, when: str = "decided_us
     return rows.groupBy("period").agg(F.count(F.lit(1)).alias("orders"), part(bad, is_("DECLINE")).alias("decline_precision"), part(bad, is_("REVIEW")).alias("review_precision"), part(is_("DECLINE"), bad).alias("recall"))
 
 
+def category_trend(decisions: DataFrame, truth: DataFrame, when: str = "decided_us", span: int = DAY) -> DataFrame:
+    """O1: by period and fraud category: frauds, and the shares declined and reviewed."""
+    rows = decisions.join(truth.where("is_fraud").select("order_id", "category"), "order_id").withColumn("period", F.floor(F.col(when) / span))
+    share = lambda d: F.round(F.avg((F.col("decision") == d).cast("double")), 6)
+    return rows.groupBy("period", "category").agg(F.count(F.lit(1)).alias("frauds"), share("DECLINE").alias("declined"), share("REVIEW").alias("reviewed"))
+
+
+def score_histograms(decisions: DataFrame, as_of: int, when: str = "decided_us", bins: int = 20, span: int = DAY, back: int = 7 * DAY) -> DataFrame:
+    """O2: bins of the scores of the span before as_of, beside those of the same span `back` earlier."""
+    t = F.col(when)
+    now, then = (t >= as_of - span) & (t < as_of), (t >= as_of - back - span) & (t < as_of - back)
+    rows = decisions.where(now | then).withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int"))
+    return rows.groupBy("bin").agg(F.count(F.when(now, 1)).alias("current"), F.count(F.when(then, 1)).alias("reference"))
+
+
+def sizes(orders: DataFrame, decisions: DataFrame, as_of: int) -> DataFrame:
+    """Rows of the hot and cold side, and the depth of the review queue and age of its oldest order in hours."""
+    from .labels import is_archivable
+
+    cold = F.coalesce(is_archivable(as_of), F.lit(False))
+    one = orders.agg(F.count(F.when(~cold, 1)).alias("hot"), F.count(F.when(cold, 1)).alias("cold"))
+    queue = decisions.where("decision = 'REVIEW'").agg(F.count(F.lit(1)).alias("queued"), F.floor((F.lit(as_of) - F.min("decided_us")) / 3_600_000_000).alias("oldest_hours"))
+    return one.join(F.broadcast(queue))
+
+
 def ks(rows: DataFrame, value: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of groups 0 and 1, with the asymptotic p-value and a status.
 
@@ -45,9 +70,10 @@ def top_drift(drift: DataFrame, n: int = 5) -> DataFrame:
     return drift.orderBy(F.desc("ks"), "feature").limit(n)
 
 
-def reference_sample(rows: DataFrame, key: str, n: int = 100_000) -> DataFrame:
-    """The rows of smallest hashed key: the same sample each time."""
-    return rows.orderBy(F.xxhash64(key), key).limit(n)
+def reference_sample(rows: DataFrame, key: str, n: int = 100_000, when: str | None = None, as_of: int = 0, span: int = 7 * DAY) -> DataFrame:
+    """The rows of smallest hashed key, the same sample each time; when: only those of the span before as_of."""
+    recent = rows if when is None else rows.where((F.col(when) >= as_of - span) & (F.col(when) < as_of))
+    return recent.orderBy(F.xxhash64(key), key).limit(n)
 
 
 def review_queue(decisions: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 c = F.col
 
+
 def register(registry: dict, name: str, weight, item) -> None:
     """No duplicates, weights above 0."""
     if name in registry or (isinstance(weight, (int, float)) and weight <= 0):
@@ -16,6 +17,7 @@ def register(registry: dict, name: str, weight, item) -> None:
 
 def rules(bins: tuple[str, ...] = ()) -> dict[str, tuple[str, Column]]:
     """The eight rules; bins: blocked card prefixes."""
+    # The limits of the rules.
     return {
         "user_velocity": ("REVIEW", c("user_orders_1h") > 10), "device_velocity": ("REVIEW", c("device_orders_1h") > 5), "bin_blocklist": ("DECLINE", c("card_bin").isin(*bins) if bins else F.lit(False)),
         "tor": ("REVIEW", c("ip_is_tor")), "new_user_high_value": ("REVIEW", (c("account_age_days") < 1) & (c("total_pence") > 7500)),
@@ -44,8 +46,9 @@ def audit(rows: DataFrame, features: list[str], decided_at) -> DataFrame:
     return rows.select("order_id", F.round("score", 4).alias("score"), "decision", "model_version", "rules_triggered", F.to_json(F.struct(*features)).alias("features_snapshot"), F.lit(decided_at).alias("decided_at"), F.when(c("decision") == "DECLINE", "REJECTED").alias("new_status"))
 
 
-def rule_precision(decisions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Fires and the share truly fraud of each rule; flagged below half."""
+def rule_precision(decisions: DataFrame, truth: DataFrame, hours: float | None = None) -> DataFrame:
+    """Fires and the share truly fraud of each rule, flagged below half; hours that the decisions span: fires an hour."""
     fired = decisions.select("order_id", F.explode("rules_triggered").alias("rule")).join(truth.select("order_id", "is_fraud"), "order_id", "left")
     out = fired.groupBy("rule").agg(F.count(F.lit(1)).alias("fires"), F.round(F.avg(F.coalesce(c("is_fraud"), F.lit(False)).cast("double")), 6).alias("precision"))
-    return out.withColumn("flagged", c("precision") < 0.5)
+    out = out.withColumn("flagged", c("precision") < 0.5)
+    return out if hours is None else out.withColumn("fires_per_hour", F.round(c("fires") / hours, 6))

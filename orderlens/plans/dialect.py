@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..sources.tables import ROLES, spelled
 
 TOKENS = (("US", r"epoch_us(\1)"), ("KEY", r"cast(json_extract_string(\1, '$.k') as bigint)"))
-NAMES = {"o": "orders", "cx": "contexts", "cbr": "chargeback_rows", "rfr": "refund_rows", "it": "items", "u": "users", "s": "stores", "t": "truth", "ev": "events", "lg": "order_log", "sc": "scored"}
+NAMES = {"o": "orders", "cx": "contexts", "cbr": "chargeback_rows", "rfr": "refund_rows", "it": "items", "u": "users", "s": "stores", "sh": "store_hours", "t": "truth", "ev": "events", "lg": "order_log", "sc": "scored"}
 
 
 def _role(name: str) -> str:

@@ -111,9 +111,8 @@ def promo_orders(spark, d):
 
 
 def open_stores(spark, d):
-    rows = orders(spark, d).join(role(spark, d, "stores").select("store_id", "open_s", "close_s"), "store_id")
-    second = F.pmod(F.floor(c("placed_us") / 1_000_000), F.lit(86400))
-    return rows.where(enrich.is_open(second, c("open_s"), c("close_s"))).groupBy("store_id", enrich.weekday(F.timestamp_micros("placed_us")).alias("weekday")).agg(F.count(F.lit(1)).alias("orders"))
+    rows = enrich.while_open(orders(spark, d), role(spark, d, "store_hours"), "placed_us")
+    return rows.groupBy("store_id", enrich.weekday(F.from_utc_timestamp(F.timestamp_micros("placed_us"), "Europe/London")).alias("weekday")).agg(F.count(F.lit(1)).alias("orders"))
 
 
 def active_entities(spark, d):
@@ -177,6 +176,7 @@ def array_lookup(spark, d):
     return exploded.groupBy("user_id").agg(F.count_distinct("merchant_id").alias("merchants"), F.count(F.lit(1)).alias("stores"))
 
 
+# Made up: the role tables have no named cities.
 CITIES = [(i, f"City {i}", 50 + i / 10, i / 20 - 2) for i in range(20)]
 
 
@@ -289,7 +289,7 @@ def training_sql():
 
 
 def t_orders(spark, d):
-    return enrich.recent(orders(spark, d).select("order_id", "terminal_us"), "terminal_us", 1000)
+    return enrich.recent(orders(spark, d).select("order_id", "terminal_us"), "terminal_us")
 
 
 def weighted_pick(spark, d):
@@ -322,7 +322,9 @@ QUERIES = {
         r AS (SELECT user_id, promo_code, count(*) AS n FROM o WHERE promo_code IS NOT NULL GROUP BY ALL), p AS (SELECT * FROM {PROMO_SQL} WHERE (valid_until IS NULL OR valid_until > {A}) AND (valid_from IS NULL OR valid_from <= {A}))
         SELECT order_id, f.promo_code, least(total_pence, coalesce(fixed, round(total_pence::DECIMAL(20,2) * percent::DECIMAL(5,2) / 100)::BIGINT))::BIGINT AS discount FROM f JOIN p USING (promo_code) LEFT JOIN r ON r.user_id = f.user_id AND r.promo_code = f.promo_code
         WHERE total_pence >= min_pence AND (max_per_user IS NULL OR coalesce(r.n, 0) < max_per_user) AND (kind <> 'NEW_USER' OR is_first)"""),
-    "F10_open_stores": (open_stores, "SELECT store_id, dayofweek(make_timestamp(placed_us))::INT AS weekday, count(*) AS orders FROM (SELECT *, placed_us // 1000000 % 86400 AS sec FROM o JOIN (SELECT store_id, open_s, close_s FROM s) USING (store_id)) WHERE CASE WHEN close_s >= open_s THEN sec BETWEEN open_s AND close_s ELSE sec >= open_s OR sec <= close_s END GROUP BY ALL"),
+    "F10_open_stores": (open_stores, """WITH l AS (SELECT *, (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS lt FROM o), k AS (SELECT *, dayofweek(lt)::INT AS weekday, extract(hour FROM lt) * 3600 + extract(minute FROM lt) * 60 + floor(extract(second FROM lt)) AS sec FROM l)
+        SELECT store_id, weekday, count(*) AS orders FROM k WHERE EXISTS (SELECT 1 FROM sh WHERE sh.store_id = k.store_id AND CASE WHEN close_s < open_s THEN (sh.weekday = k.weekday AND sec >= open_s) OR (sh.weekday = (k.weekday + 6) % 7 AND sec <= close_s)
+        ELSE sh.weekday = k.weekday AND sec BETWEEN open_s AND close_s END) GROUP BY store_id, weekday"""),
     "F11_active_entities": (active_entities, "SELECT city, count(*) AS users, coalesce(any_value(n), 0)::BIGINT AS stores FROM u LEFT JOIN (SELECT city, count(*) AS n FROM s WHERE is_active GROUP BY city) USING (city) WHERE account_status = 'ACTIVE' GROUP BY city"),
     "F12_domain_violations": (violations, "SELECT status, count(*) AS count FROM o WHERE status NOT IN ('PLACED', 'DELIVERED', 'CANCELLED') GROUP BY status"),
     "F13_postcodes": (postcodes, "SELECT regexp_matches(CASE user_id % 4 WHEN 0 THEN 'S1' WHEN 1 THEN 'SW1A' ELSE '1X' END || CASE WHEN user_id % 3 = 0 THEN ' ' ELSE '' END || (user_id % 10) || 'AB', '^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$') AS valid, count(*) AS users FROM u GROUP BY 1"),
@@ -367,8 +369,8 @@ QUERIES = {
         CASE WHEN payment_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, payment_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_payment,
         CASE WHEN address_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_address FROM o WINDOW p AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     "J9_T1_training_set": (training_rows, training_sql()),
-    "T4_recent": (t_orders, "SELECT order_id, terminal_us FROM o ORDER BY terminal_us DESC NULLS LAST, order_id LIMIT 1000"),
-    "T7_weighted_pick": (weighted_pick, None),
+    "T4_recent": (t_orders, "SELECT order_id, terminal_us FROM o ORDER BY terminal_us DESC NULLS LAST, order_id LIMIT 100000"),
+    "T7_weighted_pick": (weighted_pick, "SELECT city, arg_min(store_id, -ln((('0x' || substr(md5('7:' || city || ':' || store_id), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / (store_id + 1)) AS store_id FROM s GROUP BY city"),
     "U3_union_users": (union_users, "SELECT user_id FROM o WHERE promo_code = 'SAVE5' UNION SELECT user_id FROM u WHERE account_status = 'SUSPENDED'"),
     "U4_anchors": (anchors, "SELECT DISTINCT ip, placed_us FROM o WHERE ip IS NOT NULL"),
 }

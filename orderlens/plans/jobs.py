@@ -320,17 +320,6 @@ def ensemble(spark, d):
     return rounded(evaluate.ensemble(a, b, "row_id", (0.6, 0.4)).select("row_id", "score"))
 
 
-def trees(spark, d):
-    """M1, M3, T5, P10: boosted trees over order features and their scores; the largest parts of the job are Spark's."""
-    from ..operators import model
-
-    rows = labels.training_labels(windows.velocity(orders(spark, d), "user_id", "placed_us", "total_pence"), role(spark, d, "truth"))
-    rows = prep.time_split(rows).withColumn("y", c("is_fraud").cast("int"))
-    rows = prep.assembled(rows.withColumn("kind", c("order_id") % 12), ["total_pence", "orders_24h", "spend_24h", "city", "kind"]).select("order_id", "split", "features", "y")
-    fit = model.train_trees(rows.where("split = 'train'"), rows.where("split = 'val'"), rounds=5, depth=4)
-    return model.score(fit, rows.where("split = 'test'")).select("order_id", "y", F.round("score", 6).alias("score"))
-
-
 # --- scoring and monitoring ---------------------------------------------------------------------------------------
 
 
@@ -476,7 +465,6 @@ QUERIES = {
         g AS (SELECT i, wa, wb, s, sum(y) AS p, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT *, sum(p) OVER w / sum(n) OVER w AS prec, sum(p) OVER (PARTITION BY i) AS pos FROM g WINDOW w AS (PARTITION BY i ORDER BY s DESC)), ap AS (SELECT i, wa, wb, round(sum(p / pos * prec), 9) AS a FROM k GROUP BY ALL) SELECT wa, wb, round(a, 6) AS auprc, row_number() OVER (ORDER BY a DESC, i) = 1 AS best FROM ap"""),
     "E12_promotion_gate": (gate, "WITH p AS (SELECT 'recall_' || category AS metric, avg(score_b) AS production, avg(score) AS cand FROM y GROUP BY category) SELECT metric, round(production, 6) AS production, CASE WHEN metric <> 'recall_de' THEN round(cand, 6) END AS candidate, round(production * 0.9, 6) AS needed, CASE WHEN metric = 'recall_de' THEN false ELSE cand >= production * 0.9 END AS passes FROM p"),
     "E13_deltas": (deltas, "WITH f AS (SELECT avg(score) AS a, avg(score_b) AS b, max(score) AS m, max(score_b) AS n FROM y) SELECT 'auprc' AS metric, round(a, 6) AS candidate, round(b, 6) AS production, round(a - b, 6) AS delta FROM f UNION ALL SELECT 'auroc', round(m, 6), round(n, 6), round(m - n, 6) FROM f"),
-    "M1_M3_P10_trees": (trees, None),
     "R1_R3_decisions": (decisions, f"WITH {CTX} SELECT order_id, array_to_string(rules, ',') AS rules, CASE WHEN declined THEN 'DECLINE' WHEN len(rules) > 0 THEN 'REVIEW' ELSE 'PASS' END AS action, score::DOUBLE AS score, CASE WHEN declined THEN 'rules_only' ELSE 'ensemble' END AS model_version, decision FROM dd"),
     "R5_S17_audit": (audited, f"WITH {CTX} SELECT order_id, decision, '{{\"total_pence\":' || dd.total_pence || ',\"user_orders_1h\":' || n24 || '}}' AS features_snapshot, CASE WHEN decision = 'DECLINE' THEN 'REJECTED' END AS new_status FROM dd JOIN (SELECT order_id, n24 FROM h) USING (order_id)"),
     "R6_rule_precision": (lambda spark, d: score.rule_precision(decided(spark, d), role(spark, d, "truth")), f"WITH {CTX} {RULE_SQL}"),

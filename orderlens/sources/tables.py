@@ -47,7 +47,7 @@ ROLES = {
         CASE o_orderkey % 2 WHEN 0 THEN 'MOBILE' ELSE 'DESKTOP' END AS device_type, CASE o_orderkey % 6 WHEN 0 THEN 'IOS' WHEN 2 THEN 'ANDROID' ELSE 'WEB' END AS platform, 'UNKNOWN' AS merchant_category,
         CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'HOTEL' WHEN 2 THEN 'COMMERCIAL' WHEN 3 THEN NULL ELSE 'RESIDENTIAL' END AS delivery_address_type,
         CASE o_orderkey % 8 WHEN 0 THEN 'cancelled_by=USER' WHEN 1 THEN '' ELSE NULL END AS cancellation_reason,
-        CAST(453970 + o_orderkey % 20 AS STRING) AS card_bin, 'UNKNOWN' AS card_issuer_bank,
+        CASE o_orderkey % 8 WHEN 0 THEN '454742' WHEN 1 THEN '535522' WHEN 2 THEN '424519' WHEN 3 THEN '374622' ELSE CAST(453970 + o_orderkey % 20 AS STRING) END AS card_bin, 'UNKNOWN' AS card_issuer_bank,
         CASE o_orderkey % 11 WHEN 0 THEN 'FR' WHEN 1 THEN NULL ELSE 'GB' END AS ip_country, CASE o_orderkey % 13 WHEN 0 THEN 'US' WHEN 1 THEN 'FR' ELSE 'GB' END AS card_issuer_country,
         concat('City ', CAST(o_orderkey % 97 % 25 AS STRING)) AS store_city, CASE o_orderkey % 4 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Safari' ELSE 'Firefox' END AS browser_name,
         lower(substr(o_orderpriority, 3)) AS user_email_domain, o_orderkey % 10 = 0 AS is_guest_checkout, o_orderkey % 14 = 0 AS is_digital_native_bank, o_orderkey % 15 = 0 AS ip_is_proxy,
@@ -80,6 +80,11 @@ ROLES = {
         s_suppkey % 2 = 0 AS accepts_delivery, s_suppkey % 3 <> 0 AS accepts_pickup, s_suppkey % 7 = 0 AS accepts_in_store,
         50 + CAST(s_suppkey % 40 AS DOUBLE) / 10 AS lat, CAST(s_suppkey % 50 AS DOUBLE) / 20 - 3 AS lon, s_suppkey % 24 * 3600 AS open_s, (s_suppkey % 24 + 9) % 24 * 3600 AS close_s FROM {supplier}""",
     ),
+    "store_hours": (
+        "supplier",
+        """SELECT s_suppkey AS store_id, v.weekday, (s_suppkey + v.weekday) % 24 * 3600 AS open_s, (s_suppkey + 9 + 2 * v.weekday) % 24 * 3600 + 1800 AS close_s
+        FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) v(weekday) WHERE (s_suppkey + v.weekday) % 5 <> 0""",
+    ),
     "truth": (
         "orders",
         """SELECT o_orderkey AS order_id, o_orderkey % 4 = 0 AS is_fraud, o_orderkey % 100 AS ring_id,

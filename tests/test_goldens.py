@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions import columns as x
-from orderlens.operators import assemble, batch, enrich, evaluate, labels, model, monitor, prep, quality, score, training, windows
+from orderlens.operators import assemble, batch, contract, enrich, evaluate, labels, model, monitor, prep, quality, score, training, windows
 
 DAY = 86_400_000_000
 
@@ -44,6 +44,21 @@ def test_time_split(spark):
         prep.time_split(rows.union(spark.createDataFrame([(None,)], "placed_us long"))).collect()
 
 
+def test_model_features_are_saved_and_applied_again(spark, tmp_path):
+    columns = {**{n: "1.0" for n in contract.NUMERIC}, **{t: "'x'" for t in contract.VOCABULARY}, **{h: "'h'" for h in contract.HASHED}, **{b: "true" for b in contract.BOOLEAN}, "card_issuer_country": "'GB'"}
+    rows = spark.range(10).selectExpr("id as placed_us", *[f"{v} as {k}" for k, v in columns.items() if k != "total_pence"], "id * 10 as total_pence")
+    plan = prep.contract_plan()
+    rows = prep.prepared(prep.transformed(prep.time_split(rows), prep.model_columns), plan)
+    fitted = prep.fit(rows, plan)
+    prep.save(fitted, f"{tmp_path}/fitted")
+    first, again = (prep.apply(rows, plan, *f).select(*contract.FEATURES).orderBy("total_pence").collect() for f in (fitted, prep.load(spark, f"{tmp_path}/fitted")))
+    assert first == again and len(contract.FEATURES) == 48 and len(set(contract.FEATURES)) == 48
+    assert all(0 <= r[h] < n for r in first for h, n in contract.HASHED.items())
+    assert {r["card_country_mismatch"] for r in first} == {1} and {r["order_channel"] for r in first} == {0}
+    with pytest.raises(ValueError, match="gives no"):
+        prep.transformed(rows, lambda df: df, ("nothing",))
+
+
 def test_vocabulary_and_unseen_values(spark):
     plan = prep.Plan(numeric=("n",), vocabulary=("brand",), hashed={"bin": 7}, boolean=("b",))
     rows = prep.prepared(spark.createDataFrame([("visa", "1", 1.0, True)] * 10 + [("mastercard", "2", 3.0, None)] * 10, "brand string, bin string, n double, b boolean"), plan)
@@ -204,7 +219,9 @@ def test_drift_of_equal_and_shifted_samples(spark):
 
 
 def test_open_hours_and_weighted_pick(spark):
-    rows = spark.createDataFrame([(1, 100, 50, 200), (2, 10, 80000, 300), (3, 85000, 80000, 300), (4, 5000, 80000, 300)], "id long, s long, o long, c long")
-    assert [r["id"] for r in rows.where(enrich.is_open(F.col("s"), F.col("o"), F.col("c"))).orderBy("id").collect()] == [1, 2, 3]
+    hours = spark.createDataFrame([(1, 4, 80_000, 300), (2, 4, 50, 200)], "store_id long, weekday int, open_s long, close_s long")  # 4: Thursday
+    times = [(1, 2, "2026-01-01 00:03:20"), (2, 1, "2026-01-01 22:30"), (3, 1, "2026-01-02 00:05"), (4, 1, "2026-01-02 22:30"), (5, 1, "2026-01-01 00:02"), (6, 2, "2026-01-01 00:03:21"), (7, 1, "2026-01-02 00:05:01"), (8, 1, "2026-07-02 22:00")]
+    rows = spark.createDataFrame([(i, store, us(t)) for i, store, t in times], "id long, store_id long, at long")
+    assert [r["id"] for r in enrich.while_open(rows, hours, "at").orderBy("id").collect()] == [1, 2, 3, 8]
     drivers = spark.createDataFrame([(1, i, i) for i in range(20)], "city long, driver long, w long")
     assert enrich.one_of_many(drivers, "city", "w").collect() == enrich.one_of_many(drivers.repartition(3), "city", "w").collect()
