@@ -1,7 +1,11 @@
-"""Sinks and typed readers: partitioned parquet, keyed upsert with expiry, documents, logs, CSV."""
+"""Sinks and typed readers: partitioned parquet, keyed upsert with expiry, documents, logs, CSV; checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,20 @@ from pyspark.sql.types import StructType
 TTL_HOURS = {"stream": 24, "batch": 48}
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir; a temporary one on a local master that has none)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not folder:
+            atexit.register(shutil.rmtree, made := tempfile.mkdtemp(prefix="orderlens-"), ignore_errors=True)
+            folder = f"file://{made}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed load, no inference; malformed rows fail."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
