@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -263,6 +264,42 @@ def test_unlearned_languages_and_junk_go(spark):
     assert not any(i < 0 for i in left) and sum(i in left for i in clean) >= 0.99 * len(clean)
 
 
+def brute_grams(text, bins):
+    """Hashed counts of 1- to 3-grams of the letters, other runs as one space, by plain integers."""
+    chars = [32]
+    for c in [*text.lower(), " "]:
+        code = ord(c) if c.isalpha() else 32
+        if code != 32 or chars[-1] != 32:
+            chars.append(code)
+    m, out = 2**32, Counter()
+    a = [x * 0x9E3779B1 % m for x in chars]
+    put = lambda h: out.update([(h ^ h >> 16) & (bins - 1)])
+    two = [((x ^ x >> 15) * 0x85EBCA77 + y) % m for x, y in zip(a, a[1:])]
+    three = [((x ^ x >> 13) * 0xC2B2AE3D + y) % m for x, y in zip(two, a[2:])]
+    for h in [*a[1:], *two, *three]:
+        put(h)
+    return out
+
+
+def test_language_id_against_brute_force(spark, data):
+    docs = table(data, "documents", spark)
+    model = langid.train(docs.where(langid.learnable()), sample=60)
+    bins = len(model.idf)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        v = {k: math.sqrt(n) * model.idf[k] for k, n in brute_grams(text, bins).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(got[r["doc_id"]][1] - max(0.0, cosines[best])) < 1e-4
+        assert got[r["doc_id"]][0] == model.languages[best] or abs(max(c for c, l in zip(cosines, model.languages) if l == got[r["doc_id"]][0]) - cosines[best]) < 1e-4
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------
 
 
@@ -532,3 +569,70 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(made(spark, [], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(made(spark, rows, "doc_id long, text string"), edits=2)
+
+
+# --- very long texts and clashing columns ---------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark, data):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 120_000)]
+    item = table(data, "benchmark", spark).where("length(text) > 0").orderBy("item_id").first()
+    text = " ".join([*words[:90_000], item["text"], *words[90_000:]])
+    docs = made(spark, [(1, text, "en", "s", len(text)), (2, "short one", "en", "s", 9)], DOCS)
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}[1] == f"{brute_fingerprint(text):016x}"
+    got = decontam.leaks(docs, table(data, "benchmark", spark)).where(f"item_id = {item['item_id']}").collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(1, 1.0)] and got[0]["first_word"] == 90_000
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: len(text.split()), 2: 2}
+    assert line_dedup.dedup_lines(docs).where("doc_id = 1").first()["text"] == text
+
+
+def test_personal_data_of_a_text_of_very_many_mentions(spark):
+    n = 20_000
+    text = "".join(f"u{i}@h.example, 01234 56{i:05d}\n" for i in range(n))
+    start = time.monotonic()
+    got = pii.find(made(spark, [(1, text)], "doc_id long, text string")).first()
+    assert got["n_email"] == n and got["base_sha256"] == hashlib.sha256(",".join(brute_pii(text)).encode()).hexdigest()
+    masked = pii.mask(made(spark, [(1, text)], "doc_id long, text string")).first()["text"]
+    assert masked.count("<email>") == n and "@" not in masked
+    print("seconds for 20,000 mentions", round(time.monotonic() - start, 1))
+    assert time.monotonic() - start < 120
+
+
+def test_columns_that_clash_with_the_operators_own(spark):
+    rows = made(spark, [(i, [float(i), 1.0], "x") for i in range(1, 30)], "vec_id long, embedding array<double>, ids string")
+    for name in ("v", "p", "group", "salt", "score", "rank", "query_id", "n", "d"):
+        rows = rows.withColumn(name, F.lit("own"))
+    assert ann.neighbours(rows, lambda v: v == 7).orderBy("rank").first()["vec_id"] in (6, 8)
+    docs = made(spark, [(1, "mail a@b.example")], "doc_id long, text string")
+    for name in ("t", "rid", "marks", "kind", "s", "e", "base", "inst", "ctx", "spans", "every", "row", "fp", "line", "h"):
+        docs = docs.withColumn(name, F.lit("own"))
+    assert pii.find(docs).first()["spans"] == "email:5:16" and pii.mask(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs).count() == 1 and simhash.dedup(docs).columns == docs.columns
+    pages = made(spark, [(1, "http://a/", "x")], "page_id long, url string, html string").withColumn("sha", F.lit(1)).withColumn("salt", F.lit(2)).withColumn("first", F.lit(3))
+    assert warc.judge(pages).count() == 1
+    turns = made(spark, [(1, 1, "user", "x")], "conv_id long, turn long, role string, text string").withColumn("i", F.lit("o")).withColumn("k", F.lit("o")).withColumn("part", F.lit("o"))
+    assert chat.format_windows(turns).count() == 1
+
+
+def test_dedup_goes_by_rows(spark):
+    rows = [(3, "A x y"), (5, "A x y"), (5, "B q z"), (None, "A x y")]
+    left = simhash.dedup(made(spark, rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == ["(3, 'A x y')", "(5, 'B q z')", "(None, 'A x y')"]
+
+
+def test_shared_folder_and_broadcasts(spark):
+    from orderlens.llm import common
+
+    class Cluster:
+        conf, sparkContext = type("conf", (), {"get": staticmethod(lambda *a: None)}), type("sc", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    wide = common.stage(made(spark, [(1, "x" * 1000)] * 50, "a long, b string"), "wide")
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(common.small(wide)) and "broadcast" not in plan(common.small(wide, size=10_000)) and "broadcast" not in plan(common.small(wide, rows=10))
+    path = common._paths[wide]
+    common.unstage(wide)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)

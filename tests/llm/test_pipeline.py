@@ -121,3 +121,21 @@ def test_near_copies_stage_verifies_and_finds_random_edits(spark):
     print("near copies gone", len(near & gone), "of", len(near))
     assert len(near & gone) >= 0.99 * len(near) and {9001} <= gone and {9000, 9002, 9003, None} <= left
     assert all(any(jaccard(by[d], by[d % 1000 + 1000 * k]) >= 0.8 for k in range(d // 1000)) for d in gone - {9001})
+
+
+def test_near_copies_among_many_documents_that_share_a_passage(spark):
+    """A passage that 400 different documents share must not hide near copies among them, nor take a round for each."""
+    rng, rows, near = np.random.default_rng(6), [], set()
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(150)
+    for i in range(400):
+        own = word(100)
+        rows.append((i, " ".join(passage + own), None, "s", 0))
+        if i % 10 == 0:
+            at = int(rng.integers(0, 100))
+            rows.append((1000 + i, " ".join(passage + own[:at] + word(1) + own[at + 1 :]), None, "s", 0))
+            near.add(1000 + i)
+    left = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    gone = {r[0] for r in rows} - left
+    print("near copies beside a shared passage gone", len(near & gone), "of", len(near))
+    assert gone <= near and len(near & gone) >= 0.95 * len(near)
