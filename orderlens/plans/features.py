@@ -248,17 +248,17 @@ def latest(spark, d):
     return latest_per_key(role(spark, d, "chargeback_rows"), "order_id", "received_us", "chargeback_id").select("order_id", "received_us", "category")
 
 
-def training_orders(spark, d):
-    """Orders with their context and the age of the account, as the training set takes them."""
+def training_context(spark, d):
+    """What the training set takes of an order besides its history, with the age of the account."""
     from ..functions.columns import whole_days
 
-    users = role(spark, d, "users").select("user_id", "created_us")
-    rows = orders(spark, d).join(role(spark, d, "contexts").drop("lat", "lon"), "order_id").join(users, "user_id", "left")
-    return rows.withColumn("user_account_age_days", whole_days(c("placed_us"), c("created_us"))).drop("created_us")
+    placed = orders(spark, d).select("order_id", "user_id", "placed_us")
+    ages = placed.join(role(spark, d, "users").select("user_id", "created_us"), "user_id", "left").select("order_id", whole_days(c("placed_us"), c("created_us")).alias("user_account_age_days"))
+    return role(spark, d, "contexts").drop("lat", "lon").join(ages, "order_id")
 
 
 def training_rows(spark, d):
-    rows = training.training_set(training_orders(spark, d), chargebacks(spark, d), role(spark, d, "truth"), AS_OF - 1500 * DAY, AS_OF - 100 * DAY, AS_OF)
+    rows = training.training_set(orders(spark, d), chargebacks(spark, d), role(spark, d, "truth"), AS_OF - 1500 * DAY, AS_OF - 100 * DAY, AS_OF, context=training_context(spark, d))
     return rows.select("order_id", *REQUIRED, "fraud_category")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as x
 from ..operators import assemble, batch, contract, detect, evaluate, labels, monitor, prep, quality, score, windows
+from ..sources.io import checkpointed
 from ..sources.tables import AS_OF, DAY, base, chargebacks, refunds, role
 from ..streaming import velocity as stream
 from . import features
-from .features import orders, user_batch, with_outcomes
+from .features import orders, with_outcomes
 
 c, A = F.col, AS_OF
 us = lambda name: F.timestamp_micros(name)
@@ -140,12 +141,12 @@ def order_pairs(spark, d):
 
 def all_features(spark, d):
     """The 13 relations of all entities, from all orders; stream ones as of AS_OF, where those silent for a day have expired."""
-    rows = with_outcomes(spark, d)
+    rows = checkpointed(with_outcomes(spark, d))  # seven aggregations read it
     tables = {
-        "user": user_batch(spark, d), "device": batch.device_features(rows, batch.device_first_seen(orders(spark, d)), A), "payment": batch.payment_features(rows), "ip": batch.ip_features(rows, A),
+        "user": batch.user_features(rows, role(spark, d, "users"), A), "device": batch.device_features(rows, batch.device_first_seen(rows), A), "payment": batch.payment_features(rows), "ip": batch.ip_features(rows, A),
         "store": batch.store_features(rows, A), "merchant": batch.merchant_features(rows), "email_domain": batch.domain_features(rows, A),
     }
-    now = assemble.named(stream.current(order_pairs(spark, d), A // 1_000_000), "", "stream")
+    now = checkpointed(assemble.named(stream.current(order_pairs(spark, d), A // 1_000_000), "", "stream"))
     return {(e, "batch"): assemble.named(t, e, "batch") for e, t in tables.items()} | stream.relations(now)
 
 

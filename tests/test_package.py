@@ -13,6 +13,12 @@ def test_nothing_imports_the_corpus_subpackage():
             assert "llm" not in path.read_text(), path
 
 
+def test_entry_hides_no_other_missing_package():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "zstandard" in done.stderr or not (ROOT / "corpus_pipeline.py").exists()
+
+
 def test_entry_imports_without_it():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
