@@ -311,66 +311,103 @@ QUERIES = {
     "S3_catch_up": (catch_up, f"SELECT event_id AS order_id, ts_us FROM ev WHERE ts_us > {1_704_067_200_000_000 + 3 * DAY} AND ts_us <= {1_704_067_200_000_000 + 9 * DAY} AND event_id % 3 <> 0"),
     "S4_J3_key_lookup": (key_lookup, "SELECT event_id AS order_id, ts_us AS seen_us, o.user_id, o.device_id, ip, store_id, total_pence, placed_us FROM ev JOIN o ON o.order_id = ev.event_id"),
     "S6_S7_column_scan": (single_column, "SELECT min(placed_us) AS first_us, max(placed_us) AS last_us, count(placed_us) AS n FROM o"),
-    "S10_upsert": (upserted, f"SELECT user_id, arg_max(pence, ts_us) AS value, max(ts_us) AS updated_us, max(ts_us) + {DAY} AS expires_us FROM ev GROUP BY user_id HAVING max(ts_us) + {DAY} > {1_704_067_200_000_000 + 29 * DAY}"),
+    "S10_upsert": (upserted, f"""SELECT user_id, arg_max(pence, ts_us) AS value, max(ts_us) AS updated_us, max(ts_us) + {DAY} AS expires_us FROM ev GROUP BY user_id HAVING max(ts_us) + {DAY} > {1_704_067_200_000_000 + 29 * DAY}"""),
     "S14_scored_source": (expectation, "SELECT coalesce(category, '') AS category, count(*) AS n, round(avg(score), 6) AS score FROM sc GROUP BY 1"),
     "S15_X17_weeks": (weeks, "SELECT date_diff('day', DATE '1970-01-01', date_trunc('week', make_timestamp(placed_us))::DATE)::INT AS week_day, count(*) AS orders FROM o GROUP BY 1"),
     "F1_archivable": (archivable, f"SELECT order_id, terminal_us FROM o WHERE status IN ('DELIVERED', 'CANCELLED', 'REFUNDED', 'FAILED') AND terminal_us < {A} - 48 * 3600000000"),
     "F2_open_orders": (open_orders, f"SELECT order_id, status, placed_us FROM o WHERE status NOT IN ('DELIVERED', 'CANCELLED', 'REFUNDED', 'FAILED') AND placed_us > {A - 80 * DAY}"),
-    "F3_F6_mature_filled": (mature, f"SELECT order_id, coalesce(device_id, 0) AS device_id, coalesce(promo_code, 'UNKNOWN') AS promo_code, coalesce(ip, 0) AS ip FROM o WHERE placed_us >= {A - 400 * DAY} AND placed_us < {A} AND placed_us < {A - 45 * DAY}"),
-    "F9_active_promos": (active_promos, f"SELECT promo_code, kind, count(*) AS orders FROM o JOIN (SELECT * FROM {PROMO_SQL} WHERE (valid_until IS NULL OR valid_until > {A}) AND (valid_from IS NULL OR valid_from <= {A})) USING (promo_code) GROUP BY ALL"),
+    "F3_F6_mature_filled": (mature, f"""SELECT order_id, coalesce(device_id, 0) AS device_id, coalesce(promo_code, 'UNKNOWN') AS promo_code, coalesce(ip, 0) AS ip FROM o
+        WHERE placed_us >= {A - 400 * DAY} AND placed_us < {A} AND placed_us < {A - 45 * DAY}"""),
+    "F9_active_promos": (active_promos, f"""SELECT promo_code, kind, count(*) AS orders FROM o JOIN (SELECT * FROM {PROMO_SQL} WHERE (valid_until IS NULL OR valid_until > {A}) AND (valid_from IS NULL OR valid_from <= {A})) USING (promo_code) GROUP BY ALL"""),
     "X8_X9_promo_eligibility": (promo_orders, f"""WITH f AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS is_first FROM o),
         r AS (SELECT user_id, promo_code, count(*) AS n FROM o WHERE promo_code IS NOT NULL GROUP BY ALL), p AS (SELECT * FROM {PROMO_SQL} WHERE (valid_until IS NULL OR valid_until > {A}) AND (valid_from IS NULL OR valid_from <= {A}))
         SELECT order_id, f.promo_code, least(total_pence, coalesce(fixed, round(total_pence::DECIMAL(20,2) * percent::DECIMAL(5,2) / 100)::BIGINT))::BIGINT AS discount FROM f JOIN p USING (promo_code) LEFT JOIN r ON r.user_id = f.user_id AND r.promo_code = f.promo_code
         WHERE total_pence >= min_pence AND (max_per_user IS NULL OR coalesce(r.n, 0) < max_per_user) AND (kind <> 'NEW_USER' OR is_first)"""),
-    "F10_open_stores": (open_stores, """WITH l AS (SELECT *, (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS lt FROM o), k AS (SELECT *, dayofweek(lt)::INT AS weekday, extract(hour FROM lt) * 3600 + extract(minute FROM lt) * 60 + floor(extract(second FROM lt)) AS sec FROM l)
-        SELECT store_id, weekday, count(*) AS orders FROM k WHERE EXISTS (SELECT 1 FROM sh WHERE sh.store_id = k.store_id AND CASE WHEN close_s < open_s THEN (sh.weekday = k.weekday AND sec >= open_s) OR (sh.weekday = (k.weekday + 6) % 7 AND sec <= close_s)
+    "F10_open_stores": (open_stores, """WITH l AS (SELECT *, (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS lt FROM o),
+        k AS (SELECT *, dayofweek(lt)::INT AS weekday, extract(hour FROM lt) * 3600 + extract(minute FROM lt) * 60 + floor(extract(second FROM lt)) AS sec FROM l)
+        SELECT store_id, weekday, count(*) AS orders FROM k WHERE EXISTS (SELECT 1 FROM sh
+        WHERE sh.store_id = k.store_id AND CASE WHEN close_s < open_s THEN (sh.weekday = k.weekday AND sec >= open_s) OR (sh.weekday = (k.weekday + 6) % 7 AND sec <= close_s)
         ELSE sh.weekday = k.weekday AND sec BETWEEN open_s AND close_s END) GROUP BY store_id, weekday"""),
-    "F11_active_entities": (active_entities, "SELECT city, count(*) AS users, coalesce(any_value(n), 0)::BIGINT AS stores FROM u LEFT JOIN (SELECT city, count(*) AS n FROM s WHERE is_active GROUP BY city) USING (city) WHERE account_status = 'ACTIVE' GROUP BY city"),
+    "F11_active_entities": (active_entities, """SELECT city, count(*) AS users, coalesce(any_value(n), 0)::BIGINT AS stores FROM u LEFT JOIN (SELECT city, count(*) AS n FROM s
+        WHERE is_active GROUP BY city) USING (city) WHERE account_status = 'ACTIVE' GROUP BY city"""),
     "F12_domain_violations": (violations, "SELECT status, count(*) AS count FROM o WHERE status NOT IN ('PLACED', 'DELIVERED', 'CANCELLED') GROUP BY status"),
-    "F13_postcodes": (postcodes, "SELECT regexp_matches(CASE user_id % 4 WHEN 0 THEN 'S1' WHEN 1 THEN 'SW1A' ELSE '1X' END || CASE WHEN user_id % 3 = 0 THEN ' ' ELSE '' END || (user_id % 10) || 'AB', '^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$') AS valid, count(*) AS users FROM u GROUP BY 1"),
+    "F13_postcodes": (postcodes, """SELECT regexp_matches(CASE user_id % 4 WHEN 0 THEN 'S1' WHEN 1 THEN 'SW1A' ELSE '1X' END || CASE WHEN user_id % 3 = 0 THEN ' ' ELSE '' END || (user_id % 10) || 'AB', '^[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2}$') AS valid, count(*) AS users
+        FROM u GROUP BY 1"""),
     "J10_semi_join": (semi_joined, "SELECT order_id, count(*) AS items, sum(quantity)::BIGINT AS quantity FROM it WHERE order_id IN (SELECT order_id FROM t WHERE is_fraud) GROUP BY order_id"),
-    "J11_anti_join": (anti_joined, "SELECT order_id, user_id FROM o WHERE status = 'DELIVERED' AND NOT EXISTS (SELECT 1 FROM rf WHERE rf.order_id = o.order_id) AND NOT EXISTS (SELECT 1 FROM cb WHERE cb.order_id = o.order_id)"),
+    "J11_anti_join": (anti_joined, """SELECT order_id, user_id FROM o WHERE status = 'DELIVERED' AND NOT EXISTS (SELECT 1 FROM rf
+        WHERE rf.order_id = o.order_id) AND NOT EXISTS (SELECT 1 FROM cb WHERE cb.order_id = o.order_id)"""),
     "J12_exists_refund": (refunded, "SELECT order_id, user_id FROM o WHERE status = 'DELIVERED' AND EXISTS (SELECT 1 FROM rf WHERE rf.order_id = o.order_id)"),
-    "J15_dimension_snapshot": (snapshot, "SELECT order_id, o.user_id, o.store_id, u.city AS user_city, u.segment AS user_segment, u.account_status AS user_account_status, s.city AS store_city, s.is_active AS store_is_active FROM o LEFT JOIN u USING (user_id) LEFT JOIN s ON s.store_id = o.store_id"),
+    "J15_dimension_snapshot": (snapshot, """SELECT order_id, o.user_id, o.store_id, u.city AS user_city, u.segment AS user_segment, u.account_status AS user_account_status, s.city AS store_city, s.is_active AS store_is_active
+        FROM o LEFT JOIN u USING (user_id) LEFT JOIN s ON s.store_id = o.store_id"""),
     "J16_X1_stores_near": (near_stores, """WITH p AS (SELECT user_id, city, 50 + (user_id % 80)::DOUBLE / 20 AS lat, (user_id % 100)::DOUBLE / 40 - 3 AS lon FROM u)
-        SELECT user_id, count(*) AS stores, sum(store_id)::BIGINT AS ids FROM p JOIN s ON p.city = s.city OR 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 15 GROUP BY user_id"""),
-    "J17_W11_top_devices": (top_devices, "SELECT user_id, device_id, last_us, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_us DESC, device_id) AS rank FROM (SELECT user_id, device_id, max(placed_us) AS last_us FROM o WHERE device_id IS NOT NULL GROUP BY ALL)) WHERE rank <= 5"),
+        SELECT user_id, count(*) AS stores, sum(store_id)::BIGINT AS ids FROM p
+        JOIN s ON p.city = s.city OR 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 15
+        GROUP BY user_id"""),
+    "J17_W11_top_devices": (top_devices, """SELECT user_id, device_id, last_us, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+        ORDER BY last_us DESC, device_id) AS rank FROM (SELECT user_id, device_id, max(placed_us) AS last_us FROM o
+        WHERE device_id IS NOT NULL GROUP BY ALL)) WHERE rank <= 5"""),
     "J18_array_lookup": (array_lookup, "SELECT user_id, count(DISTINCT s.merchant_id) AS merchants, count(*) AS stores FROM (SELECT DISTINCT user_id, store_id FROM o) JOIN s USING (store_id) GROUP BY user_id"),
-    "J21_reference_data": (reference_data, "SELECT name, count(*) AS users, round(avg(lat), 6) AS lat FROM (SELECT CASE WHEN city < 20 THEN 'City ' || city END AS name, CASE WHEN city < 20 THEN 50 + city / 10 END AS lat FROM u) GROUP BY name"),
-    "J22_refill": (refilled, """WITH l AS (SELECT user_id, max(n) AS n FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM o) GROUP BY user_id),
-        dm AS (SELECT user_id, segment, n FROM l JOIN u USING (user_id)) SELECT order_id, o.user_id + 1400 AS user_id, dm.segment, CASE WHEN dm.user_id IS NULL THEN 0 ELSE dm.n END AS lifetime_orders FROM o LEFT JOIN dm ON dm.user_id = o.user_id + 1400"""),
+    "J21_reference_data": (reference_data, """SELECT name, count(*) AS users, round(avg(lat), 6) AS lat
+        FROM (SELECT CASE WHEN city < 20 THEN 'City ' || city END AS name, CASE WHEN city < 20 THEN 50 + city / 10 END AS lat
+        FROM u) GROUP BY name"""),
+    "J22_refill": (refilled, """WITH l AS (SELECT user_id, max(n) AS n FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id
+        ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM o) GROUP BY user_id),
+dm AS (SELECT user_id, segment, n FROM l JOIN u USING (user_id))
+        SELECT order_id, o.user_id + 1400 AS user_id, dm.segment, CASE WHEN dm.user_id IS NULL THEN 0 ELSE dm.n END AS lifetime_orders
+        FROM o LEFT JOIN dm ON dm.user_id = o.user_id + 1400"""),
     "A1_user_batch": (user_batch, f"""SELECT ox.user_id, count(*) AS orders, sum(total_pence)::BIGINT AS spend, {HALF_EVEN} AS avg_order, sum(is_chargeback)::BIGINT AS chargebacks, sum(is_refund)::BIGINT AS refunds, {RATE},
         count(DISTINCT device_id) AS devices, count(DISTINCT payment_id) AS payments, count(DISTINCT address_id) AS addresses, count(DISTINCT ox.city) AS cities, {DAYS.format('any_value(created_us)')} AS account_age_days, {DAYS.format('max(placed_us)')} AS days_since_last FROM ox JOIN u USING (user_id) GROUP BY ox.user_id"""),
-    "A2_device_batch": (device_batch, f"SELECT device_id, count(*) AS orders, {RATE}, count(DISTINCT user_id) AS users, count(DISTINCT payment_id) AS payments, {DAYS.format('min(placed_us)')} AS first_seen_days_ago FROM ox WHERE device_id IS NOT NULL GROUP BY device_id"),
-    "A3_payment_batch": (lambda spark, d: batch.payment_features(with_outcomes(spark, d)), f"SELECT payment_id, count(*) AS orders, sum(is_chargeback)::BIGINT AS chargebacks, {RATE}, count(DISTINCT user_id) AS users, count(DISTINCT address_id) AS addresses FROM ox WHERE payment_id IS NOT NULL GROUP BY payment_id"),
-    "A4_ip_batch": (lambda spark, d: batch.ip_features(with_outcomes(spark, d), AS_OF), f"SELECT ip, count(*) AS orders, count(DISTINCT user_id) AS users, {RATE}, {DAYS.format('min(placed_us)')} AS first_seen_days_ago FROM ox WHERE ip IS NOT NULL GROUP BY ip"),
-    "A5_store_batch": (lambda spark, d: batch.store_features(with_outcomes(spark, d), AS_OF), f"SELECT store_id, {HALF_EVEN} AS avg_order, {RATE}, count(CASE WHEN placed_us >= {A - 30 * DAY} THEN 1 END) AS orders_30d, count(DISTINCT CASE WHEN placed_us >= {A - 30 * DAY} THEN payment_id END) AS cards_30d FROM ox GROUP BY store_id"),
-    "A6_J4_merchant_batch": (lambda spark, d: batch.merchant_features(with_outcomes(spark, d)), "WITH g AS (SELECT merchant_id, count(*) AS n, sum(is_chargeback) AS b FROM ox GROUP BY merchant_id) SELECT g.merchant_id, round(any_value(b)::DOUBLE / any_value(n)::DOUBLE, 6) AS cb_rate, count(DISTINCT store_id) AS stores FROM ox JOIN g USING (merchant_id) GROUP BY g.merchant_id"),
+    "A2_device_batch": (device_batch, f"""SELECT device_id, count(*) AS orders, {RATE}, count(DISTINCT user_id) AS users, count(DISTINCT payment_id) AS payments, {DAYS.format('min(placed_us)')} AS first_seen_days_ago FROM ox WHERE device_id IS NOT NULL GROUP BY device_id"""),
+    "A3_payment_batch": (lambda spark, d: batch.payment_features(with_outcomes(spark, d)), f"""SELECT payment_id, count(*) AS orders, sum(is_chargeback)::BIGINT AS chargebacks, {RATE}, count(DISTINCT user_id) AS users, count(DISTINCT address_id) AS addresses FROM ox WHERE payment_id IS NOT NULL
+        GROUP BY payment_id"""),
+    "A4_ip_batch": (lambda spark, d: batch.ip_features(with_outcomes(spark, d), AS_OF), f"""SELECT ip, count(*) AS orders, count(DISTINCT user_id) AS users, {RATE}, {DAYS.format('min(placed_us)')} AS first_seen_days_ago FROM ox WHERE ip IS NOT NULL GROUP BY ip"""),
+    "A5_store_batch": (lambda spark, d: batch.store_features(with_outcomes(spark, d), AS_OF), f"""SELECT store_id, {HALF_EVEN} AS avg_order, {RATE}, count(CASE WHEN placed_us >= {A - 30 * DAY} THEN 1 END) AS orders_30d, count(DISTINCT CASE WHEN placed_us >= {A - 30 * DAY} THEN payment_id END) AS cards_30d FROM ox GROUP BY store_id"""),
+    "A6_J4_merchant_batch": (lambda spark, d: batch.merchant_features(with_outcomes(spark, d)), """WITH g AS (SELECT merchant_id, count(*) AS n, sum(is_chargeback) AS b FROM ox GROUP BY merchant_id)
+        SELECT g.merchant_id, round(any_value(b)::DOUBLE / any_value(n)::DOUBLE, 6) AS cb_rate, count(DISTINCT store_id) AS stores
+        FROM ox JOIN g USING (merchant_id) GROUP BY g.merchant_id"""),
     "A7_F5_domain_batch": (lambda spark, d: batch.domain_features(with_outcomes(spark, d), AS_OF), f"SELECT domain, {RATE}, count(*) AS orders FROM ox WHERE placed_us >= {A - 90 * DAY} GROUP BY domain"),
     "A10_promo_redemptions": (lambda spark, d: batch.promo_redemptions(orders(spark, d)), "SELECT user_id, promo_code, count(*) AS redemptions FROM o WHERE promo_code IS NOT NULL GROUP BY ALL"),
     "A11_first_seen": (lambda spark, d: batch.first_seen(orders(spark, d)), "SELECT device_id, user_id, min(placed_us) AS first_us FROM o WHERE device_id IS NOT NULL GROUP BY ALL"),
-    "A12_U2_event_counts": (lambda spark, d: batch.event_counts(orders(spark, d), chargebacks(spark, d), "ip"), "SELECT ip, at_us, sum(n)::BIGINT AS orders, sum(b)::BIGINT AS chargebacks FROM (SELECT ip, placed_us AS at_us, 1 AS n, 0 AS b FROM o WHERE ip IS NOT NULL UNION ALL SELECT ip, greatest(placed_us, received_us), 0, 1 FROM o JOIN cb USING (order_id) WHERE ip IS NOT NULL) GROUP BY ALL"),
+    "A12_U2_event_counts": (lambda spark, d: batch.event_counts(orders(spark, d), chargebacks(spark, d), "ip"), """SELECT ip, at_us, sum(n)::BIGINT AS orders, sum(b)::BIGINT AS chargebacks FROM (SELECT ip, placed_us AS at_us, 1 AS n, 0 AS b
+        FROM o WHERE ip IS NOT NULL UNION ALL SELECT ip, greatest(placed_us, received_us), 0, 1 FROM o JOIN cb USING (order_id)
+        WHERE ip IS NOT NULL) GROUP BY ALL"""),
     "A14_bridge_count": (lambda spark, d: batch.bridge_count(role(spark, d, "users").select("user_id"), orders(spark, d).where("promo_code = 'SAVE5'"), "user_id", "n"), "SELECT u.user_id, count(o.order_id) AS n FROM u LEFT JOIN o ON o.user_id = u.user_id AND o.promo_code = 'SAVE5' GROUP BY u.user_id"),
-    "A15_ring_members": (ring_members, "WITH m AS (SELECT ring_id, list_sort(list(DISTINCT user_id)) AS l FROM t JOIN o USING (order_id) WHERE is_fraud AND category <> 'promo_abuse' GROUP BY ring_id) SELECT r.ring_id, coalesce(len(l), 0)::INT AS n, coalesce(array_to_string(l, ','), '') AS members FROM (SELECT DISTINCT ring_id FROM t) r LEFT JOIN m USING (ring_id)"),
-    "A16_class_balance": (lambda spark, d: batch.class_balance(role(spark, d, "truth"), "is_fraud").select("pos", "neg", F.round("scale_pos_weight", 6).alias("scale_pos_weight")), "SELECT sum(is_fraud::INT)::BIGINT AS pos, sum(1 - is_fraud::INT)::BIGINT AS neg, round(sum(1 - is_fraud::INT)::DOUBLE / sum(is_fraud::INT)::DOUBLE, 6) AS scale_pos_weight FROM t"),
+    "A15_ring_members": (ring_members, """WITH m AS (SELECT ring_id, list_sort(list(DISTINCT user_id)) AS l FROM t JOIN o USING (order_id)
+        WHERE is_fraud AND category <> 'promo_abuse' GROUP BY ring_id)
+        SELECT r.ring_id, coalesce(len(l), 0)::INT AS n, coalesce(array_to_string(l, ','), '') AS members
+        FROM (SELECT DISTINCT ring_id FROM t) r LEFT JOIN m USING (ring_id)"""),
+    "A16_class_balance": (lambda spark, d: batch.class_balance(role(spark, d, "truth"), "is_fraud").select("pos", "neg", F.round("scale_pos_weight", 6).alias("scale_pos_weight")), """SELECT sum(is_fraud::INT)::BIGINT AS pos, sum(1 - is_fraud::INT)::BIGINT AS neg, round(sum(1 - is_fraud::INT)::DOUBLE / sum(is_fraud::INT)::DOUBLE, 6) AS scale_pos_weight
+        FROM t"""),
     "A17_window_count": (lambda spark, d: orders(spark, d).where((c("placed_us") >= A - 900 * DAY) & (c("placed_us") < A - 600 * DAY)).agg(F.count(F.lit(1)).alias("orders")), f"SELECT count(*) AS orders FROM o WHERE placed_us >= {A - 900 * DAY} AND placed_us < {A - 600 * DAY}"),
     "A18_percentiles": (percentiles, "SELECT status, quantile_cont(total_pence, 0.5) AS p50, quantile_cont(total_pence, 0.95) AS p95 FROM o GROUP BY status"),
     "A19_distinct_with_null": (lambda spark, d: orders(spark, d).groupBy("status").agg((F.count_distinct("device_id") + F.max(F.when(c("device_id").isNull(), 1).otherwise(0))).alias("n")), "SELECT status, count(DISTINCT device_id) + max(CASE WHEN device_id IS NULL THEN 1 ELSE 0 END) AS n FROM o GROUP BY status"),
-    "A22_X18_demand": (demand, "SELECT extract(hour FROM l)::INT AS hour, dayofweek(l)::INT AS weekday, count(*) AS orders FROM (SELECT (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS l FROM o) GROUP BY ALL"),
-    "W1_W3_velocity": (velocity, "SELECT order_id, count(*) OVER h AS orders_1h, count(*) OVER dd AS orders_24h, coalesce(sum(total_pence) OVER dd, 0)::BIGINT AS spend_24h FROM o WINDOW h AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), dd AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"),
-    "W1_W3_event_velocity": (event_velocity, "SELECT event_id, count(*) OVER h AS orders_1h, count(*) OVER dd AS orders_24h, coalesce(sum(pence) OVER dd, 0)::BIGINT AS spend_24h FROM ev WINDOW h AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), dd AS (PARTITION BY user_id ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"),
-    "W4_W5_J6_device_history": (device_history, """SELECT a.order_id, CASE WHEN a.device_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY a.device_id ORDER BY a.placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) END AS lifetime,
-        CASE WHEN a.device_id IS NULL THEN 0 ELSE (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.device_id = a.device_id AND b.placed_us < a.placed_us) END AS users FROM o a"""),
-    "W6_J5_U4_ip_users": (ip_users, f"SELECT a.order_id, (SELECT count(DISTINCT b.user_id) FROM o b WHERE b.ip = a.ip AND b.placed_us < a.placed_us AND b.placed_us >= a.placed_us - {30 * DAY}) AS users FROM o a"),
+    "A22_X18_demand": (demand, """SELECT extract(hour FROM l)::INT AS hour, dayofweek(l)::INT AS weekday, count(*) AS orders
+        FROM (SELECT (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS l FROM o) GROUP BY ALL"""),
+    "W1_W3_velocity": (velocity, """SELECT order_id, count(*) OVER h AS orders_1h, count(*) OVER dd AS orders_24h, coalesce(sum(total_pence) OVER dd, 0)::BIGINT AS spend_24h
+        FROM o WINDOW h AS (PARTITION BY user_id
+        ORDER BY placed_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), dd AS (PARTITION BY user_id
+        ORDER BY placed_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"""),
+    "W1_W3_event_velocity": (event_velocity, """SELECT event_id, count(*) OVER h AS orders_1h, count(*) OVER dd AS orders_24h, coalesce(sum(pence) OVER dd, 0)::BIGINT AS spend_24h
+        FROM ev WINDOW h AS (PARTITION BY user_id
+        ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), dd AS (PARTITION BY user_id
+        ORDER BY ts_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)"""),
+    "W4_W5_J6_device_history": (device_history, """SELECT a.order_id, CASE WHEN a.device_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY a.device_id
+        ORDER BY a.placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) END AS lifetime,
+CASE WHEN a.device_id IS NULL THEN 0 ELSE (SELECT count(DISTINCT b.user_id) FROM o b
+        WHERE b.device_id = a.device_id AND b.placed_us < a.placed_us) END AS users FROM o a"""),
+    "W6_J5_U4_ip_users": (ip_users, f"""SELECT a.order_id, (SELECT count(DISTINCT b.user_id) FROM o b
+        WHERE b.ip = a.ip AND b.placed_us < a.placed_us AND b.placed_us >= a.placed_us - {30 * DAY}) AS users FROM o a"""),
     **{f"W7_J7_asof_{k}": (asof(k), asof_sql(k)) for k in ("payment_id", "store_id", "merchant_id", "domain")},
     "W8_L3_latest_chargeback": (latest, "SELECT order_id, received_us, category FROM cb"),
-    "W9_previous_gap": (gaps, "SELECT event_id, greatest(floor((ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id)) / 60000000), 0)::BIGINT AS gap_minutes FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts_us)".replace(" WINDOW w AS (PARTITION BY user_id ORDER BY ts_us)", "").replace("greatest(floor(", "CASE WHEN lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) IS NOT NULL THEN greatest(floor(").replace(", 0)::BIGINT AS gap", ", 0)::BIGINT END AS gap")),
+    "W9_previous_gap": (gaps, """SELECT event_id, greatest(floor((ts_us - lag(ts_us) OVER (PARTITION BY user_id
+        ORDER BY ts_us, event_id)) / 60000000), 0)::BIGINT AS gap_minutes FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts_us)""".replace(" WINDOW w AS (PARTITION BY user_id ORDER BY ts_us)", "").replace("greatest(floor(", "CASE WHEN lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) IS NOT NULL THEN greatest(floor(").replace(", 0)::BIGINT AS gap", ", 0)::BIGINT END AS gap")),
     "W10_A9_user_snapshot": (user_snapshots, f"""SELECT order_id, count(*) OVER p AS lifetime_orders, count(*) OVER (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN {30 * DAY} PRECEDING AND 1 PRECEDING) AS orders_30d, coalesce(sum(total_pence) OVER p, 0)::BIGINT AS lifetime_spend, count(*) OVER p = 0 AS is_first,
         CASE WHEN payment_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, payment_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_payment,
         CASE WHEN address_id IS NULL THEN false ELSE count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 END AS new_address FROM o WINDOW p AS (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     "J9_T1_training_set": (training_rows, training_sql()),
     "T4_recent": (t_orders, "SELECT order_id, terminal_us FROM o ORDER BY terminal_us DESC NULLS LAST, order_id LIMIT 100000"),
-    "T7_weighted_pick": (weighted_pick, "SELECT city, arg_min(store_id, -ln((('0x' || substr(md5('7:' || city || ':' || store_id), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / (store_id + 1)) AS store_id FROM s GROUP BY city"),
+    "T7_weighted_pick": (weighted_pick, """SELECT city, arg_min(store_id, -ln((('0x' || substr(md5('7:' || city || ':' || store_id), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE) / (store_id + 1)) AS store_id
+        FROM s GROUP BY city"""),
     "U3_union_users": (union_users, "SELECT user_id FROM o WHERE promo_code = 'SAVE5' UNION SELECT user_id FROM u WHERE account_status = 'SUSPENDED'"),
     "U4_anchors": (anchors, "SELECT DISTINCT ip, placed_us FROM o WHERE ip IS NOT NULL"),
 }
