@@ -22,6 +22,9 @@ WORD = rf"[^{SPACE}]+"
 #: Rows, and bytes (as JSON), up to which `small()` lets a side be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
+#: Bytes of a batch of texts in a task.
+BATCH_BYTES = 4 << 20
+
 _own: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -44,8 +47,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that travel to Python workers hold about BATCH_BYTES, however long texts are, unless the session has set a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and lost executors cost no recomputation."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -96,7 +107,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `size` bytes of a text column, so that long texts don't pile up in a task."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Words of a seed; seeds that a candidate needs (items that can lose more to edits need one); the least score of a leak.
 WIDTH, MIN_SEEDS, MIN_SCORE = 2, 2, 0.5
@@ -196,6 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds:
     hold nothing; items of one or two words match where all of them stand in order; a null doc_id stays null; repeated rows and
     repeated items repeat their rows. Other columns are not read. Empty tables give an empty table.
     """
+    small_batches(docs.sparkSession)
     spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, n_seeds int, first_word int, last_word int"
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
     for items in _blocks(benchmark, width, block_chars):
@@ -216,6 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents (all columns, any number, any names) that hold no test item, as `leaks` finds them. Map-only."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, width, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, small, stage
+from .common import fresh, slices, small, small_batches, stage
 
 UNKNOWN = "und"
 #: Labelled documents of a language to learn from (about; fewer if there are fewer); centroids of a language; hashed n-grams.
@@ -151,6 +151,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
 
     Columns called like the results (names) are replaced; others pass through. Repeated rows stay; empty in, empty out.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
