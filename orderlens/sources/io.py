@@ -6,8 +6,9 @@ import atexit
 import re
 import shutil
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,5 +83,28 @@ def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], kind: str =
     return last.withColumn("expires_at", F.col("updated_at") + life)
 
 
+def upsert_sink(path: str, keys: Sequence[str], kind: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For `foreachBatch`: each micro-batch makes a new version of the feature table from the one before, so a batch that is
+    repeated makes the same version again. The newest version is the table (`newest`); older ones can be removed."""
+
+    def write(new: DataFrame, batch_id: int) -> None:
+        spark = new.sparkSession
+        try:
+            before = newest(spark, path, batch_id).select(*new.columns)
+        except AnalysisException:  # the first version
+            before = new.limit(0)
+        upsert(before, new, keys, kind).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return write
+
+
+def newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest version that `upsert_sink` wrote, or the newest before a batch."""
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    top = rows.agg(F.max("version").alias("v")).first()["v"]
+    return rows.where(F.col("version") == F.lit(top)).drop("version")
+
+
 def alive(features: DataFrame, as_of) -> DataFrame:
     return features.where(F.col("expires_at") > F.lit(as_of))

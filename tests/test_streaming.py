@@ -137,3 +137,13 @@ def test_sinks(spark, tmp_path):
     assert io.read_csv(spark, f"{tmp_path}/csv", "id long, x double").agg(F.sum("x")).first()[0] == 6.0
     new = io.upsert(rows.select(F.lit(1).alias("k"), "x", F.col("placed_at").alias("updated_at")), rows.limit(0).select(F.lit(1).alias("k"), "x", F.col("placed_at").alias("updated_at")), ["k"])
     assert [(r["k"], r["x"]) for r in new.collect()] == [(1, 3.0)] and io.alive(new, "2026-01-13 00:00:01").count() == 0
+
+
+def test_features_are_upserted_by_micro_batch(spark, tmp_path):
+    table = lambda *rows: spark.createDataFrame(rows, "k long, x long, t string").select("k", "x", F.col("t").cast("timestamp").alias("updated_at"))
+    write = io.upsert_sink(f"{tmp_path}/features", ["k"])
+    write(table((1, 1, "2026-01-01 10:00"), (2, 1, "2026-01-01 10:00"), (1, 2, "2026-01-01 11:00")), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        write(table((2, 5, "2026-01-01 12:00"), (1, 0, "2026-01-01 09:00"), (3, 7, "2026-01-01 12:00")), 1)
+    got = io.newest(spark, f"{tmp_path}/features")
+    assert sorted((r["k"], r["x"]) for r in got.collect()) == [(1, 2), (2, 5), (3, 7)] and "expires_at" in got.columns
