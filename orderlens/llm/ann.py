@@ -164,5 +164,6 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
 
 
 def op7_nearest(spark, sf_dir: str) -> DataFrame:
+    """`neighbours` of every hundredth vector; nulls, zeros, repeats and other lengths as it says."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return neighbours(rows, lambda vec_id: vec_id % 100 == 0)

@@ -233,5 +233,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """`leaks` of all documents and test items; nulls, empties and repeats as it says."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return leaks(docs, items)

@@ -178,6 +178,7 @@ def keep_known(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """`predict` for all documents by a model of those that may be learned from. A null doc_id is held out; a null text is `und`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.where(learnable()))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")

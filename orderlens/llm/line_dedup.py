@@ -174,6 +174,7 @@ def left_after(docs: DataFrame, edits: int = 1, edit_chars: int = EDIT_CHARS) ->
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """`dedup_lines` of all documents; nulls, empties and repeats as it says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 

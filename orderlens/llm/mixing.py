@@ -20,7 +20,7 @@ WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source, the only thing that isn't distributed.
+    """(source, source_size, target) from (source, source_size): one row a source, the only thing that isn't distributed (two numbers a source meet in one task).
 
     Sources by code point, null last, take the weights in turn. Sources of size 0 get 0.
     """
@@ -58,6 +58,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def repetitions(mixed: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: a row per whole repetition and one for the fraction, with its text, from the rows of `mix`.
 
+    Rows of size 0 or taken 0, null and empty texts among them, give none; repeated rows give their repetitions each. No rows, no mix.
     The fraction starts at a word drawn by seed, id and text. White space within it stays; where it goes on at the start, a line break parts the two.
     """
     rest = F.when(F.col("size") > 0, F.pmod(F.col("taken"), F.col("size"))).otherwise(0)
@@ -74,6 +75,7 @@ def repetitions(mixed: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """`mix` of all documents; nulls, empties and repeats as it says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

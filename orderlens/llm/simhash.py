@@ -114,4 +114,5 @@ def dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """`near_duplicates` of all documents; nulls, empties and repeats as it says."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -115,5 +115,6 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], .
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
+    """`judge` of all page URLs by the built-in rules and labelled table; nulls, empties and repeats as it says."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "probability")
