@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, langid, line_dedup, mixing, pii, simhash, url_filter, warc
+from . import ann, chat, decontam, langid, line_dedup, mixing, pii, quality_rules, simhash, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,12 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
-ORACLE_SQL = {"op1_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+    "op13_quality_rules": quality_rules.ORACLE,
+}
