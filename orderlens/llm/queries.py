@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, divergence, langid, line_dedup, mixing, pii, quality_rules, simhash, url_filter, warc
+from . import ann, chat, decontam, divergence, langid, line_dedup, mixing, pii, quality_rules, simhash, url_filter, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_whitening": whitening.op11_whitening,
     "op12_divergence": divergence.op12_divergence,
     "op13_quality_rules": quality_rules.op13_quality_rules,
 }
