@@ -31,6 +31,8 @@ from .common import slices, small, stage
 LEAST_DOCS, TOP = 3, 200
 #: Rows (term, source) of a block, as a power of two; sources of a tile; (source, term) entries that a task counts before it hands them on.
 BLOCK, TILE, HELD = 17, 64, 400_000
+#: Bits of monotonically_increasing_id that count rows of a partition.
+PARTITION = 33
 #: What parts terms, in UTF-8 bytes: all of ASCII but letters.
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -106,6 +108,15 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return stage(rows.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "id", (F.col("at") == F.col("id")).alias("first"), "lang_n"), "kept")
 
 
+def dense(kept: DataFrame) -> DataFrame:
+    """kept with ids without the gaps between the partitions that gave them, so that the number of blocks follows the rows alone. One row a partition meets in one task."""
+    part = F.shiftright("id", PARTITION)
+    sizes = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = small(stage(sizes.select("part", before.alias("start")), "starts"))
+    return kept.join(starts, part == F.col("part")).withColumn("id", F.col("id") - F.shiftleft("part", PARTITION) + F.col("start")).drop("part", "start")
+
+
 def groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, idx, terms, total, v), staged: each group with its place in its language, its number of terms, the denominator of its
     shares (0 if its language keeps no term), and its language's number of terms."""
@@ -119,7 +130,7 @@ def groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def overlaps(kept: DataFrame, of: DataFrame) -> DataFrame:
     """(lang, x, y, value): what terms that both x and y (idx) have change of the price of x's shares against y's, a row for each block and direction."""
     where = small(of.select("lang", "source", "idx", "total"))
-    rows = kept.join(where, ["lang", "source"]).select("lang", F.shiftright("id", BLOCK).alias("block"), "idx", "total", "id", "n")
+    rows = dense(kept).join(where, ["lang", "source"]).select("lang", F.shiftright("id", BLOCK).alias("block"), "idx", "total", "id", "n")
     arrays = rows.groupBy("lang", "block", "idx", "total").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("terms"))
     last = of.groupBy("lang").agg(F.floor(F.max("idx") / TILE).alias("last"))
     tile, other = F.floor(F.col("idx") / TILE), F.col("other")
