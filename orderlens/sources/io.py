@@ -6,9 +6,9 @@ import atexit
 import re
 import shutil
 import tempfile
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,17 +17,31 @@ from pyspark.sql.types import StructType
 TTL_HOURS = {"stream": 24, "batch": 48}
 
 
+_made: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one on a local master that has none; an error on a cluster."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "folder" not in _made:
+        atexit.register(shutil.rmtree, made := tempfile.mkdtemp(prefix="orderlens-"), ignore_errors=True)
+        _made["folder"] = f"file://{made}"
+    return _made["folder"]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir; a temporary one on a local master that has none)."""
+    """df, computed once and kept in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
-        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not folder:
-            atexit.register(shutil.rmtree, made := tempfile.mkdtemp(prefix="orderlens-"), ignore_errors=True)
-            folder = f"file://{made}"
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -75,36 +89,14 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], kind: str = "stream") -> DataFrame:
-    """Latest row of each key, with the moment it expires; expired rows go. Needs updated_at."""
+    """Latest row of each key, with the moment it expires (`alive` leaves expired ones out). Needs updated_at; at equal times a new row comes before
+    a current one. As a table that streams write to: `keyed.KeyedTable`."""
     life = F.make_interval(hours=F.lit(TTL_HOURS[kind]))
-    rows = current.drop("expires_at").unionByName(new.drop("expires_at"))
-    rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "updated_at").alias("r")).select(*keys, "r.*")
+    rows = current.drop("expires_at").withColumn("_new", F.lit(False)).unionByName(new.drop("expires_at").withColumn("_new", F.lit(True)))
+    rest = [c for c in rows.columns if c not in (*keys, "_new")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("updated_at", "_new")).alias("r")).select(*keys, "r.*")
     return last.withColumn("expires_at", F.col("updated_at") + life)
 
 
-def upsert_sink(path: str, keys: Sequence[str], kind: str = "stream") -> Callable[[DataFrame, int], None]:
-    """For `foreachBatch`: each micro-batch makes a new version of the feature table from the one before, so a batch that is
-    repeated makes the same version again. The newest version is the table (`newest`); older ones can be removed."""
-
-    def write(new: DataFrame, batch_id: int) -> None:
-        spark = new.sparkSession
-        try:
-            before = newest(spark, path, batch_id).select(*new.columns)
-        except AnalysisException:  # the first version
-            before = new.limit(0)
-        upsert(before, new, keys, kind).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
-
-
-def newest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version that `upsert_sink` wrote, or the newest before a batch."""
-    rows = spark.read.parquet(path)
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    top = rows.agg(F.max("version").alias("v")).first()["v"]
-    return rows.where(F.col("version") == F.lit(top)).drop("version")
-
-
 def alive(features: DataFrame, as_of) -> DataFrame:
     return features.where(F.col("expires_at") > F.lit(as_of))

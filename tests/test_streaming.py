@@ -90,8 +90,9 @@ def test_decisions_on_the_stream(spark, tmp_path):
     orders = orders.withColumns({"card_bin": F.when(F.col("order_id") == "19", "666").otherwise("1"), "ip_is_tor": F.lit(False), "disposable_email": F.lit(False), "new_payment": F.lit(True), "new_address": F.lit(True), "ip_km": F.lit(0.0), "ip_country": F.lit("GB")})
     users = spark.createDataFrame([(f"u{i}", 100, 5 if i == 18 else 0) for i in range(20)], "user_id string, account_age_days long, lifetime_chargeback_count long")
     score = F.when(F.col("order_id") == "17", 0.9).otherwise(0.1)
-    features = v.velocity(v.fan_out(v.deduplicated(v.parsed(v.read_orders(spark, f"{tmp_path}/orders")))))
-    v.start(features, decisions.sink(orders, {("user", "batch"): users}, score, f"{tmp_path}/audit", ("666",)), f"{tmp_path}/checkpoint").awaitTermination()
+    streamed(spark, f"{tmp_path}/orders", f"{tmp_path}/out", "20 minutes").where("order_id is not null").drop("batch").write.parquet(f"{tmp_path}/log")
+    ready = decisions.gathered(v.parsed(v.read_orders(spark, f"{tmp_path}/orders")), spark.readStream.schema(v.FEATURES).parquet(f"{tmp_path}/log"))
+    v.start(ready, decisions.sink(orders, {("user", "batch"): users}, score, f"{tmp_path}/audit", ("666",)), f"{tmp_path}/checkpoint", "append").awaitTermination()
     got = {r["order_id"]: (r["decision"], r["rules_triggered"], r["new_status"]) for r in spark.read.parquet(f"{tmp_path}/audit").collect()}
     assert len(got) == 20 and got["3"] == ("APPROVE", [], None) and got["13"] == ("REVIEW", ["user_velocity"], None)
     assert got["17"] == ("DECLINE", [], "REJECTED") and got["18"][:2] == ("DECLINE", ["chargebacks"]) and got["19"][:2] == ("DECLINE", ["bin_blocklist"])
@@ -137,13 +138,3 @@ def test_sinks(spark, tmp_path):
     assert io.read_csv(spark, f"{tmp_path}/csv", "id long, x double").agg(F.sum("x")).first()[0] == 6.0
     new = io.upsert(rows.select(F.lit(1).alias("k"), "x", F.col("placed_at").alias("updated_at")), rows.limit(0).select(F.lit(1).alias("k"), "x", F.col("placed_at").alias("updated_at")), ["k"])
     assert [(r["k"], r["x"]) for r in new.collect()] == [(1, 3.0)] and io.alive(new, "2026-01-13 00:00:01").count() == 0
-
-
-def test_features_are_upserted_by_micro_batch(spark, tmp_path):
-    table = lambda *rows: spark.createDataFrame(rows, "k long, x long, t string").select("k", "x", F.col("t").cast("timestamp").alias("updated_at"))
-    write = io.upsert_sink(f"{tmp_path}/features", ["k"])
-    write(table((1, 1, "2026-01-01 10:00"), (2, 1, "2026-01-01 10:00"), (1, 2, "2026-01-01 11:00")), 0)
-    for _ in range(2):  # a repeated batch changes nothing
-        write(table((2, 5, "2026-01-01 12:00"), (1, 0, "2026-01-01 09:00"), (3, 7, "2026-01-01 12:00")), 1)
-    got = io.newest(spark, f"{tmp_path}/features")
-    assert sorted((r["k"], r["x"]) for r in got.collect()) == [(1, 2), (2, 5), (3, 7)] and "expires_at" in got.columns
