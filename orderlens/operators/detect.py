@@ -19,12 +19,18 @@ def stolen_card(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def takeover(orders: DataFrame, least: int = 10) -> DataFrame:
-    """An established user's first order from a device, an ip and an address that the user never used."""
-    past = lambda *k: Window.partitionBy(*k).orderBy("placed_us").rangeBetween(Window.unboundedPreceding, -1)
-    out = orders.where("device_id is not null and ip is not null and address_id is not null").withColumn("earlier", F.count(F.lit(1)).over(past("user_id")))
-    for k in ("device_id", "ip", "address_id"):
-        out = out.withColumn(f"new_{k}", F.count(F.lit(1)).over(past("user_id", k)) == 0)
-    return out.withColumn("flag", (c("earlier") >= least) & c("new_device_id") & c("new_ip") & c("new_address_id"))
+    """An established user's first order from a device, an ip country and an address that the user never used.
+
+    First uses are the earliest time of each (user, value), added up before they are shuffled, so neither a busy user nor a common value is one task's work.
+    """
+    marks = ("device_id", "ip_country", "address_id")
+    rows = orders.where(" AND ".join(f"{k} is not null" for k in marks))
+    past = Window.partitionBy("user_id").orderBy("placed_us").rangeBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("earlier", F.count(F.lit(1)).over(past))
+    for k in marks:
+        first = rows.groupBy("user_id", k).agg(F.min("placed_us").alias("_first"))
+        out = out.join(first, ["user_id", k]).withColumn(f"new_{k}", c("placed_us") == c("_first")).drop("_first")
+    return out.withColumn("flag", (c("earlier") >= least) & c("new_device_id") & c("new_ip_country") & c("new_address_id"))
 
 
 def promo_rings(orders: DataFrame, least: int = 5, metres: float = 500.0) -> DataFrame:
@@ -79,9 +85,9 @@ def triangulation(orders: DataFrame, least: int = 3, ratio: float = 0.9) -> Data
     return out.withColumn("flag", (c("orders") >= least) & (c("cards") >= ratio * c("orders")) & (c("addresses") >= ratio * c("orders")))
 
 
-def resellers(orders: DataFrame, carts: DataFrame, items: int = 10, daily: int = 2, share: float = 0.7) -> DataFrame:
-    """By user, address and day: many items, several orders, mostly one store."""
+def resellers(orders: DataFrame, carts: DataFrame, items: int = 10, daily: tuple[int, int] = (3, 8), share: float = 0.7) -> DataFrame:
+    """By user, address and day: many items, three to eight orders, mostly one store."""
     rows = orders.where("address_id is not null").join(carts.select("order_id", "item_count"), "order_id").withColumn("day", F.floor(c("placed_us") / DAY))
     store = rows.groupBy("user_id", "address_id", "day", "store_id").agg(F.count(F.lit(1)).alias("n"), F.sum("item_count").alias("i"))
     out = store.groupBy("user_id", "address_id", "day").agg(F.sum("n").alias("orders"), F.sum("i").alias("items"), F.round(F.max("n") / F.sum("n"), 6).alias("top_store"))
-    return out.withColumn("flag", (c("items") >= items) & (c("orders") >= daily) & (c("top_store") >= share))
+    return out.withColumn("flag", (c("items") >= items) & c("orders").between(*daily) & (c("top_store") >= share))

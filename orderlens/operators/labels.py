@@ -176,3 +176,10 @@ def reconcile(orders: DataFrame, carts: DataFrame) -> DataFrame:
     """Orders whose total isn't their items' subtotal and VAT."""
     both = orders.join(carts, "order_id")
     return both.where(F.col("total_pence") != F.col("subtotal") + F.col("vat")).withColumn("difference", F.col("total_pence") - F.col("subtotal") - F.col("vat"))
+
+
+def undecided(orders: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Orders that don't have exactly one decision, with their number; decisions of unknown orders too, with `known` false."""
+    count = decisions.groupBy("order_id").agg(F.count(F.lit(1)).alias("decisions"))
+    both = orders.select("order_id", F.lit(True).alias("known")).join(count, "order_id", "full").fillna(0, ["decisions"]).fillna(False, ["known"])
+    return both.where((F.col("decisions") != 1) | ~F.col("known"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import cumulative, percentiles
@@ -94,3 +94,22 @@ def latency(rows: DataFrame, value: str, when: str, span: int) -> DataFrame:
     """Exact percentiles by period."""
     periods = rows.withColumn("period", F.floor(F.col(when) / span))
     return percentiles(periods, value, {f"p{int(p * 100)}": p for p in (0.5, 0.95, 0.99)}, ("period",)).drop("n")
+
+
+# Expected orders a minute by local hour, and what each weekday (Monday first) multiplies them by.
+HOURLY = (18, 10, 6, 4, 3, 5, 8, 18, 32, 28, 24, 42, 62, 55, 38, 32, 40, 62, 88, 105, 90, 64, 42, 28)
+WEEKDAYS = (0.90, 0.95, 1.00, 1.05, 1.25, 1.30, 1.15)
+
+
+def expected_demand(spark) -> DataFrame:
+    """(hour, weekday, expected): the share of a week's orders that each hour should have; weekday 0 is Sunday."""
+    total = sum(HOURLY) * sum(WEEKDAYS)
+    rows = [(h, (w + 1) % 7, rate * WEEKDAYS[w] / total) for h, rate in enumerate(HOURLY) for w in range(7)]
+    return spark.createDataFrame(rows, "hour int, weekday int, expected double")
+
+
+def demand_against(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Observed shares by hour and weekday beside the expected ones; hours without orders count 0. Both sides are the 168 hours of a week."""
+    every = F.broadcast(expected).join(counts, ["hour", "weekday"], "left").fillna(0, ["orders"])
+    share = F.col("orders") / F.sum("orders").over(Window.partitionBy())
+    return every.withColumn("observed", share).withColumn("difference", F.col("observed") - F.col("expected"))

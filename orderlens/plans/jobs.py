@@ -418,7 +418,8 @@ def stolen(spark, d):
 
 
 def takeovers(spark, d):
-    return detect.takeover(orders(spark, d)).where("flag").select("order_id", "user_id", "earlier")
+    place = role(spark, d, "contexts").select("order_id", "ip_country")
+    return detect.takeover(orders(spark, d).join(place, "order_id"), 5).select("order_id", "user_id", "earlier", "new_device_id", "new_ip_country", "new_address_id", "flag")
 
 
 E_MAX = "coalesce(max(CASE WHEN {} THEN {} END), 0.0)"
@@ -544,13 +545,12 @@ g AS (SELECT i, wa, wb, s, sum(y) AS p, count(*) AS n FROM m GROUP BY ALL),
     "D1_stolen_card": (stolen, """WITH f AS (SELECT order_id, round(CASE WHEN order_id % 3 = 0 THEN 0.25 ELSE 0 END + CASE WHEN order_id % 7 <> 0 AND order_id % 4 = 0 THEN 0.25 ELSE 0 END + CASE WHEN user_id % 5 = 0 THEN 0.15 ELSE 0 END + CASE WHEN user_id % 9 = 0 THEN 0.1 ELSE 0 END + CASE WHEN address_id % 8 = 0 THEN 0.1 ELSE 0 END
 + CASE WHEN hour((make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London') BETWEEN 2 AND 5 THEN 0.1 ELSE 0 END + CASE WHEN total_pence >= 6500 THEN 0.05 ELSE 0 END, 4)::DOUBLE AS score
         FROM o) SELECT *, score >= 0.5 AS flag FROM f"""),
-    "D2_takeover": (takeovers, """WITH f AS (SELECT *, count(*) OVER (PARTITION BY user_id
-        ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, count(*) OVER (PARTITION BY user_id, device_id
-        ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, count(*) OVER (PARTITION BY user_id, ip
-        ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
-count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM o
-        WHERE device_id IS NOT NULL AND ip IS NOT NULL AND address_id IS NOT NULL) SELECT order_id, user_id, earlier FROM f
-        WHERE earlier >= 10 AND a = 0 AND b = 0 AND c = 0"""),
+    "D2_takeover": (takeovers, """WITH r AS (SELECT o.*, cx.ip_country FROM o JOIN cx USING (order_id) WHERE device_id IS NOT NULL AND cx.ip_country IS NOT NULL AND address_id IS NOT NULL),
+        f AS (SELECT order_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
+                     count(*) OVER (PARTITION BY user_id, device_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+                     count(*) OVER (PARTITION BY user_id, ip_country ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+                     count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM r)
+        SELECT order_id, user_id, earlier, a = 0 AS new_device_id, b = 0 AS new_ip_country, c = 0 AS new_address_id, earlier >= 5 AND a = 0 AND b = 0 AND c = 0 AS flag FROM f"""),
     "D3_promo_rings": (lambda spark, d: detect.promo_rings(orders(spark, d)), """SELECT device_id, promo_code, count(DISTINCT user_id) AS users, count(DISTINCT ip) AS ips, count(DISTINCT payment_id) AS payments, count(*) AS orders, count(DISTINCT user_id) >= 5 AS flag
         FROM o WHERE promo_code IS NOT NULL AND device_id IS NOT NULL GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY device_id, promo_code")),
     "D4_refund_abuse": (lambda spark, d: detect.refund_abuse(orders(spark, d), refunds(spark, d)), """WITH e AS (SELECT user_id, greatest(refunded_us, placed_us) AS tm FROM rf JOIN o USING (order_id)),
@@ -566,5 +566,5 @@ count(*) OVER (PARTITION BY user_id, address_id ORDER BY placed_us RANGE BETWEEN
     "D7_resellers": (lambda spark, d: rounded(detect.resellers(orders(spark, d), carts(spark, d))), f"""WITH k AS (SELECT order_id, sum(quantity)::BIGINT AS items FROM it GROUP BY order_id),
         g AS (SELECT user_id, address_id, placed_us // {DAY} AS day, store_id, count(*) AS n, sum(items) AS i FROM o JOIN k USING (order_id) WHERE address_id IS NOT NULL GROUP BY ALL),
         h AS (SELECT user_id, address_id, day, sum(n)::BIGINT AS orders, sum(i)::BIGINT AS items, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS top_store
-        FROM g GROUP BY ALL) SELECT *, items >= 10 AND orders >= 2 AND top_store >= 0.7 AS flag FROM h"""),
+        FROM g GROUP BY ALL) SELECT *, items >= 10 AND orders BETWEEN 3 AND 8 AND top_store >= 0.7 AS flag FROM h"""),
 }

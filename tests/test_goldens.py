@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions import columns as x
-from orderlens.operators import assemble, batch, contract, enrich, evaluate, labels, model, monitor, prep, quality, score, training, windows
+from orderlens.operators import assemble, batch, contract, detect, enrich, evaluate, labels, model, monitor, prep, quality, score, training, windows
 
 DAY = 86_400_000_000
 
@@ -225,3 +225,17 @@ def test_open_hours_and_weighted_pick(spark):
     assert [r["id"] for r in enrich.while_open(rows, hours, "at").orderBy("id").collect()] == [1, 2, 3, 8]
     drivers = spark.createDataFrame([(1, i, i) for i in range(20)], "city long, driver long, w long")
     assert enrich.one_of_many(drivers, "city", "w").collect() == enrich.one_of_many(drivers.repartition(3), "city", "w").collect()
+
+
+def test_takeover_goes_by_ip_country(spark):
+    day = 86_400_000_000
+    rows = [(i, "u", "d", "GB", "a", i * day) for i in range(10)] + [(10, "u", "new", "FR", "b", 10 * day), (11, "u", "new2", "GB", "c", 11 * day), (12, "u", "new3", None, "e", 12 * day), (13, "v", "x", "FR", "y", day)]
+    got = detect.takeover(spark.createDataFrame(rows, "order_id int, user_id string, device_id string, ip_country string, address_id string, placed_us long"))
+    assert {r["order_id"] for r in got.where("flag").collect()} == {10} and got.count() == 13
+
+
+def test_orders_without_exactly_one_decision(spark):
+    orders = spark.createDataFrame([(1,), (2,), (3,)], "order_id long")
+    decisions = spark.createDataFrame([(1,), (2,), (2,), (9,)], "order_id long")
+    got = {r["order_id"]: (r["decisions"], r["known"]) for r in labels.undecided(orders, decisions).collect()}
+    assert got == {2: (2, True), 3: (0, True), 9: (1, False)}
