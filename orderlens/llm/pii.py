@@ -1,9 +1,10 @@
 """Personal data: base patterns, and bootstrapped contextual extraction for what they miss.
 
 Base matches are the seeds. The one and two words before a mention are its lexical patterns. Spark scores the
-graph of patterns and instances in rounds: a pattern is as trustworthy as the share of its instances that are
-trusted, given enough different ones, and an instance as its patterns together (noisy or). Trusted patterns
-thus discover identifiers of looser shapes (no top-level domain, spelled-out at and dot, phone numbers without
+graph of patterns and instances in rounds: a pattern is as trustworthy as the share of trusted instances among those that speak
+for or against it, given enough different ones, and an instance as its patterns together (noisy or). Against a pattern of a kind
+speak base mentions of other kinds after the same words; identifiers that nothing is known of yet count by the logarithm of their number
+only, so that what a pattern is there to find doesn't sink it. Trusted patterns thus discover identifiers of looser shapes (no top-level domain, spelled-out at and dot, phone numbers without
 a plus, IPv6, cards with other separators); those of enough trust become spans unless a base span overlaps.
 
 All of it is DataFrame and SQL functions. Texts are scanned once, in time linear in their length; matches become rows,
@@ -107,20 +108,27 @@ def mentions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """(kind, inst): loose instances that trusted patterns vouch for, from the graph of patterns and instances."""
+    """(kind, inst): loose instances that trusted patterns vouch for, from the graph of patterns and instances.
+
+    With `sure` trusted instances, `other` ones of other kinds after the same words and `open` ones of which nothing is known, a pattern
+    scores sure / (sure + other + log2(1 + open)).
+    """
     edges = found.select("kind", "inst", F.explode("ctx").alias("ctx"), F.col("base").cast("int").alias("seed")).distinct()
     edges = stage(edges, "pattern-graph")
     loose = edges.where("seed = 0")
-    seeds = edges.groupBy("kind", "ctx").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"))
-    seeds = stage(seeds.where(F.col("n") >= support), "patterns")
+    counts = edges.groupBy("kind", "ctx").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"))
+    # The rows of a context are its kinds, four at most.
+    others = counts.withColumn("other", F.sum("seeds").over(Window.partitionBy("ctx")) - F.col("seeds"))
+    seeds = stage(others.where(F.col("n") >= support), "patterns")
     trusted = None
     for _ in range(rounds):
         if trusted is None:
-            scored = seeds.withColumn("sum", F.col("seeds").cast("double"))
+            scored = seeds.withColumn("sure", F.col("seeds").cast("double"))
         else:
             more = loose.join(trusted, ["kind", "inst"]).groupBy("kind", "ctx").agg(F.sum("conf").alias("more"))
-            scored = seeds.join(more, ["kind", "ctx"], "left").withColumn("sum", F.col("seeds") + F.coalesce("more", F.lit(0.0)))
-        good = scored.where((F.col("sum") >= support) & (F.col("sum") / F.col("n") >= trust)).select("kind", "ctx", F.least(F.col("sum") / F.col("n"), F.lit(0.999)).alias("p"))
+            scored = seeds.join(more, ["kind", "ctx"], "left").withColumn("sure", F.col("seeds") + F.coalesce("more", F.lit(0.0)))
+        score = F.col("sure") / (F.col("sure") + F.col("other") + F.log2(1 + F.greatest(F.col("n") - F.col("sure"), F.lit(0.0))))
+        good = scored.where((F.col("sure") >= support) & (score >= trust)).select("kind", "ctx", F.least(score, F.lit(0.999)).alias("p"))
         conf = 1 - F.exp(F.sum(F.log(1 - F.col("p"))))
         trusted = stage(loose.join(good, ["kind", "ctx"]).groupBy("kind", "inst").agg(conf.alias("conf")).where(F.col("conf") >= trust), "trusted")
     return trusted.select("kind", "inst")

@@ -224,6 +224,20 @@ def test_pii_discovers_by_context(spark):
     assert pii.find(made(spark, [], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 80, 200, 700])
+def test_pii_discovery_at_any_share_of_unseen_forms(spark, n):
+    """300 base mentions of each of two kinds after words of their own, n loose ones after the same words, and look-alikes after other words."""
+    kinds = ("email", "phone", "ip", "card")
+    seeds = [(i, f"w{i} please email x{i}@mail.example.com or call +1 ({200 + i}) 555-{1000 + i}") for i in range(300)]
+    seeds += [(1000 + i, f"server at 10.0.{i % 250}.{i // 250} took card 4111 1111 1111 1111 of q{i}") for i in range(300)]
+    hidden = [(10_000 + i, f"v{i} please email user{i}@host{i} or call 0{200 + i} 555 {1000 + i}") for i in range(n)]
+    plain = [(50_000 + i, f"the note{i}@thing and size 0{300 + i} 555 {1000 + i} of part") for i in range(n)] + [(60_000 + i, f"see z{i} for the x{i}@y.example.org and the 10.1.{i}.1 of 2") for i in range(20)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(made(spark, seeds + hidden + plain, "doc_id long, text string")).collect()}
+    for kind in kinds[:2]:
+        assert sum(f"{kind}:" in rows[d] for d, _ in hidden) >= 0.9 * n, kind
+    assert not any(rows[d] for d, _ in plain if d < 60_000)
+
+
 # --- language ID --------------------------------------------------------------------------------------------------
 
 

@@ -175,9 +175,12 @@ def brute_quality(rows, most=quality_rules.MOST_TEXTS, share=quality_rules.MOST_
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words", "base_failed", "kept"]
 
 
+def own(i):
+    return " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abcdefghijkl")
+
+
 def sample():
     footer = "All rights reserved by the owners of this page 20{:02d}"
-    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
     rows = [(i, f"{own(i)}\n{footer.format(i)}", "h1") for i in range(14)]
     rows += [(100 + i, f"only{i}\n{footer.format(7)}  \r\n{footer.format(9).upper()}", "h1") for i in range(3)]
     rows += [(200 + i, f"{own(500)}\n{footer.format(1)}", "h2") for i in range(20)]  # copies of one text count once
@@ -200,7 +203,7 @@ def test_clean_takes_boilerplate_out(spark):
     out = quality_rules.clean(docs)
     assert out.columns == docs.columns
     left = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert left[3] == " ".join(f"w3x{j}" for j in range(12)) and "rights" in left[200] and not {100, 101, 300, 302} & set(left)
+    assert left[3] == own(3) and "rights" in left[200] and not {100, 101, 300, 302} & set(left)
     assert quality_rules.clean(docs.limit(0)).count() == 0 and quality_rules.quality(docs.limit(0)).count() == 0
 
 
