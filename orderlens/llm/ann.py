@@ -33,13 +33,11 @@ SPARE = 10
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) without vectors that are null, zero, or hold null or non-finite components; of the most common length (ties: the shorter)."""
+    """(vec_id, v) without vectors that are null, zero, or hold null or non-finite components."""
     single = dict(vectors.dtypes)[vector_col] == "array<float>"  # exact in double precision, and half the size
     v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine & F.exists("v", lambda x: x != 0))
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (top[0]["d"] if top else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -92,16 +90,28 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Pivots are the `pivots`
     vectors of smallest hash (a bounded sample); every usable vector is indexed, equal ones once. Rows that repeat an id are
-    candidates each, but a query's own id never is; it is asked once, with its smallest vector. Null ids take no part. Other
-    columns, whatever they are called, are not read. Empty in, empty out.
+    candidates each, but a query's own id never is; it is asked once, with its smallest vector. Null ids take no part. Vectors of
+    different lengths have no distance: each length is an index of its own, so an id with vectors of two lengths is asked in both and its nearest
+    of all hold. Other columns, whatever they are called, are not read. Empty in, empty out.
     """
-    spark = vectors.sparkSession
     rows = stage(usable(vectors, id_col, vector_col), "vectors")
-    kind = dict(rows.dtypes)["v"]
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+    out = None
+    for d in lengths or [0]:
+        of_length = rows if len(lengths) < 2 else rows.where(F.size("v") == d)
+        found = _found(of_length, is_query, k, pivots, prefix, posted, probed, share, group_rows)
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, is_query, k: int, pivots: int | None, prefix: int, posted: int, probed: float, share: float, group_rows: int) -> DataFrame:
+    """(query_id, vec_id, score): of each group of files that a query looks into its k nearest; rows (vec_id, v) are of one length."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["v"]
     vectors = stage(distinct(rows, k), "distinct")
     n = vectors.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, vec_id long, score double")
     wanted = pivots or min(MOST_PIVOTS, max(PIVOTS, 1 << int(np.ceil(np.log2(4 * np.sqrt(n))))))
     chosen = np.array([r["v"] for r in vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(wanted).collect()], np.float64)
     many = len(chosen)
@@ -158,9 +168,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
                 out += zip([me] * len(best), ids[best].tolist(), d[best].tolist())
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("group", "salt").cogroup(right.groupBy("group", "salt")).applyInPandas(look, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("group", "salt").cogroup(right.groupBy("group", "salt")).applyInPandas(look, "query_id long, vec_id long, score double")
 
 
 def op7_nearest(spark, sf_dir: str) -> DataFrame:

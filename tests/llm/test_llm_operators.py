@@ -410,6 +410,22 @@ def test_nearest_edges(spark):
     assert ann.neighbours(made(spark, [], "vec_id long, embedding array<float>"), lambda v: v % 100 == 0).count() == 0
 
 
+def test_nearest_among_vectors_of_two_lengths(spark):
+    """Each length is searched by itself, queries of the rarer one included."""
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.standard_normal(5 if i % 10 else 3).tolist() for i in range(300)}
+    found = defaultdict(list)
+    for r in ann.neighbours(made(spark, [(i, v, "x") for i, v in vectors.items()], "vec_id long, embedding array<double>, v string"), lambda v: v % 50 < 2).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in [i for i in vectors if i % 50 < 2]:
+        d = {i: math.dist(v, vectors[q]) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])}
+        want = sorted(d, key=lambda i: (d[i], i))[:10]
+        assert len(found[q]) == 10 and all(math.isclose(s, d[i], rel_tol=1e-12) for i, s in found[q])
+        hits += len({i for i, _ in found[q]} & set(want))
+    assert hits >= 0.9 * 10 * len(found) and len(found) == 12
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
