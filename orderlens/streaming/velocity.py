@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import windows
+from ..sources.io import checkpointed
 
 HOUR, DAY = 3600, 86400
 #: Seconds after which a silent pair's last order is forgotten.
@@ -204,7 +205,8 @@ def velocity_batch(pairs: DataFrame) -> DataFrame:
     )
     before = windows.linked(pairs.select("entity", "id", "order_id", "at_s", "pence", "declined"), ["entity", "id"], "at_s", DAY, ("order_id",))
     rows = before.select("entity", "id", "order_id", "at_s", "_previous", F.inline(changes))
-    events = rows.unionByName(_member_events(pairs), allowMissingColumns=True).fillna(0, sums)
+    # Sums read the events twice.
+    events = checkpointed(rows.unionByName(_member_events(pairs), allowMissingColumns=True).fillna(0, sums))
     out = windows.running(events, ["entity", "id"], "_at", sums, DAY).where("_own")
     named = dict(zip(("o1", "o24", "s1", "s24", "dec"), ("orders_1h", "orders_24h", "spend_1h", "spend_24h", "decline_count_24h")))
     age = F.floor((t - F.col("_previous")) / 60).alias("last_order_age")
