@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as x
-from ..operators import boosting, labels, monitor, network
+from ..operators import boosting, labels, monitor, network, sketches
+from ..operators.windows import cumulative
 from ..sources.tables import role
 from .features import demand, orders
 from .jobs import decided, scored
@@ -59,6 +60,27 @@ def gains(spark, d):
     return found.join(left, "feature")
 
 
+HOURS = 3_600_000_000
+SIX, DAYLONG = 6 * HOURS, 24 * HOURS
+
+
+def pane_quantiles(spark, d):
+    """Median and 99th percentile of the events' amounts, of days that start every six hours, from panes of six hours."""
+    parts = sketches.panes(role(spark, d, "events"), "ts_us", "pence", SIX)
+    out = sketches.quantiles(sketches.sliding(parts, DAYLONG, SIX), {"p50": 0.5, "p99": 0.99}, ("start_us",))
+    return out.select("start_us", "n", F.round("p50", 3).alias("p50"), F.round("p99", 3).alias("p99"))
+
+
+def pane_drift(spark, d):
+    """O3: each day's amounts against those of the seven days before it."""
+    parts = sketches.panes(role(spark, d, "events"), "ts_us", "pence", DAYLONG)
+    days = parts.select("pane_us").distinct().select(c("pane_us").alias("day_us"))
+    near = parts.join(F.broadcast(days), (c("pane_us") <= c("day_us")) & (c("pane_us") >= c("day_us") - 7 * DAYLONG))
+    sums = near.groupBy("day_us", "bucket").agg(F.sum(F.when(c("pane_us") == c("day_us"), c("n")).otherwise(0)).alias("a"), F.sum(F.when(c("pane_us") < c("day_us"), c("n")).otherwise(0)).alias("b"))
+    ranked = cumulative(sums, "bucket", ["a", "b"], ("day_us",)).where("whole_b > 0")
+    return ranked.groupBy("day_us").agg(F.round(F.max(F.abs(c("upto_a") / c("whole_a") - c("upto_b") / c("whole_b"))), 6).alias("ks"), F.max("whole_a").alias("n"), F.max("whole_b").alias("n_reference"))
+
+
 WEIGHTS = (0.5, -0.25, 0.125)
 
 
@@ -78,7 +100,22 @@ MARGINS = """m AS (SELECT y, CASE WHEN score <= 0.5 THEN -0.25 WHEN score_b <= 0
         CASE WHEN score <= 0.125 THEN 0.5 WHEN score <= 0.875 THEN -0.125 ELSE 0.375 END::DOUBLE AS c FROM y),
 e AS (SELECT 1 AS round, y, a AS s FROM m UNION ALL SELECT 2, y, a + b FROM m UNION ALL SELECT 3, y, a + b + c FROM m)"""
 
+GROWTH = (1 + sketches.ERROR) / (1 - sketches.ERROR)
+BUCKETS = f"""b AS (SELECT ts_us, CASE WHEN pence = 0 THEN 0 ELSE sign(pence) * (ceil(ln(abs(pence)::DOUBLE) / ln({GROWTH!r}::DOUBLE)) + {sketches.MIDDLE}) END::BIGINT AS bucket FROM ev WHERE pence IS NOT NULL AND ts_us IS NOT NULL)"""
+VALUE = f"CASE WHEN {{0}} = 0 THEN 0.0 ELSE sign({{0}}) * pow({GROWTH!r}::DOUBLE, abs({{0}}) - {sketches.MIDDLE}) * {2 / (GROWTH + 1)!r}::DOUBLE END"
+
 QUERIES = {
+    "V15_O7_pane_quantiles": (pane_quantiles, f"""WITH {BUCKETS},
+        x AS (SELECT unnest([0, 1, 2, 3]) AS i), w AS (SELECT (ts_us // {SIX} - i) * {SIX} AS start_us, bucket FROM b, x),
+        r AS (SELECT start_us, bucket, row_number() OVER (PARTITION BY start_us ORDER BY bucket) AS k, count(*) OVER (PARTITION BY start_us) AS n FROM w),
+        q AS (SELECT start_us, max(n) AS n, min(CASE WHEN k >= ceil(0.5::DOUBLE * n) THEN bucket END) AS a, min(CASE WHEN k >= ceil(0.99::DOUBLE * n) THEN bucket END) AS z FROM r GROUP BY start_us)
+        SELECT start_us, n, round({VALUE.format('a')}, 3) AS p50, round({VALUE.format('z')}, 3) AS p99 FROM q"""),
+    "O3_pane_drift": (pane_drift, f"""WITH {BUCKETS},
+        p AS (SELECT ts_us // {DAYLONG} * {DAYLONG} AS pane_us, bucket, count(*) AS n FROM b GROUP BY ALL), days AS (SELECT DISTINCT pane_us AS day_us FROM p),
+        g AS (SELECT day_us, bucket, sum(CASE WHEN pane_us = day_us THEN n ELSE 0 END) AS a, sum(CASE WHEN pane_us < day_us THEN n ELSE 0 END) AS b FROM p JOIN days ON pane_us <= day_us AND pane_us >= day_us - {7 * DAYLONG} GROUP BY ALL),
+        k AS (SELECT day_us, sum(a) OVER v AS ua, sum(b) OVER v AS ub, sum(a) OVER t AS wa, sum(b) OVER t AS wb FROM g WINDOW v AS (PARTITION BY day_us ORDER BY bucket), t AS (PARTITION BY day_us)),
+        z AS (SELECT day_us, max(abs(ua::DOUBLE / wa::DOUBLE - ub::DOUBLE / wb::DOUBLE)) AS ks, max(wa)::BIGINT AS n, max(wb)::BIGINT AS n_reference FROM k WHERE wb > 0 GROUP BY day_us)
+        SELECT day_us, round(ks, 6) AS ks, n, n_reference FROM z"""),
     "A22_demand_curve": (demand_curve, f"""WITH r AS (SELECT unnest(range(24))::INT AS hour, unnest({list(monitor.HOURLY)}) AS rate), w AS (SELECT unnest(range(7))::INT AS i, unnest({list(monitor.WEEKDAYS)})::DOUBLE AS f),
         x AS (SELECT hour, ((i + 1) % 7)::INT AS weekday, rate * f / {sum(monitor.HOURLY) * sum(monitor.WEEKDAYS)!r}::DOUBLE AS expected FROM r, w),
         n AS (SELECT extract(hour FROM l)::INT AS hour, dayofweek(l)::INT AS weekday, count(*) AS orders FROM (SELECT (make_timestamp(placed_us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS l FROM o) GROUP BY ALL),
