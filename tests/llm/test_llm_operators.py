@@ -497,6 +497,60 @@ def test_decontamination_of_dense_edits_and_short_items(spark, data):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, short).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1)}
 
 
+def edited(rng: np.random.Generator, words: list[str], share: float) -> list[str]:
+    """Words replaced, left out, and put in between."""
+    out = []
+    for w in words:
+        kind = rng.integers(0, 4) if rng.random() < share else 3
+        out += [["new"], [], [w, "new"], [w]][kind]
+    return out
+
+
+@pytest.mark.parametrize("min_score", [0.4, 0.5, 0.7])
+def test_decontamination_finds_all_that_alignment_finds(spark, min_score):
+    rng = np.random.default_rng(5)
+    vocabulary, p = [f"v{x}" for x in range(300)], 1 / np.arange(1, 301)
+    draw = lambda n: rng.choice(vocabulary, n, p=p / p.sum()).tolist()
+    items = [(i, draw(n)) for i, n in enumerate([3, 4, 5, 6, 8, 12, 20, 33, 33, 60] * 2)]
+    docs = []
+    for share in (0.1, 0.3, 0.5, 0.6):
+        docs += [draw(15) + edited(rng, w, share) + draw(15) for _, w in items]
+    docs += [[x for w in words for x in (w, "new")] for _, words in items] + [words[: -(-len(words) // 2)] for _, words in items] + [draw(80) for _ in range(20)]
+    want = {(d, i): brute_align(w, text) / (2 * len(w)) for d, text in enumerate(docs) for i, w in items}
+    got = decontam.leaks(
+        made(spark, [(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"),
+        made(spark, [(i, " ".join(w)) for i, w in items], "item_id long, text string"),
+        min_score=min_score,
+    )
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == {pair: s for pair, s in want.items() if s >= min_score}
+
+
+def test_decontamination_of_natural_frequencies_keeps_hits_few():
+    rng = np.random.default_rng(6)
+    p = 1 / np.arange(1, 50_001)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.choice(50_000, n, p=p / p.sum()))
+    rows = [(i, draw(40)) for i in range(5000)]
+    texts = [draw(800) for _ in range(100)] + [" ".join([draw(50), rows[7][1], draw(50)])]
+    items = decontam.Items.build(rows, 0.5)
+    numbers, _ = decontam._numbered(texts, items.vocabulary)
+    found = items.lookup(numbers)
+    counts = sum(np.bincount(f[f >= 0], minlength=len(items.codes)) for f in found)
+    hits = sum(len(at) for at, _ in decontam._hits(found, items.seeded(counts)))
+    assert hits < 0.2 * len(numbers)
+    assert [m[:3] for m in decontam._matches(texts, items.seeded(counts), 0.5)] == [(100, 7, 1.0)]
+
+
+@pytest.mark.parametrize("hits", [1, 50])
+def test_decontamination_takes_hits_in_runs_of_items(monkeypatch, hits):
+    rows = [(i, f"the same words begin all of these items and number n{i} ends") for i in range(40)]
+    items = decontam.Items.build(rows, 0.5)
+    items = items.seeded(np.zeros(len(items.codes), np.int64))
+    texts = ["nothing here", rows[3][1], None, f"{rows[5][1]} {rows[9][1]}"]
+    want = decontam._matches(texts, items, 0.5)
+    monkeypatch.setattr(decontam, "HITS", hits)
+    assert decontam._matches(texts, items, 0.5) == want and len(want) == 80
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 
