@@ -11,7 +11,7 @@ starts at a seeded word and goes on at the document's start when it meets its en
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, fresh, small, stage, word_count
@@ -55,23 +55,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return rows.withColumn("taken", (whole * F.col("size") + F.least(F.floor((times - whole) * F.col("size") + draw), F.col("size"))).cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
+def _rest() -> Column:
+    """How many words the mix takes of a row beside its whole repetitions."""
+    return F.when(F.col("size") > 0, F.pmod(F.col("taken"), F.col("size"))).otherwise(0)
+
+
+def _whole() -> Column:
+    return F.when(F.col("size") > 0, (F.col("taken") - _rest()) / F.col("size")).otherwise(0).cast("int")
+
+
+def _cut(n: Column, seed: str) -> Column:
+    """n words (fewer than all) of the text, from a word drawn by seed, id and text, and on at the text's start after a line break; white space within stays."""
+    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
+    size = F.col("size").cast("int")
+    start = F.pmod(F.xxhash64(F.lit(f"{seed}:start"), F.col("doc_id").cast("string"), "text"), F.col("size")).cast("int")
+    run = lambda at, many: F.regexp_replace(F.array_join(F.slice(words, at, many), ""), rf"^[{SPACE}]+", "")
+    over = start + n - size
+    return F.when(over > 0, F.concat_ws("\n", run(start + 1, size - start), run(F.lit(1), over))).otherwise(run(start + 1, n))
+
+
+def spelled(mixed: DataFrame, seed: str = SEED) -> DataFrame:
+    """The rows of `mix` with what the mix takes: the text `whole` times (int), and `part` once (string; null: nothing).
+
+    Null and empty texts: 0 times and no part. Repeated rows take theirs each. Columns called whole and part are replaced. No rows, none.
+    """
+    mixed = mixed.drop("whole", "part")
+    return mixed.withColumn("whole", _whole()).withColumn("part", F.when(_rest() > 0, _cut(_rest().cast("int"), seed)))
+
+
 def repetitions(mixed: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: a row per whole repetition and one for the fraction, with its text, from the rows of `mix`.
 
     Rows of size 0 or taken 0, null and empty texts among them, give none; repeated rows give their repetitions each. No rows, no mix.
     The fraction starts at a word drawn by seed, id and text. White space within it stays; where it goes on at the start, a line break parts the two.
     """
-    rest = F.when(F.col("size") > 0, F.pmod(F.col("taken"), F.col("size"))).otherwise(0)
-    whole = F.when(F.col("size") > 0, (F.col("taken") - rest) / F.col("size")).otherwise(0).cast("int")
-    parts = F.concat(F.array_repeat(F.col("size"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    parts = F.concat(F.array_repeat(F.col("size"), _whole()), F.when(_rest() > 0, F.array(_rest())).otherwise(F.array().cast("array<bigint>")))
     rows = mixed.withColumn("n_words", F.explode(parts))
-    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
-    size, n = F.col("size").cast("int"), F.col("n_words").cast("int")
-    start = F.pmod(F.xxhash64(F.lit(f"{seed}:start"), F.col("doc_id").cast("string"), "text"), F.col("size")).cast("int")
-    run = lambda at, many: F.regexp_replace(F.array_join(F.slice(words, at, many), ""), rf"^[{SPACE}]+", "")
-    over = start + n - size
-    cut = F.when(over > 0, F.concat_ws("\n", run(start + 1, size - start), run(F.lit(1), over))).otherwise(run(start + 1, n))
-    return rows.withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut))
+    return rows.withColumn("text", F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(_cut(F.col("n_words").cast("int"), seed)))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -67,6 +67,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         taken = math.floor(times) * sizes[d] + min(math.floor((times - math.floor(times)) * sizes[d] + draw), sizes[d])
         assert (r["text"], r["n_chars"], r["size"], r["source_size"], r["taken"]) == (text, len(text), sizes[d], total[s], taken)
         assert math.isclose(r["target"], target[s], rel_tol=1e-9)
+        words, part = re.findall(SPACE, text), re.findall(SPACE, r["part"] or "")
+        assert r["whole"] * sizes[d] + len(part) == taken and len(part) < max(1, sizes[d])
+        assert not part or any((words + words)[at : at + len(part)] == part for at in range(len(words)))
 
 
 CLASHING = ("lang_pred", "SCORE", "n_lines", "n_dropped", "_dkey", "_Drop", "_lines", "_source", "component_id", "fingerprint", "dkey", "_spans", "_text_key", "features", "grams")
