@@ -1,74 +1,129 @@
-"""The pipeline's near-dedup: pairs proposed by SimHash, each verified by the Jaccard similarity of word shingles.
-
-A document is the set of its shingles' hashes; equal sets are one node. Ball hashing over SimHash fingerprints (`simhash.links`)
-proposes pairs. At a similarity of 0.8 two fingerprints differ in about ten of 64 bits, far outside any ball that can be
-emitted, so SimHash alone would leave most near copies; bands of minima propose what it misses (a pair of 0.8 shares one
-of them with probability 0.998). In each bucket the first node is compared with all others by their whole sets; those
-that are near copies go, and the rest is dealt with again. Every few rounds the rest of a bucket is parted by the band after
-its own, which makes no more rows but ever smaller buckets; so a passage that very many different documents share takes
-few rounds. What goes has a near copy before it.
+"""The pipeline's near-dedup: pairs proposed by SimHash and by rare shingles, each verified by the Jaccard similarity of word shingles.
+
+A document is the set of its shingles' hashes; equal sets are one node. It goes if a document before it is a near copy of it,
+whether that one goes, too, or not. No such pair is lost: all shingles are brought into one order, and two sets of n and m that reach the
+similarity t share a shingle after which, itself included, each still has t / (1 + t) * (n + m) of its own; so it is among
+the first n - t * n + 1 of each. A document lists these, and the documents of a shingle meet (`listed`). Any order is right; the cheap one
+puts shingles that many documents share last, so that common passages are on no list. Shingles met twice in 4 MB of text are taken for common.
+
+Large groups of copies don't meet pair by pair: first, documents within a SimHash ball are compared with the first of it
+(`simhash.links`), and those of a shingle with its first, then with the first that is left, as long as that makes them markedly fewer. Those that are
+still there are compared with all documents before them on their lists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
 from .common import fresh, slices, small, stage, unstage
 
-#: Words of a shingle; the least similarity of near copies; bands, and minima of a band; SimHash bits that may differ.
-WIDTH, SIMILARITY, BANDS, ROWS, RADIUS = 5, 0.8, 16, 5, 2
-#: Rounds after which a bucket's rest is parted.
-PLAIN_ROUNDS = 3
+#: Words of a shingle; the least similarity of near copies; SimHash bits that may differ.
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 2
+#: Common shingles that the order knows (2 MB); further ones stand among the others, which costs time alone.
+COMMON = 1 << 18
+#: Rounds of first ones end when no more pairs are left than PAIRS, or than EACH for a row of the lists, or when a round left over STALLED of them.
+PAIRS, EACH, STALLED = 50_000, 2, 0.8
 SEED = 42
-#: Shingles whose minima are taken at once.
-BLOCK = 1 << 12
+#: Keeps rounding on the safe side: counts are whole, so that it lets no pair more through.
+SLACK = 1e-6
+
+PRINTS = "doc_id long, row long, whole long, n long, fp long, common array<struct<token: long, times: long>>"
 
-_factors = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
+def _signed(x: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band, of the minima of its permutations."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, ((hashes[None, at : at + BLOCK] ^ _factors[0]) * _factors[1]).min(axis=1))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
 
+def _lists(arrays: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
 
-PRINTS = "doc_id long, row long, whole long, n long, fp long, bands array<long>"
+
+def _shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes, the distinct ones sorted, and a hash of these."""
+    hashes = simhash.shingle_hashes(text, WIDTH)
+    distinct = np.unique(hashes)
+    return hashes, distinct, xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PRINTS of each row; the last of a slice holds the shingles that several different texts of the slice have."""
     for part in slices(batches, "text"):
-        whole, n, fp, keys = [], [], [], []
+        whole, n, fp, sets = [], [], [], {}
         for text in part.column("text").cast(pa.binary()).to_pylist():
-            hashes = simhash.shingle_hashes(text, WIDTH)
-            distinct = np.unique(hashes)
-            whole.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+            hashes, distinct, key = _shingles(text)
+            whole.append(key)
             n.append(len(distinct))
             fp.append(simhash.simhash(hashes))
-            keys.append(bands(distinct))
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        lists = pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), signed(whole), pa.array(n, pa.int64()), signed(fp), lists], names=["doc_id", "row", "whole", "n", "fp", "bands"])
+            sets[key] = distinct
+        tokens, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        tokens, times = tokens[times > 1], times[times > 1]
+        pairs = pa.StructArray.from_arrays([_signed(tokens), pa.array(times, pa.int64())], names=["token", "times"])
+        common = _lists([*[()] * (len(n) - 1), tokens], pairs)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), _signed(whole), pa.array(n, pa.int64()), _signed(fp), common], names=["doc_id", "row", "whole", "n", "fp", "common"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        sets = [np.unique(simhash.shingle_hashes(t, WIDTH)).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
+        sets = [_shingles(t)[1].view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("whole"), pa.array(sets, pa.list_(pa.int64()))], names=["whole", "set"])
 
 
+def common_shingles(prints: DataFrame) -> np.ndarray:
+    """The commonest shingles, rarest first: at most about COMMON of those that slices met twice."""
+    found = stage(prints.select(F.explode("common").alias("c")).groupBy("c.token").agg(F.sum("c.times").alias("times")), "common")
+    n = found.count()
+    least = found.approxQuantile("times", [1 - COMMON / n], 1e-4)[0] if n > COMMON else 0
+    got = found.where(F.col("times") > least).toArrow()
+    unstage(found)
+    tokens, times = got["token"].to_numpy().view(np.uint64), got["times"].to_numpy()
+    return tokens[np.lexsort((tokens, times))]
+
+
+def firsts(common: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each row the first n - similarity * n + 1 shingles: others by their hash, then the common ones in their order."""
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            whole, n, lists = [], [], []
+            for text in part.column("text").cast(pa.binary()).to_pylist():
+                _, distinct, key = _shingles(text)
+                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                is_common = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
+                ordered = np.concatenate((distinct[~is_common], common[np.sort(by_hash[at[is_common]])] if len(known) else distinct[:0]))
+                whole.append(key)
+                n.append(len(distinct))
+                lists.append(ordered[: len(distinct) - int(np.ceil(similarity * len(distinct) - SLACK)) + 1])
+            tokens = _lists(lists, _signed(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), _signed(whole), pa.array(n, pa.int64()), tokens], names=["doc_id", "row", "whole", "n", "tokens"])
+
+    return run
+
+
+def listed(rows: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """(token, place, rest, before): the shingles on the lists of two nodes or more; rest: how many the node has from there on, before: how many nodes before it list it."""
+    found = rows.mapInArrow(firsts(common, similarity), "doc_id long, row long, whole long, n long, tokens array<long>")
+    nodes = found.groupBy("whole").agg(F.min(F.struct("doc_id", "row", "n", "tokens")).alias("one"))
+    place = F.struct("one.doc_id", "whole", "one.n").alias("place")
+    each = nodes.select(place, F.posexplode("one.tokens").alias("at", "token")).select("token", "place", (F.col("place.n") - F.col("at")).alias("rest"))
+    of_token = Window.partitionBy("token")
+    counted = each.withColumns({"before": F.row_number().over(of_token.orderBy("place")) - 1, "m": F.count("*").over(of_token)})
+    return counted.where("m > 1").drop("m")
+
+
+def may_be_near(similarity: float) -> Column:
+    """Whether rows of a shingle, (later, later_rest) and (to, to_rest), can be near copies whose first common shingle it is; holds for a shingle of each pair of near copies."""
+    return (1 + similarity) * F.least("later_rest", "to_rest") >= similarity * (F.col("later.n") + F.col("to.n")) - SLACK
+
+
 def ball_pairs(nodes: DataFrame) -> DataFrame:
     """(later, to): nodes with equal or near fingerprints, each linked to the first of its fingerprint, and those as `simhash.links` says."""
     prints = nodes.groupBy("fp").agg(F.min("place").alias("first"))
@@ -81,49 +136,54 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, row): the rows, by id and hash of id and text, that are near copies of a document before them (by doc_id).
+    """(doc_id, row): the rows, by id and hash of id and text, that are near copies of a document before them (by doc_id, then by a hash of their shingles).
 
     Documents without a word are copies of each other. Rows with a null doc_id take no part. No rows give none.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    prints = stage(rows.select("doc_id", "row", "text").mapInArrow(_prints, PRINTS), "prints")
-    firsts = prints.groupBy("whole").agg(F.min(F.struct("doc_id", "row", "n", "fp", "bands")).alias("one"))
-    nodes = stage(firsts.select("whole", F.struct("one.doc_id", "whole", "one.n").alias("place"), "one.doc_id", "one.row", "one.fp", "one.bands"), "nodes")
-    numbered = nodes.select("place", F.posexplode("bands").alias("band", "key"))
-    members, held, gone, sets, rounds = numbered, None, None, None, 0
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
+    prints = stage(rows.mapInArrow(_prints, PRINTS), "prints")
+    one = prints.groupBy("whole").agg(F.min(F.struct("doc_id", "row", "n", "fp")).alias("one"))
+    nodes = stage(one.select("whole", F.struct("one.doc_id", "whole", "one.n").alias("place"), "one.doc_id", "one.row", "one.fp"), "nodes")
+    lists = stage(listed(rows, common_shingles(prints), similarity), "lists")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        asked = stage(pairs.select(F.col("later.whole").alias("whole"), F.col("to.whole").alias("to")).distinct(), "pairs")
+        used = stage(asked.select("whole").union(asked.select("to")).distinct().join(nodes.select("whole", "row"), "whole"), "used")
+        found = rows.join(small(used), "row").select("whole", "text").mapInArrow(_sets, "whole long, set array<long>")
+        sets = stage(found.dropDuplicates(["whole"]), "sets")
+        both = asked.join(sets, "whole").join(sets.select(F.col("whole").alias("to"), F.col("set").alias("other")), "to")
+        common = F.size(F.array_intersect("set", "other"))
+        out = stage(both.where(common >= F.lit(similarity) * (F.size("set") + F.size("other") - common) - SLACK).select("whole").distinct(), "near")
+        for table in (asked, used, sets):
+            unstage(table)
+        return out
+
+    later = lambda df: df.select("token", F.col("place").alias("later"), F.col("rest").alias("later_rest"))
+    left = lambda df, gone: df.join(small(gone), F.col("place.whole") == F.col("whole"), "left_anti")
+    fits = F.least("later.n", "to.n") >= F.lit(similarity) * F.greatest("later.n", "to.n") - SLACK
+    gone = near(ball_pairs(nodes).where(fits))
+    size, members, held, pairs_left = lists.count(), left(lists, gone), None, None
     while True:
-        lead = members.groupBy("key").agg(F.min("place").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
-        members = stage(members.join(lead, "key").where(F.col("place") != F.col("lead")), "members")
+        members = stage(members, "members")
         unstage(held)
-        held = members
-        pairs = members.select(F.col("place").alias("later"), F.col("lead").alias("to"))
-        if not rounds:
-            pairs = pairs.unionByName(ball_pairs(nodes))
-        fits = F.least("later.n", "to.n") >= F.lit(similarity) * F.greatest("later.n", "to.n")
-        asked = stage(pairs.where(fits).select(F.col("later.whole").alias("whole"), F.col("to.whole").alias("to")).distinct(), "pairs")
-        if members.isEmpty() and asked.isEmpty():
+        held, before = members, pairs_left
+        pairs_left = left(lists, stage(gone, "gone")).agg(F.coalesce(F.sum("before"), F.lit(0))).first()[0]
+        if pairs_left <= max(PAIRS, EACH * size) or before and pairs_left > STALLED * before:
             break
-        if sets is None:  # later pairs are of members of the first round
-            used = asked.select("whole").union(asked.select("to")).union(members.select("place.whole")).distinct().join(nodes.select("whole", "doc_id", "row"), "whole")
-            found = rows.join(small(stage(used.select("whole", "row"), "used")), "row").select("whole", "text").mapInArrow(_sets, "whole long, set array<long>")
-            sets = stage(found.dropDuplicates(["whole"]), "sets")
-        both = asked.join(sets, "whole").join(sets.select(F.col("whole").alias("to"), F.col("set").alias("other")), "to")
-        common = F.size(F.array_intersect("set", "other"))
-        near = stage(both.where(common >= F.lit(similarity) * (F.size("set") + F.size("other") - common)).select("whole").distinct(), "near")
-        gone = near if gone is None else gone.unionByName(near)
-        members = members.select("place", "band", "key").join(small(near), F.col("place.whole") == F.col("whole"), "left_anti")
-        rounds += 1
-        if rounds % PLAIN_ROUNDS == 0 and rounds // PLAIN_ROUNDS < BANDS:
-            ahead = numbered.select(F.col("place").alias("of"), F.pmod(F.col("band") - 1, F.lit(BANDS)).alias("before"), F.col("key").alias("more"))
-            parted = members.join(ahead, (F.col("place") == F.col("of")) & (F.col("before") == F.col("band")))
-            members = parted.select("place", F.pmod(F.col("band") + 1, F.lit(BANDS)).alias("band"), F.xxhash64("key", "more").alias("key"))
-        unstage(asked)
-    later = prints.join(nodes.select("whole", F.col("row").alias("first"), F.col("doc_id").alias("first_id")), "whole")
-    out = later.where("doc_id != first_id").select("doc_id", "row")
-    if gone is not None:
-        out = out.unionByName(later.join(small(stage(gone.distinct(), "gone")), "whole").select("doc_id", "row"))
-    return out.distinct()
+        lead = members.groupBy("token").agg(F.min(F.struct("place", "rest")).alias("lead")).select("token", F.col("lead.place").alias("to"), F.col("lead.rest").alias("to_rest"))
+        met = later(members).join(lead, "token").where(F.col("later") != F.col("to"))
+        now = near(met.where(may_be_near(similarity)))
+        gone = gone.unionByName(now)
+        members = left(met.select("token", F.col("later").alias("place"), F.col("later_rest").alias("rest")), now)
+    rest = later(left(lists.where("before > 0"), stage(gone, "gone")))
+    earlier = lists.select("token", F.col("place").alias("to"), F.col("rest").alias("to_rest"))
+    gone = gone.unionByName(near(rest.join(earlier, "token").where((F.col("to") < F.col("later")) & may_be_near(similarity))))
+    for table in (lists, held):
+        unstage(table)
+    rows_of = prints.select("doc_id", "row", "whole").join(nodes.select("whole", F.col("row").alias("first"), F.col("doc_id").alias("first_id")), "whole")
+    out = rows_of.where("doc_id != first_id").select("doc_id", "row")
+    return out.unionByName(rows_of.join(small(stage(gone.distinct(), "gone")), "whole").select("doc_id", "row")).distinct()
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

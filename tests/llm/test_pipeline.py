@@ -6,9 +6,10 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontam, langid, line_dedup, mixing, pii, simhash, url_filter
+from orderlens.llm import decontam, langid, line_dedup, mixing, near_copies, pii, simhash, url_filter
 from tests.llm.test_llm_operators import brute_align, brute_components, brute_fingerprint, brute_lines, brute_targets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -142,3 +143,32 @@ def test_near_copies_among_many_documents_that_share_a_passage(spark):
     gone = {r[0] for r in rows} - left
     print("near copies beside a shared passage gone", len(near & gone), "of", len(near))
     assert gone <= near and len(near & gone) >= 0.95 * len(near)
+
+
+@pytest.mark.parametrize("limits", [{}, {"PAIRS": 0, "EACH": 0, "COMMON": 0}])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, limits):
+    """Documents that share most of their text with hundreds of others, near copies at the least similarity, edits of a document that comes late: none is lost, whatever the limits."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, base, texts = word(180), word(120), []
+    for _ in range(250):
+        texts.append(passage + word(70))
+        if rng.random() < 0.5:
+            now = list(texts[-1])
+            for at in rng.choice(np.arange(2, 248), 5, replace=False):
+                now[at] = word(1)[0]
+            texts.append(now)
+    for _ in range(60):
+        texts.append([w if rng.random() > 0.02 else word(1)[0] for w in base])
+    texts += [["a", "b"], ["a", "c"], [], ["A", "b"], []]
+    order = rng.permutation(len(texts)).tolist()
+    sets = [{" ".join(t[i : i + 5]).lower() for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = {i for i in range(len(texts)) if any(near(sets[order[i]], sets[order[j]]) for j in range(i))}
+    docs = spark.createDataFrame([(i, " ".join(texts[k]), None, "s", 0) for i, k in enumerate(order)], DOCS)
+    left = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    gone = set(range(len(texts))) - left
+    print("near copies of all pairs", len(want), "missed", len(want - gone), "wrongly gone", len(gone - want))
+    assert gone == want
