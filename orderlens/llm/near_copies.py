@@ -6,6 +6,9 @@ similarity t share a shingle after which, itself included, each still has t / (1
 the first n - t * n + 1 of each. A document lists these, and the documents of a shingle meet (`listed`). Any order is right; the cheap one
 puts shingles that many documents share last, so that common passages are on no list. Shingles met twice in 4 MB of text are taken for common.
 
+Among many documents most pairs meet by chance, in a shingle or two, and their number grows with the square of the documents. Whole sets are read
+only of pairs that can still reach the similarity, by how many shingles of their lists they share and where the last of these stands (`reaching`).
+
 Large groups of copies don't meet pair by pair: first, documents within a SimHash ball are compared with the first of it
 (`simhash.links`), and those of a shingle with its first, then with the first that is left, as long as that makes them markedly fewer. Those that are
 still there are compared with all documents before them on their lists.
@@ -124,6 +127,24 @@ def may_be_near(similarity: float) -> Column:
     return (1 + similarity) * F.least("later_rest", "to_rest") >= similarity * (F.col("later.n") + F.col("to.n")) - SLACK
 
 
+def reaching(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (later, to) that can be near copies by the shingles that are on both lists.
+
+    Up to the last of these, included, a pair shares no others; behind it, at most what either has left. Where the list that ends
+    first ends, its node has only what is off the list left, so no more than that is shared unseen, either.
+    """
+    ends = stage(pairs.select("later.whole").union(pairs.select("to.whole")).distinct(), "ends")
+    each = lists.select("place.whole", "rest", "token").join(small(ends), "whole", "left_semi")
+    listed = each.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("rest", "token")), asc=False).alias("list")).select("whole", "list.token", "list.rest")
+    one, other = (listed.select(F.col("whole").alias(f"{end}_whole"), F.col("token").alias(f"{end}_tokens"), F.col("rest").alias(f"{end}_rests")) for end in ("later", "to"))
+    both = pairs.join(one, F.col("later.whole") == F.col("later_whole")).join(other, F.col("to.whole") == F.col("to_whole")).withColumn("shared", F.array_intersect("later_tokens", "to_tokens"))
+    last = F.element_at("shared", -1)
+    left = F.least(*[F.element_at(f"{end}_rests", F.array_position(f"{end}_tokens", last).cast("int")) for end in ("later", "to")]) - 1
+    off = F.greatest(*[F.ceil(F.lit(similarity) * F.col(f"{end}.n") - SLACK) - 1 for end in ("later", "to")])
+    can = (1 + similarity) * (F.size("shared") + F.least(left, off)) >= similarity * (F.col("later.n") + F.col("to.n")) - SLACK
+    return both.where((F.size("shared") > 0) & can).select("later", "to")
+
+
 def ball_pairs(nodes: DataFrame) -> DataFrame:
     """(later, to): nodes with equal or near fingerprints, each linked to the first of its fingerprint, and those as `simhash.links` says."""
     prints = nodes.groupBy("fp").agg(F.min("place").alias("first"))
@@ -147,6 +168,12 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = stage(one.select("whole", F.struct("one.doc_id", "whole", "one.n").alias("place"), "one.doc_id", "one.row", "one.fp"), "nodes")
     lists = stage(listed(rows, common_shingles(prints), similarity), "lists")
 
+    def near_of(met: DataFrame) -> DataFrame:
+        pairs = stage(met.where(may_be_near(similarity)).select("later", "to").distinct(), "met")
+        out = near(reaching(pairs, lists, similarity))
+        unstage(pairs)
+        return out
+
     def near(pairs: DataFrame) -> DataFrame:
         asked = stage(pairs.select(F.col("later.whole").alias("whole"), F.col("to.whole").alias("to")).distinct(), "pairs")
         used = stage(asked.select("whole").union(asked.select("to")).distinct().join(nodes.select("whole", "row"), "whole"), "used")
@@ -173,12 +200,12 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             break
         lead = members.groupBy("token").agg(F.min(F.struct("place", "rest")).alias("lead")).select("token", F.col("lead.place").alias("to"), F.col("lead.rest").alias("to_rest"))
         met = later(members).join(lead, "token").where(F.col("later") != F.col("to"))
-        now = near(met.where(may_be_near(similarity)))
+        now = near_of(met)
         gone = gone.unionByName(now)
         members = left(met.select("token", F.col("later").alias("place"), F.col("later_rest").alias("rest")), now)
     rest = later(left(lists.where("before > 0"), stage(gone, "gone")))
     earlier = lists.select("token", F.col("place").alias("to"), F.col("rest").alias("to_rest"))
-    gone = gone.unionByName(near(rest.join(earlier, "token").where((F.col("to") < F.col("later")) & may_be_near(similarity))))
+    gone = gone.unionByName(near_of(rest.join(earlier, "token").where(F.col("to") < F.col("later"))))
     for table in (lists, held):
         unstage(table)
     rows_of = prints.select("doc_id", "row", "whole").join(nodes.select("whole", F.col("row").alias("first"), F.col("doc_id").alias("first_id")), "whole")

@@ -172,3 +172,35 @@ def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, limits):
     gone = set(range(len(texts))) - left
     print("near copies of all pairs", len(want), "missed", len(want - gone), "wrongly gone", len(gone - want))
     assert gone == want
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_near_copies_read_whole_sets_of_few_pairs_that_are_none(spark, monkeypatch, similarity):
+    """Different documents of all lengths that share passages by chance, and edits down to the least similarity: sets are read of hardly more pairs than are near copies, and none is lost."""
+    rng, asked, staged = np.random.default_rng(9), [], near_copies.stage
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "sets":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    monkeypatch.setattr(near_copies, "COMMON", 0)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passages, texts = [word(6) for _ in range(60)], []
+    for _ in range(400):
+        texts.append([w for k in rng.choice(60, 6, replace=False) for w in [*passages[k], *word(int(rng.integers(8, 12)))]])
+        if len(texts) % 8 == 0:
+            now, kind = list(texts[-1]), len(texts) % 3
+            for at in rng.choice(len(now), kind, replace=False):
+                now[at] = word(1)[0]
+            texts.append(now + word(int(rng.integers(0, 22))) if kind else now[int(rng.integers(1, 20)) :])
+    order = rng.permutation(len(texts)).tolist()
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[order[i]] & sets[order[j]]) >= similarity * len(sets[order[i]] | sets[order[j]])}
+    docs = spark.createDataFrame([(i, " ".join(texts[k]), None, "s", 0) for i, k in enumerate(order)], DOCS)
+    left = {r["doc_id"] for r in near_copies.keep_first(docs, similarity).collect()}
+    print("near pairs", len(near), "sets read", asked)
+    assert set(range(len(texts))) - left == {i for i, _ in near} and len(near) > 20
+    assert sum(asked) <= 2 * 2 * len(near) + 20
