@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ REJECT = 0.02
 LOW, MARGIN, ENOUGH = 0.005, 0.7, 20
 #: Characters vectorised at once, so that a text of any length takes bounded memory.
 CHUNK = 1 << 20
+#: Rows that are written out in full at once while centroids are sought (4 MB).
+ROWS = 128
 
 _letters: list[np.ndarray] = []
 
@@ -36,7 +37,7 @@ _letters: list[np.ndarray] = []
 def letter_table() -> np.ndarray:
     """Which code points are letters."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -79,27 +80,57 @@ class Model:
         return self.languages[best], min(1.0, max(0.0, float(cosine[best])))
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids of unit rows by cosine; starts are rows far from those before, so no chance is involved."""
-    at = [0]
-    near = x @ x[0]
-    while len(at) < min(k, len(x)):
-        at.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[at[-1]])
-    c = x[at]
+def blocks(rows: list[tuple[np.ndarray, np.ndarray]], bins: int) -> Iterator[np.ndarray]:
+    """The sparse rows (places, values) in full, ROWS at a time: all of a language at once took 65 MB of a worker, and each copy as much."""
+    for start in range(0, len(rows), ROWS):
+        part = rows[start : start + ROWS]
+        x = np.zeros((len(part), bins), np.float32)
+        for one, (at, v) in zip(x, part):
+            one[at] = v
+        yield x
+
+
+def cosines(rows: list[tuple[np.ndarray, np.ndarray]], c: np.ndarray) -> np.ndarray:
+    """Of each unit row with each unit centroid."""
+    return np.concatenate([x @ c.T for x in blocks(rows, c.shape[1])])
+
+
+def kmeans(rows: list[tuple[np.ndarray, np.ndarray]], k: int, bins: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of sparse unit rows by cosine; starts are rows far from those before, so no chance is involved."""
+    c = next(blocks(rows[:1], bins))
+    near = cosines(rows, c)[:, 0]
+    while len(c) < min(k, len(rows)):
+        start = int(near.argmin())
+        c = np.concatenate((c, next(blocks(rows[start : start + 1], bins))))
+        near = np.maximum(near, cosines(rows, c[-1:])[:, 0])
     for _ in range(rounds):
-        of = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[of == i].mean(axis=0) if (of == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        total, n = np.zeros(c.shape), np.zeros((len(c), 1))
+        for x in blocks(rows, bins):
+            member = ((x @ c.T).argmax(axis=1) == np.arange(len(c))[:, None]).astype(np.float32)
+            total += member @ x
+            n += member.sum(axis=1, keepdims=True)
+        c = np.where(n > 0, total / np.maximum(n, 1), c)
+        c = (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     return c
 
 
-def floor(x: np.ndarray, k: int) -> float:
+def floor(rows: list[tuple[np.ndarray, np.ndarray]], k: int, bins: int) -> float:
     """The rejection cosine of a language with these unit rows: each half's cosines to centroids of the other half. Few rows: 0."""
-    if len(x) < ENOUGH:
+    if len(rows) < ENOUGH:
         return 0.0
-    cosines = [(x[i::2] @ kmeans(x[1 - i :: 2], k).T).max(axis=1) for i in range(2)]
-    return MARGIN * float(np.quantile(np.concatenate(cosines), LOW))
+    found = [cosines(rows[i::2], kmeans(rows[1 - i :: 2], k, bins)).max(axis=1) for i in range(2)]
+    return MARGIN * float(np.quantile(np.concatenate(found), LOW))
+
+
+def described(lang: str, found: pa.Table, idf: np.ndarray, centroids: int) -> pa.Table:
+    """(lang, centroid, floor) of a language's sampled documents, whose n-grams (at) and their counts (n) found holds; the same in whatever order they come."""
+    rows = [tuple(one.values.to_numpy() for one in pair) for pair in zip(found.column("at"), found.column("n"))]
+    rows.sort(key=lambda r: (len(r[0]), r[0].astype(">i4").tobytes(), r[1].astype(">f4").tobytes()))
+    for i, (at, n) in enumerate(rows):
+        v = np.sqrt(n) * idf[at]
+        rows[i] = at, (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32)
+    c = kmeans(rows, centroids, len(idf))
+    return pa.table({"lang": pa.array([lang] * len(c), pa.string()), "centroid": pa.array(list(c), pa.list_(pa.float32())), "floor": [floor(rows, centroids, len(idf))] * len(c)})
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, bins: int = BINS) -> Model:
@@ -128,16 +159,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
         frequency[r["at"]] = r["count"]
     idf = np.log((1 + total) / (1 + frequency)) + 0.05
 
-    def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(rows), bins), np.float32)
-        order = sorted(range(len(rows)), key=lambda i: (len(rows["at"][i]), rows["at"][i].tolist()))
-        for i, j in enumerate(order):
-            at = rows["at"][j]
-            x[i, at] = np.sqrt(rows["n"][j]) * idf[at]
-            x[i] /= max(float(np.linalg.norm(x[i])), 1e-12)
-        return pd.DataFrame({"lang": key[0], "centroid": list(kmeans(x, centroids)), "floor": floor(x, centroids)})
+    def cluster(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return described(key[0].as_py(), rows, idf, centroids)
 
-    found = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, floor double").orderBy("lang").collect()
+    found = chosen.groupBy("lang").applyInArrow(cluster, "lang string, centroid array<float>, floor double").orderBy("lang").collect()
     return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, bins), idf, {r["lang"]: r["floor"] for r in found})
 
 

@@ -4,9 +4,11 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,6 +280,25 @@ def test_unlearned_languages_and_junk_go(spark):
     assert not any(i < 0 for i in left) and sum(i in left for i in clean) >= 0.99 * len(clean)
 
 
+def test_language_id_takes_little_memory_to_learn():
+    rng, rows = np.random.default_rng(5), langid.SAMPLE
+    at = [np.sort(rng.choice(langid.BINS, 600, replace=False)).astype(np.int32) for _ in range(rows)]
+    found = pa.table({"at": pa.array(at, pa.list_(pa.int32())), "n": pa.array([rng.integers(1, 90, 600).astype(np.float32) for _ in range(rows)], pa.list_(pa.float32()))})
+    tracemalloc.start()
+    out = langid.described("aa", found, np.ones(langid.BINS), langid.CENTROIDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == langid.CENTROIDS and peak < 30e6, peak  # a worker took 122 MB for such a language
+
+
+def test_language_id_learns_the_same_in_any_order(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["ab", "cd", "ef"][i % 3] for i in range(3)) + " ab cd ef" * int(n) + " cd" * int(m) for n, m in rng.integers(1, 40, (40, 2))]
+    rows = [(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)]
+    one, other = (langid.train(made(spark, r, DOCS).coalesce(1)) for r in (rows, rows[::-1]))
+    assert (one.centroids == other.centroids).all() and one.floors == other.floors
+
+
 def brute_grams(text, bins):
     """Hashed counts of 1- to 3-grams of the letters, other runs as one space, by plain integers."""
     chars = [32]
