@@ -34,10 +34,17 @@ def running(events: DataFrame, keys: list[str | Column], when: str, values: list
 def cumulative(counts: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (), descending: bool = False, parts: int = 64) -> DataFrame:
     """counts (a row a value of `order` and group) with upto_v, the sum of v up to the row, and whole_v, the group's sum.
 
-    The order is cut into `parts` ranges at approximate quantiles, so that no task meets a whole group; the sums are exact.
+    The order is cut into `parts` ranges at quantiles of a sample, so that no task meets a whole group; the sums are exact. The cuts are
+    worked out more than once in a plan, so they must not depend on the order in which rows arrive, as approximate quantiles do: the sample
+    holds the value of the smallest hash in each of 8 * parts cells of hashes.
     """
-    wide = counts.groupBy(*by).agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("_cuts"), *[F.sum(v).alias(f"whole_{v}") for v in values])
-    rows = counts.join(wide, list(by)) if by else counts.join(F.broadcast(wide))
+    at, draw = F.col(order).cast("double"), F.xxhash64(F.col(order).cast("double"))
+    drawn = counts.groupBy(*by, F.pmod(draw, F.lit(8 * parts)).alias("_cell")).agg(F.min(F.when(at.isNotNull(), F.struct(draw.alias("h"), at.alias("v")))).alias("_draw"), *[F.sum(v).alias(v) for v in values])
+    wide = drawn.groupBy(*by).agg(F.sort_array(F.collect_list("_draw.v")).alias("_sample"), *[F.sum(v).alias(f"whole_{v}") for v in values])
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("_sample", (i * F.size("_sample") / parts).cast("int")))
+    wide = wide.select(*by, cuts.alias("_cuts"), *[f"whole_{v}" for v in values])
+    keyed = lambda table: table.withColumn("_by", F.struct(*by))  # noqa: E731  (null keys are groups, too)
+    rows = keyed(counts).join(keyed(wide).drop(*by), "_by").drop("_by") if by else counts.join(F.broadcast(wide))
     at = F.size(F.filter("_cuts", lambda x: x < F.col(order)))
     return running(rows.withColumn("_at", -at if descending else at), list(by) or [F.lit(0).alias("all")], order, values, F.col("_at"), descending).drop("_cuts", "_at")
 

@@ -1,7 +1,9 @@
 """What came apart on larger tables: exact sums, ranges and ranks of many values, counts of pairs."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from orderlens.operators import monitor, windows
 from orderlens.plans.registry import QUERIES
 
 
@@ -12,3 +14,23 @@ def test_sums_of_times_past_bigint(spark, data, tmp_path):
     placed = spark.read.parquet(f"{tmp_path}/orders.parquet").select(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 10 * 900_000_000).first()[0]
     assert row["items"] == 25_000 and row["times"] == 25_000 * placed > 1 << 63
     assert dict(QUERIES["J13_composite_archive"](spark, data).dtypes)["times"] == "bigint"
+
+
+@pytest.fixture
+def many(spark):
+    """400,000 different values, in an order of their own, of three groups; one is null."""
+    return spark.range(0, 400_000, 1, 8).select((F.col("id") * 7919 % 400_000).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.lit(1).alias("n"))
+
+
+def test_running_sums_over_many_values_are_exact(many):
+    got = windows.cumulative(many, "v", ["n"]).agg(F.count(F.lit(1)), F.sum((F.col("upto_n") != F.col("v") + 1).cast("int"))).first()
+    assert tuple(got) == (400_000, 0)
+
+
+def test_drift_over_many_values(spark):
+    rows = spark.range(0, 400_000, 1, 24).select((F.col("id") * 7919 % 400_000).alias("v")).withColumn("k", F.lit("a"))
+    rows = rows.withColumn("late", (F.col("v") >= 100_000).cast("int") * (F.col("v") % 2).cast("int"))
+    (one,) = monitor.ks(rows, "v", "late", ("k",)).collect()  # 100,001 of the 250,000 early ones come before the first late one
+    assert (one["ks"], one["n_a"], one["n_b"]) == (100_001 / 250_000, 250_000, 150_000)
+    (none,) = monitor.ks(rows.withColumn("k", F.lit(None).cast("string")).where("v < 2000"), "v", "late", ("k",)).select("n_a").collect()
+    assert none["n_a"] == 2_000
