@@ -1,4 +1,4 @@
-"""Quantiles over time from counts that can be added up.
+"""Quantiles over time from counts that can be added up; exact ones of tables (`counted`, `sliding_exact`).
 
 Values are counted in buckets whose bounds grow by a constant factor, by pane of time. Counts of panes add up to those of any
 window or reference week, so a value is looked at once, however many windows it is in, and a quantile of any of them is within
@@ -9,8 +9,9 @@ its values span buckets: about 1,150 for a factor of 10**10 at an error of 1 %.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import cumulative
@@ -66,6 +67,30 @@ def quantiles(counts: DataFrame, shares: dict[str, float], by: tuple[str, ...] =
     return one.select(*by, "n", *[middle(F.col(name), error).alias(name) for name in shares])
 
 
+def counted(rows: DataFrame, when_us: Column, value: str, pane_us: int) -> DataFrame:
+    """(pane_us, bucket, value, n): counts of each pane's values, with their buckets; NaN and infinities have buckets at the ends here, null has none."""
+    size, end = F.col(value).cast("double"), F.lit(1 << 40)
+    at = F.coalesce(bucket(size), F.when(size < 0, -end).when(size.isNotNull(), end))
+    cut = rows.select((F.floor(when_us / F.lit(pane_us)) * F.lit(pane_us)).cast("long").alias("pane_us"), F.col(value).alias("value"), at.alias("bucket")).where("pane_us is not null")
+    return cut.groupBy("pane_us", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_exact(parts: DataFrame, pane_us: int, size_us: int, step_us: int, share: float) -> DataFrame:
+    """(start_us, rows, value): of `counted` panes, the number of rows of each window, and the value of rank ceil(share * n) of those that aren't null.
+
+    Counts of buckets say in which bucket that value is, so the values of this one alone are ranked.
+    """
+    whole = sliding(merged(parts, ("pane_us",)), size_us, step_us)
+    ordered = Window.partitionBy("start_us").orderBy("bucket")  # as many rows as there are buckets, whatever the data
+    known = whole.where("bucket is not null").withColumn("upto", F.sum("n").over(ordered)).withColumn("all", F.sum("n").over(Window.partitionBy("start_us")))
+    rank = F.greatest(F.ceil(F.lit(Decimal(str(share))) * F.col("all")), F.lit(1)).cast("long")
+    found = known.withColumn("rank", rank - (F.col("upto") - F.col("n"))).where((F.col("rank") > 0) & (F.col("rank") <= F.col("n"))).select("start_us", "bucket", "rank")
+    panes = F.sequence(F.col("start_us"), F.col("start_us") + F.lit(size_us - pane_us), F.lit(pane_us))
+    inside = found.withColumn("pane_us", F.explode(panes)).join(parts, ["pane_us", "bucket"]).groupBy("start_us", "rank", "value").agg(F.sum("n").alias("n"))
+    one = cumulative(inside, "value", ["n"], ("start_us", "rank")).where(F.col("upto_n") >= F.col("rank")).groupBy("start_us").agg(F.min("value").alias("value"))
+    return whole.groupBy("start_us").agg(F.sum("n").alias("rows")).join(one, "start_us", "left")
+
+
 def distance(current: DataFrame, reference: DataFrame) -> DataFrame:
     """O3: (ks, n, n_reference): the largest difference of the two distributions at a bucket's end, from `merged` counts of either; an empty side: null."""
     both = current.select("bucket", F.col("n").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(reference.select("bucket", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))

@@ -8,6 +8,7 @@ late changes the features of later ones, which are emitted again; sinks keep the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import windows
+from ..operators import sketches, windows
 from ..sources.io import checkpointed
 
 HOUR, DAY = 3600, 86400
@@ -249,9 +250,22 @@ def per_minute(rows: DataFrame, when: str, by: str, size: str = "1 minute") -> D
     return rows.groupBy(F.window(when, size).alias("w"), by).count().select(F.unix_micros("w.start").alias("start_us"), by, "count")
 
 
+MICROS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def _micros(span: str) -> int:
+    """Of a span such as "10 seconds"."""
+    number, unit = span.split()
+    return int(number) * MICROS[unit.removesuffix("s")]
+
+
 def rolling(rows: DataFrame, when: str, value: str, size: str = "1 minute", step: str = "10 seconds") -> DataFrame:
-    """Sliding rate and 99th percentile (approximate: monitoring only)."""
-    return rows.groupBy(F.window(when, size, step).alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx(value, 0.99, 10_000).alias("p99")).select(F.unix_micros("w.start").alias("start_us"), "rows", "p99")
+    """Sliding rate and 99th percentile. Exact on a table; on a stream, whose state mustn't hold all values, an approximation (monitoring only)."""
+    if rows.isStreaming:
+        return rows.groupBy(F.window(when, size, step).alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx(value, 0.99, 10_000).alias("p99")).select(F.unix_micros("w.start").alias("start_us"), "rows", "p99")
+    span, each = _micros(size), _micros(step)
+    pane = math.gcd(span, each)
+    return sketches.sliding_exact(sketches.counted(rows, F.unix_micros(when), value, pane), pane, span, each, 0.99).withColumnRenamed("value", "p99")
 
 
 def start(features: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import monitor, windows
 from orderlens.plans.registry import QUERIES
+from orderlens.streaming import velocity
 
 
 def test_sums_of_times_past_bigint(spark, data, tmp_path):
@@ -48,3 +49,14 @@ def test_drift_over_many_values(spark):
     assert (one["ks"], one["n_a"], one["n_b"]) == (100_001 / 250_000, 250_000, 150_000)
     (none,) = monitor.ks(rows.withColumn("k", F.lit(None).cast("string")).where("v < 2000"), "v", "late", ("k",)).select("n_a").collect()
     assert none["n_a"] == 2_000
+
+
+def test_sliding_percentiles_of_a_table_are_exact(spark):
+    """12,000 different values in a window; a second one has nulls only."""
+    rows = spark.range(0, 36_000, 1, 12).select(F.timestamp_seconds(F.floor(F.col("id") / 10)).alias("ts"), (F.col("id") * 7919 % 36_007).alias("v")).unionByName(spark.sql("SELECT timestamp'1970-01-02' AS ts, null AS v"))
+    got = {r["start_us"] // 1_000_000: (r["rows"], r["p99"]) for r in velocity.rolling(rows, "ts", "v", "1 hour", "20 minutes").collect()}
+    values = [i * 7919 % 36_007 for i in range(36_000)]
+    for start in (-2400, -1200, 0, 1200, 2400):
+        inside = sorted(values[max(start, 0) * 10 : (start + 3600) * 10])
+        assert got.pop(start) == (len(inside), inside[-(-len(inside) * 99 // 100) - 1])
+    assert set(got.values()) == {(1, None)} and len(got) == 3
