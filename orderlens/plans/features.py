@@ -162,7 +162,7 @@ def refilled(spark, d):
 
 def near_stores(spark, d):
     users = role(spark, d, "users").select("user_id", "city", (50 + (c("user_id") % 80).cast("double") / 20).alias("lat"), ((c("user_id") % 100).cast("double") / 40 - 3).alias("lon"))
-    return enrich.stores_near(users, role(spark, d, "stores"), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("stores"), F.sum("store_id").alias("ids"))
+    return enrich.stores_near_totals(users, role(spark, d, "stores"), "user_id")
 
 
 def top_devices(spark, d):

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import monitor, windows
+from orderlens.operators import enrich, monitor, windows
 from orderlens.plans.registry import QUERIES
 from orderlens.streaming import velocity
 
@@ -60,3 +60,27 @@ def test_sliding_percentiles_of_a_table_are_exact(spark):
         inside = sorted(values[max(start, 0) * 10 : (start + 3600) * 10])
         assert got.pop(start) == (len(inside), inside[-(-len(inside) * 99 // 100) - 1])
     assert set(got.values()) == {(1, None)} and len(got) == 3
+
+
+def most_rows(plan):
+    """The most rows that an operator of a plan gave."""
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_stores_near_are_added_up_without_pairs(spark, tmp_path):
+    keyed = lambda name: spark.range(2_000).select(F.col("id").alias(f"{name}key"), F.lit(3).alias("c_nationkey"), F.lit("x").alias("c_name"), F.lit(1.0).alias("c_acctbal"), F.lit("x").alias("c_mktsegment"))
+    keyed("c_cust").write.parquet(f"{tmp_path}/customer.parquet")
+    keyed("s_supp").select("s_suppkey", F.col("c_nationkey").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["J16_X1_stores_near"](spark, str(tmp_path))
+    assert {tuple(r)[1:] for r in df.collect()} == {(2_000, sum(range(2_000)))}
+    assert most_rows(df._jdf.queryExecution().executedPlan()) <= 20_000  # pairs: 4,000,000
+
+
+def test_stores_near_totals_are_those_of_the_pairs(spark):
+    place = lambda n, name, step: spark.range(n).select(F.col("id").alias(name), F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("city"), F.when(F.col("id") % 13 > 0, 50 + F.col("id") * step % 97 / 60).alias("lat"), (F.col("id") * step % 89 / 50 - 1).alias("lon"))
+    points, stores = place(300, "user_id", 7), place(200, "store_id", 5)
+    want = enrich.stores_near(points, stores, "user_id").groupBy("user_id").agg(F.count(F.lit(1)), F.sum("store_id")).collect()
+    assert sorted(map(tuple, enrich.stores_near_totals(points, stores, "user_id").collect())) == sorted(map(tuple, want))
+    assert len(want) > 250
