@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import enrich, monitor, windows
+from orderlens.operators import enrich, monitor, prep, windows
 from orderlens.plans.registry import QUERIES
 from orderlens.streaming import velocity
 
@@ -84,3 +84,17 @@ def test_stores_near_totals_are_those_of_the_pairs(spark):
     want = enrich.stores_near(points, stores, "user_id").groupBy("user_id").agg(F.count(F.lit(1)), F.sum("store_id")).collect()
     assert sorted(map(tuple, enrich.stores_near_totals(points, stores, "user_id").collect())) == sorted(map(tuple, want))
     assert len(want) > 250
+
+
+def test_constant_columns_have_no_score(spark):
+    rows = spark.createDataFrame([(0.1,), (0.1 + 1e-16,)], "x double")
+    fitted = spark.createDataFrame([("x", 0.1, 1e-17)], "name string, mean double, deviation double"), spark.createDataFrame([], "name string, value string, index int")
+    assert [r["x"] for r in prep.apply(rows, prep.Plan(("x",)), *fitted).collect()] == [0.0, 0.0]
+
+
+def test_cuts_do_not_depend_on_the_order_of_arrival(spark):
+    """The cut times of the split, of rows that come in two orders; many enough for an approximation to differ."""
+    rows = spark.range(0, 300_000, 1, 6).select((F.col("id") * 7919 % 300_007).alias("placed_us"))
+    cuts = [windows.cumulative(r.withColumn("n", F.lit(1)), "placed_us", ["n"]).agg(F.max("upto_n"), F.sum(F.xxhash64("upto_n", "placed_us").cast("decimal(38,0)"))).first() for r in (rows, rows.repartition(5, "placed_us"))]
+    assert cuts[0] == cuts[1] and cuts[0][0] == 300_000
+    assert prep.time_split(rows.repartition(7)).groupBy("split").count().orderBy("split").collect()[1]["count"] == 240_000
