@@ -1,11 +1,15 @@
 """What came apart on larger tables: exact sums, ranges and ranks of many values, counts of pairs."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import enrich, monitor, prep, windows
+from orderlens.operators import enrich, monitor, prep, training, windows
 from orderlens.plans.registry import QUERIES
+from orderlens.sources import io
+from orderlens.sources.tables import chargebacks, role
 from orderlens.streaming import velocity
 
 
@@ -98,3 +102,14 @@ def test_cuts_do_not_depend_on_the_order_of_arrival(spark):
     cuts = [windows.cumulative(r.withColumn("n", F.lit(1)), "placed_us", ["n"]).agg(F.max("upto_n"), F.sum(F.xxhash64("upto_n", "placed_us").cast("decimal(38,0)"))).first() for r in (rows, rows.repartition(5, "placed_us"))]
     assert cuts[0] == cuts[1] and cuts[0][0] == 300_000
     assert prep.time_split(rows.repartition(7)).groupBy("split").count().orderBy("split").collect()[1]["count"] == 240_000
+
+
+def test_history_keeps_no_events(spark, data):
+    """Of what is staged only the features stay; events go when a family is summed up."""
+    folder = Path(io.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with io.scratch(spark):
+        found = training.history(role(spark, data, "orders"), chargebacks(spark, data))
+        assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["history"] * len(training.FAMILIES)
+        assert found.count() == role(spark, data, "orders").count()
+    assert set(folder.iterdir()) == before
